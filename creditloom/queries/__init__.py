@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from creditloom.queries import evaluation, preparation, retrieval  # noqa: F401
+from creditloom.queries import decisions, evaluation, preparation, retrieval  # noqa: F401
 from creditloom.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -17,9 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.constants import (
-    EMP_LENGTHS, NEGATIVE_STATUSES, POSITIVE_STATUSES, TEST_START, VAL_START,
-)
+from creditloom.constants import EMP_LENGTHS, TEST_START, VAL_START
 from creditloom.functions.text import item_id
 from creditloom.sources.tables import table
 
@@ -33,6 +31,11 @@ def _loan_status() -> Column:
             .when(flag == "R", "Charged Off"))
 
 
+def _has_signal() -> Column:
+    """A status among the positive and negative ones, in terms the Parquet reader can filter on."""
+    return F.col("l_returnflag").isin("A", "R") | ((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"))
+
+
 def _pick(values, position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), position.cast("int") + 1)
 
@@ -120,5 +123,5 @@ def loans(spark: SparkSession, folder: str, *names: str, signal_only: bool = Tru
     needed = set().union(*(known[n][0] for n in names))
     rows = _joined(spark, folder, needed)
     if signal_only:
-        rows = rows.filter(_loan_status().isin(*POSITIVE_STATUSES, *NEGATIVE_STATUSES))
+        rows = rows.filter(_has_signal())
     return rows.select(*[known[n][1].alias(n) for n in names])
