@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,17 @@ def pair_features(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataF
         "user_features", "item_features")
 
 
+def for_training(data: DataFrame) -> DataFrame:
+    """Settled rows in at least as many partitions as the cluster has cores.
+
+    Adaptive execution merges small shuffle partitions, which suits one pass but
+    leaves cores idle in a fit that reads the rows many times.
+    """
+    data = settle(data)
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data if data.rdd.getNumPartitions() >= cores else data.repartition(cores)
+
+
 # --- repayment ---------------------------------------------------------------
 
 def _booster(rounds: int, depth: int) -> GBTClassifier:
@@ -66,7 +78,7 @@ def fit_repay_model(train: DataFrame, val: DataFrame, rounds: int = GBT_ROUNDS,
     The number of rounds doubles until the best one lies far enough back; the
     same seed grows the same first trees again.
     """
-    fitted = min(rounds, 2 * patience)
+    train, fitted = for_training(train), min(rounds, 2 * patience)
     while True:
         model = _booster(fitted, depth).fit(train)
         if fitted >= rounds or _best_round(model, val) + patience <= fitted:
@@ -179,7 +191,9 @@ def fit_factor_ranker(pairs: DataFrame, users: DataFrame, items: DataFrame, cata
     one_hot = F.transform(F.array(*[F.lit(c) for c in catalog]), lambda c: (c == F.col("item_id")).cast("double"))
     joined = join_lookup(pairs.join(users.select("member_id", "user_features"), "member_id"),
                          settle(items.select("item_id", F.concat("item_features", one_hot).alias("item_part"))), ["item_id"])
-    data = joined.select("label", array_to_vector(F.concat("user_features", "item_part")).alias("features"))
+    dense = joined.select("label", array_to_vector(F.concat("user_features", "item_part")).alias("dense"))
+    # Most entries are zeros of one-hot columns; the assembler stores such rows sparsely.
+    data = for_training(VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense).drop("dense"))
     model = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=step, regParam=0.001, seed=SEED).fit(data)
     user_dim = len(users.select("user_features").first()[0])
     weights = model.factors.toArray()
@@ -210,5 +224,6 @@ def perceptron_features(pairs: DataFrame, user_factors: DataFrame, item_factors:
 
 def fit_perceptron(data: DataFrame, hidden: tuple[int, ...] = (128, 64, 32), iterations: int = 40):
     """Multilayer perceptron on (features, label)."""
+    data = for_training(data.select("features", "label"))
     width = len(data.select("features").first()[0])
     return MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=iterations, seed=SEED).fit(data)
