@@ -62,7 +62,7 @@ def user_metrics(rankings: DataFrame, truth: DataFrame, users: DataFrame, stages
         share(found, F.least(n, F.lit(k))).alias("recall"),
         share(found, n).alias("recall_full"),
         (found.cast("double") / k if k > 0 else F.lit(0.0)).alias("precision"),
-        F.when(n > 0, F.coalesce(F.col("gain"), F.lit(0.0)) / _ideal_gain(n, k)).otherwise(0.0).alias("ndcg"),
+        share(F.coalesce(F.col("gain"), F.lit(0.0)), _ideal_gain(n, k)).alias("ndcg"),
         F.when(found > 0, 1.0).otherwise(0.0).alias("hit_rate"),
         F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0)).alias("mrr"))
 

@@ -97,8 +97,8 @@ def test_improvements_are_smallest(art, applications, leaves):
         else:
             changed += 1
             step = -0.01 if r.min_required > r.current_value else 0.01
-            assert passes(r.request_id, r.field, r.min_required + step / 100 * 0)
-            assert not passes(r.request_id, r.field, r.min_required + step)
+            assert passes(r.request_id, r.field, r.min_required)
+            assert not passes(r.request_id, r.field, round(r.min_required + step, 2))
     assert changed or all(r.min_required in (None, r.current_value) for r in found)
 
 
@@ -149,7 +149,8 @@ def test_unknown_user_without_profile_gets_popular_items_with_score_zero(art, as
 def test_replies_reorder_known_users(art, asked):
     warm = recommend.split_requests(art, asked).filter("NOT cold_start").select("request_id").first().request_id
     one = asked.filter(F.col("request_id") == warm).withColumns({
-        "use_rerank": F.lit(True), "top_k": F.lit(4), "rerank_pool": F.lit(8), "retrieval_pool": F.lit(50)})
+        "use_rerank": F.lit(True), "top_k": F.lit(4), "rerank_pool": F.lit(8), "retrieval_pool": F.lit(50),
+        "purpose_request": F.lit(None).cast("string"), "user_prompt": F.lit(None).cast("string")})
     plain = sorted(recommend.recommend(art, one.withColumn("top_k", F.lit(8))).collect(), key=lambda r: r["rank"])
     last = plain[-1].item_id
     replies = one.select("request_id", F.lit(f'["{last}", "unknown"]').alias("reply"))

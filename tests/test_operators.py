@@ -109,7 +109,7 @@ def test_top_matches_both_ways(spark, monkeypatch):
     got = retrieval.top_matches(queries, items, 7)
     assert {(r.query_id, r.match_id, r["rank"]) for r in got.collect()} == _brute(q, m, 7)
     cell = lambda df: df.withColumn("cell", F.lit(0))
-    blocked = retrieval._ranked(retrieval.blocked_matches(cell(queries), cell(items), 20, 8), None, 7)
+    blocked = retrieval._ranked(retrieval.blocked_matches(cell(queries.withColumn("keep", F.lit(7))), cell(items), 20, 8), None, 7)
     assert {(r.query_id, r.match_id, r["rank"]) for r in blocked.collect()} == _brute(q, m, 7)
     forced = retrieval.top_matches(queries, items, 7, broadcast_values=1)
     assert {(r.query_id, r.match_id, r["rank"]) for r in forced.collect()} == _brute(q, m, 7)
