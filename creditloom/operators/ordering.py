@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.session import settle
+from creditloom.session import settle_in_place
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
-    return settle(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(
+    return settle_in_place(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(
         "_part", F.spark_partition_id())
 
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.session import settle
-
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
@@ -35,7 +33,3 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
-
-def settled_lookup(df: DataFrame) -> DataFrame:
-    """A lookup that several plans read: computed once, then read from the shared folder."""
-    return settle(df)

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from creditloom.functions.text import reply_items
 from creditloom.operators import decisions, preparation as prep, rerank
 from creditloom.operators.sizing import join_lookup
 from creditloom.queries.common import with_catalog
-from creditloom.queries.preparation import PROFILES, profiles_of
+from creditloom.queries.preparation import PROFILES
 from creditloom.queries.registry import query
 from creditloom.session import settle
 from creditloom.sources.loans import loans
@@ -321,7 +322,6 @@ SELECT request_id, CASE WHEN request_id::BIGINT % 5 = 0 THEN NULL
   WHEN request_id::BIGINT % 3 = 0 THEN array_to_string(wanted, '|') ELSE array_to_string(list_append(wanted, 'not a product'), '|') END AS items
 FROM replies""", _REPLIES))
 def reply_lists(spark, folder):
-    from creditloom.functions.text import reply_items
     return replies_of(spark, folder, candidate_lists(spark, folder, rounded_catalog(spark, folder))).select(
         "request_id", F.array_join(reply_items(F.col("reply")), "|").alias("items"))
 

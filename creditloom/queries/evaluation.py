@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators import metrics, preparation as prep
+from creditloom.operators.sizing import join_lookup
 from creditloom.queries.common import with_loans
-from creditloom.queries.preparation import POSITIVES, USER_TYPES, train_positives
+from creditloom.queries.preparation import POSITIVES, USER_TYPES
 from creditloom.queries.registry import query
 from creditloom.session import scratch_path, settle
 from creditloom.sources.files import write_csv, write_json
@@ -209,7 +210,6 @@ FROM (SELECT label, avg(rn) OVER (PARTITION BY score) AS r FROM (SELECT label, r
 def roc_auc(spark, folder):
     rows = loans(spark, folder, "item_id", "label", "split")
     rates = settle(rows.filter("split = 'train'").groupBy("item_id").agg(F.round(F.avg("label"), 9).alias("score")))
-    from creditloom.operators.sizing import join_lookup
     scored = join_lookup(rows.filter("split = 'val'"), rates, ["item_id"], "left").fillna(0.0, ["score"])
     return round_columns(metrics.roc_auc(scored), "auc")
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditloom.constants import SAMPLE_FLOOR, SAMPLE_RATE, SEED, USER_NUMERIC
-from creditloom.functions.random import uniform_word as spark_word
 from creditloom.functions.text import item_part
 from creditloom.operators import features, preparation as prep, sampling
 from creditloom.operators.ordering import dense_index
-from creditloom.queries.common import (
-    CATALOG, LOANS, RAW, uniform_word, with_catalog, with_loans,
-)
+from creditloom.queries.common import RAW, uniform_word, with_catalog, with_loans
 from creditloom.queries.registry import query
 from creditloom.session import scratch_path, settle
 from creditloom.sources.files import scan_loan_csv, scan_vintages, write_csv, write_interactions
@@ -271,17 +268,15 @@ turns AS (SELECT *, row_number() OVER (ORDER BY round(q - base, 9) DESC, grade)
 sizes AS (SELECT grade, base + CASE WHEN t <= rest THEN 1 ELSE 0 END AS wanted FROM turns)"""))
 def stratified_sample(spark, folder):
     rows = loans(spark, folder, "grade", "id", signal_only=False)
-    counts = settle(rows.groupBy("grade").agg(F.count("*").alias("n")))
-    return sampling.sample_groups(rows, "grade", "id", sampling.proportional_sizes(counts, "grade", SAMPLE_RATE), SEED)
+    return sampling.sample_groups(rows, "grade", "id", lambda n: sampling.proportional_sizes(n, "grade", SAMPLE_RATE), SEED)
 
 
 @query("floored_sample", sql=with_loans("""
 SELECT grade, id FROM ranked JOIN counts USING (grade) WHERE turn <= least(n, greatest(30, floor(n * 0.07::DOUBLE)))""", _SAMPLED))
 def floored_sample(spark, folder):
     rows = loans(spark, folder, "grade", "id", signal_only=False)
-    counts = settle(rows.groupBy("grade").agg(F.count("*").alias("n")))
-    return sampling.sample_groups(rows, "grade", "id",
-                                  sampling.floored_sizes(counts, "grade", SAMPLE_RATE, SAMPLE_FLOOR), SEED)
+    return sampling.sample_groups(
+        rows, "grade", "id", lambda n: sampling.floored_sizes(n, "grade", SAMPLE_RATE, SAMPLE_FLOOR), SEED)
 
 
 USER_TYPES = """

@@ -95,8 +95,8 @@ sampled AS (SELECT * FROM ranked WHERE turn <= least(n, greatest(30, floor(n * 0
 
 def _population_and_sample(spark, folder):
     rows = settle(loans(spark, folder, "grade", "loan_status", "id", signal_only=False))
-    counts = settle(rows.groupBy("grade").agg(F.count("*").alias("n")))
-    return rows, sampling.sample_groups(rows, "grade", "id", sampling.floored_sizes(counts, "grade", SAMPLE_RATE, SAMPLE_FLOOR), SEED)
+    return rows, sampling.sample_groups(
+        rows, "grade", "id", lambda n: sampling.floored_sizes(n, "grade", SAMPLE_RATE, SAMPLE_FLOOR), SEED)
 
 
 def _shares_sql(c: str) -> str:

@@ -33,6 +33,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -58,6 +59,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and keep the rows in the shared folder, cutting the lineage."""
+    """Compute once and read back from a table in the shared folder.
+
+    Lineage ends there, later plans read only the columns they use, and the size
+    of the files tells Spark whether a side is small enough to broadcast.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_in_place(df: DataFrame) -> DataFrame:
+    """Compute once, keeping every row in the partition and position it has now."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -48,8 +48,8 @@ def test_sample_sizes_with_a_dominant_group(spark):
     rows = spark.range(9000).select(F.col("id").cast("string").alias("id"),
                                     F.when(F.col("id") % 10 < 7, "big").when(F.col("id") < 40, "tiny").otherwise("mid").alias("g"))
     counts = rows.groupBy("g").agg(F.count("*").alias("n"))
-    sizes = sampling.floored_sizes(counts, "g", 0.07, 30)
-    want = {r.g: r.wanted for r in sizes.collect()}
+    sizes = lambda n: sampling.floored_sizes(n, "g", 0.07, 30)
+    want = {r.g: r.wanted for r in sizes(counts).collect()}
     taken = sampling.sample_groups(rows, "g", "id", sizes, 42)
     assert {r.g: r["count"] for r in taken.groupBy("g").count().collect()} == want
     assert taken.select("id").distinct().count() == taken.count()
