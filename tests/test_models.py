@@ -102,6 +102,14 @@ def test_improvements_are_smallest(art, applications, leaves):
     assert changed or all(r.min_required in (None, r.current_value) for r in found)
 
 
+def test_fields_that_cannot_help_are_listed(art, applications, leaves):
+    """With a threshold nobody reaches, every stated field of every application is named as not achievable."""
+    found = explain.improvements(applications, leaves, art.calibrator(), art.user_spec(), art.item_spec(), threshold=1.01)
+    stated = applications.select(*[F.count(c).alias(c) for c in explain.IMPROVEMENT_FIELDS]).first()
+    rows = found.collect()
+    assert len(rows) == sum(stated) and not any(r.achievable or r.min_required is not None for r in rows)
+
+
 def test_calibration_is_monotone_and_bounded(art, spark):
     grid = spark.createDataFrame([(i / 100,) for i in range(101)], "p double")
     values = [r.calibrated for r in models.calibrated(art.calibrator(), grid, "p").orderBy("p").collect()]
