@@ -98,31 +98,39 @@ def keyed_rows(block: int, keys: np.ndarray, amounts: np.ndarray, buckets: int)
         pa.array([amounts[a:b].tobytes() for a, b in parts], pa.binary())], ["bucket", "block", "keys", "amounts"])
 
 
-def answers(keyed: DataFrame, combine: np.ufunc, answer: Callable[[np.ndarray, np.ndarray], bytes]) -> DataFrame:
+def combine(bucket: pa.Table, how: np.ufunc):
+    """Of a bucket's rows: keys, the blocks' own amounts, the amounts combined per key, and each row's [start, end)."""
+    blobs = bucket["keys"].to_pylist()
+    ends = np.cumsum([len(b) // 8 for b in blobs])
+    keys = np.frombuffer(b"".join(blobs), np.uint64)
+    own = np.frombuffer(b"".join(bucket["amounts"].to_pylist()), np.int64)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] - np.uint64(1)))
+    combined = np.empty(len(keys), np.int64)
+    combined[order] = np.repeat(how.reduceat(own[order], first), np.diff(np.append(first, len(keys))))
+    return keys, own, combined, list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())), order[first]
+
+
+def answers(keyed: DataFrame, how: np.ufunc, answer: Callable[[np.ndarray, np.ndarray], bytes]) -> DataFrame:
     """Combine the amounts of each key over all blocks and answer every block.
 
     `answer(own, combined)` gets, for the keys of one block in one bucket, the
     block's amounts and the combined ones. Returns (block, answers), the answers
     as an array of (bucket, out); `aligned` puts them back in key order.
     """
-    def bucket(table: pa.Table) -> pa.Table:
-        blobs = table["keys"].to_pylist()
-        sizes = np.array([len(b) // 8 for b in blobs])
-        keys = np.frombuffer(b"".join(blobs), np.uint64)
-        own = np.frombuffer(b"".join(table["amounts"].to_pylist()), np.int64)
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] - np.uint64(1)))
-        combined = np.empty(len(keys), np.int64)
-        combined[order] = np.repeat(combine.reduceat(own[order], first), np.diff(np.append(first, len(keys))))
-        ends = np.cumsum(sizes)
-        out = [answer(own[e - n:e], combined[e - n:e]) for n, e in zip(sizes, ends)]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "out": pa.array(out, pa.binary())})
-
-    return (keyed.groupBy("bucket").applyInArrow(bucket, "block long, bucket int, out binary")
-            .groupBy("block").agg(F.collect_list(F.struct("bucket", "out")).alias("answers")))
-
-
-def aligned(keys: np.ndarray, found, buckets: int, decode: Callable[[bytes, int], np.ndarray], kind) -> np.ndarray:
+    def run(bucket: pa.Table) -> pa.Table:
+        _, own, combined, parts, _ = combine(bucket, how)
+        out = [answer(own[a:b], combined[a:b]) for a, b in parts]
+        return pa.table({"block": bucket["block"], "bucket": bucket["bucket"], "out": pa.array(out, pa.binary())})
+
+    return by_block(keyed.groupBy("bucket").applyInArrow(run, "block long, bucket int, out binary"))
+
+
+def by_block(out: DataFrame) -> DataFrame:
+    return out.groupBy("block").agg(F.collect_list(F.struct("bucket", "out")).alias("answers"))
+
+
+def aligned(keys: np.ndarray, found, buckets: int, decode: Callable[[bytes, int], np.ndarray], kind: type) -> np.ndarray:
     """The answers of a block in the order of its keys. `decode(out, n)` gives n values."""
     where = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
@@ -140,3 +148,10 @@ def bits(flags: np.ndarray) -> bytes:
 
 def from_bits(out: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(out, np.uint8), count=n).astype(bool)
+
+
+def keeping(docs: DataFrame, added: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`run` on `docs`, returned with exactly the columns of `docs`, also where `run` adds columns of the same names."""
+    aside = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c in added}
+    out = run(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditloom.llm import decontaminate, packing, simhash, substring_dedup
+from pyspark.sql import functions as F
+
+from creditloom.llm import chat, decontaminate, hmm, langid, licenses, packing, pii, quality, simhash, substring_dedup
 from creditloom.llm.blocks import prepare
 from creditloom.sources.tables import table
 
@@ -72,3 +74,52 @@ def op4(spark, folder):
 @query("op10_packing")
 def op10(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark, folder):
+    return langid.digest(langid.language_id(table(spark, folder, "documents")))
+
+
+@query("op6_pii")
+def op6(spark, folder):
+    return pii.digest(pii.find_pii(table(spark, folder, "documents")))
+
+
+@query("op7_license_scan")
+def op7(spark, folder):
+    return licenses.digest(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op8_chat_format", sql=r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marks AS (SELECT unnest(['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '[ROLE]', '[/ROLE]']) AS mark),
+n AS (SELECT role, text, sum((length(text) - length(replace(text, mark, ''))) // length(mark))
+  + length(replace(text, '\', '\\')) AS escaped FROM (SELECT DISTINCT role, text FROM c), marks GROUP BY role, text),
+f AS (SELECT c.*, escaped + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17 END AS chars
+  FROM c JOIN n USING (role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id""")
+def op8(spark, folder):
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.digest(chat.format_conversations(rows))
+
+
+@query("op9_quality_rules")
+def op9(spark, folder):
+    return quality.digest(quality.quality(table(spark, folder, "documents")))
+
+
+@query("op5_lm_scoring")
+def op5(spark, folder):
+    return hmm.score_texts(table(spark, folder, "documents"))

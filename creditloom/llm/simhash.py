@@ -196,3 +196,20 @@ def simhash_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their component, all columns.
+
+    A row without doc_id stands behind all that have one, and rows that share a
+    doc_id are one document, of which one row stays.
+    """
+    key = "_near_duplicate_key"
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn(key, F.coalesce("doc_id", unnamed))
+    found = settle(simhash_dedup(keyed.select(F.col(key).alias("doc_id"), "text"), max_bits))
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    out = keyed.join(stays.distinct(), key, "left_semi")
+    if stays.groupBy(key).count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([key])
+    return out.select(*docs.columns)
