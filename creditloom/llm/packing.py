@@ -11,11 +11,13 @@ own: a pack's last few sequences are all that is lost against one global order.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ LENGTH = 4096
 END_ID = 2
 PACK_PIECES = 8_192
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 200_000
-_CACHED_BYTES = 64  # longer words are tokenised where they stand
+KEPT_WORDS = 400_000
+_STOPS = frozenset(".,;:!?")
+_BATCH_BYTES = 8_000_000
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -36,56 +39,81 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 class WordTokenizer:
-    """Token ids of whole texts, each distinct word tokenised once.
+    """Token ids of whole texts, each distinct word of a batch tokenised once.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn. The words met first are kept for later
+    batches, `KEPT_WORDS` of them at most.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self):
-        self.index: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
+        self.ends_run = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_run[i] = token.endswith("</w>")
+        self.kept = pa.array([], pa.string())
         self.flat, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > CACHED_WORDS:
-            self._clear()
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        ids = [np.array(e.ids, np.uint32) for e in encoded]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(i) for i in ids]))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; null is empty."""
-        split = [t.encode().split() if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.index}
-        if long := [w for w in new if len(w) > _CACHED_BYTES]:
-            new.difference_update(long)
-        if len(self.index) + len(new) > CACHED_WORDS:
-            self._clear()
-            new = {w for words in split for w in words if len(w) <= _CACHED_BYTES}
-        if new:
-            self._learn(sorted(new))
-        return [self._of(words) for words in split]
-
-    def _of(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint32)
-        try:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:  # it has a long word
-            ids = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids
-            return np.array(ids, np.uint32)
-        start = self.begin[at]
-        size = self.begin[at + 1] - start
-        ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1]) + np.repeat(start - ends + size, size)]
+    def _tokenise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids end to end, and how many each has."""
+        # A run of letters, or of other signs, is tokenised by itself and closes with a token
+        # that says so; words of letters, and those with one stop behind, are told apart by these.
+        runs = np.fromiter(map(_runs, words), np.int64, len(words))
+        simple = [w for w, n in zip(words, runs.tolist()) if n]
+        parts, sizes = [np.empty(0, np.uint32)], np.zeros(len(words), np.int64)
+        if simple:
+            lines = [" ".join(simple[i:i + 100]) for i in range(0, len(simple), 100)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            last = np.flatnonzero(self.ends_run[ids])[np.cumsum(runs[runs > 0]) - 1]
+            sizes[runs > 0] = np.diff(last, prepend=-1)
+            parts.append(ids)
+        others = np.flatnonzero(runs == 0).tolist()
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)):
+            parts.append(np.array(e.ids, np.uint32))
+            sizes[i] = len(parts[-1])
+        # The ids stand with the simple words first; bring them into the words' order.
+        flat = np.concatenate(parts)
+        order = np.concatenate([np.flatnonzero(runs > 0), others]).astype(np.int64)
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(sizes[order]) - sizes[order]
+        return _gather(flat, start, sizes), sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin and end; null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, self.kept), -1).to_numpy().astype(np.int64)
+        flat, begin = self.flat, self.begin
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = coded.dictionary.take(pa.array(fresh))
+            ids, sizes = self._tokenise(new.to_pylist())
+            at[fresh] = len(begin) - 1 + np.arange(len(new))
+            flat, begin = np.concatenate([flat, ids]), np.append(begin, begin[-1] + np.cumsum(sizes))
+            if room := min(len(new), KEPT_WORDS - len(self.kept)):
+                self.kept = pa.concat_arrays([self.kept, new.slice(0, room)])
+                self.begin = begin[:len(self.kept) + 1]
+                self.flat = flat[:self.begin[-1]].copy()
+        which = at[coded.indices.to_numpy()]
+        size = begin[which + 1] - begin[which]
+        ends = np.append(0, np.cumsum(size))
+        return _gather(flat, begin[which], size), ends[np.append(0, np.cumsum(per_text))]
+
+
+def _runs(word: str) -> int:
+    """How many runs a plain word has: 1 of letters alone, 2 with one stop behind; 0 for any other word."""
+    if word.lower().isalpha():
+        return 1
+    return 2 if word[-1:] in _STOPS and word[:-1].lower().isalpha() else 0
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(start - ends + size, size)]
 
 
 @lru_cache(maxsize=2)
@@ -97,10 +125,11 @@ def cut(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) ->
     """doc_id, start, length, ids_crc32, doc_tokens of every piece: full windows, then what remains."""
     def run(batches):
         tokenizer = _word_tokenizer(tokenizer_path(vocabulary))
-        for table in pieces(batches, "text", 1_000_000):
+        for table in pieces(batches, "text", _BATCH_BYTES):
             rows = []
-            for doc_id, ids in zip(table["doc_id"].to_pylist(), tokenizer.encode(table["text"].to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+            flat, bounds = tokenizer.encode(table["text"].combine_chunks().cast(pa.string()))
+            for i, doc_id in enumerate(table["doc_id"].to_pylist()):
+                ids = np.append(flat[bounds[i]:bounds[i + 1]], np.uint32(END_ID)).astype("<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start:start + length]
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
