@@ -10,6 +10,8 @@ Statistics are kept as whole numbers (1/256 steps), so sums and cross products
 are exact and results do not depend on how rows are spread over tasks. Medians
 and the 75 % bound are read off counts per (group, step), never off sorted
 groups, so a source with a third of all rows is summed up before it is shuffled.
+What is known of a group goes back to its rows by a broadcast checked for size,
+or beyond that by a salted join.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditloom.operators.sizing import join_lookup
 from creditloom.session import configure, settle
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -107,7 +110,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution, and its bin."""
-    out = rows.join(fit, "group")
+    out = join_lookup(rows, fit, ["group"])
     for i, c in enumerate(X):
         rest = F.col(c) - F.col(f"m{i}")
         for j in range(i):
@@ -120,7 +123,7 @@ def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """Mean and Cholesky factor of the covariance of each group's closest rows."""
     measured = _distances(rows, fit).select("group", *X, "bin")
-    near = measured.join(_quantiles(measured, ["bin"], [KEPT_SHARE]), "group").where("bin <= q_bin_0")
+    near = join_lookup(measured, settle(_quantiles(measured, ["bin"], [KEPT_SHARE])), ["group"]).where("bin <= q_bin_0")
     sums = near.groupBy("group").agg(
         F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(X)],
         *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
@@ -151,13 +154,13 @@ def quality(docs: DataFrame) -> DataFrame:
     rows = settle(rows.withColumns(dict(zip(X, _vector()))))
     passing = rows.where(~F.col("base_failed")).select("group", *X)
     large = passing.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group")
-    passing = passing.join(settle(large), "group")
+    passing = join_lookup(passing, settle(large), ["group"])
     fit = _start(passing)
     for _ in range(STEPS):
         fit = _concentrate(passing, fit)
     middle = _quantiles(_distances(passing, fit).select("group", "bin"), ["bin"], [0.5]).select(
         "group", (F.expm1((F.col("q_bin_0") + 0.5) / _BINS) / CHI2_MEDIAN).alias("scale"))
-    measured = rows.join(settle(fit.join(middle, "group")), "group", "left")
+    measured = join_lookup(rows, settle(fit.join(middle, "group")), ["group"], "left")
     for i, c in enumerate(X):
         rest = F.col(c) - F.col(f"m{i}")
         for j in range(i):
