@@ -73,7 +73,7 @@ def turn_spans(turns: Turns, template: Template = instruct) -> tuple[str, list[t
         marked = [template([*done, (role, m)]) for m in _MARKS]
         if not longer.startswith(out) or not all(m.startswith(out) for m in marked):
             raise RewritesHistory(f"turn {len(done)} changes what was rendered before")
-        start = len(commonprefix(marked))
+        start = len(out) + len(commonprefix([m[len(out):] for m in marked]))
         after = len(marked[0]) - start - 1
         end = len(longer) - after
         if longer[start:end] != text:
