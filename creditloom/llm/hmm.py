@@ -31,7 +31,7 @@ from creditloom.llm.words import distinct, hashes, spaced_lower
 from creditloom.session import settle
 
 STATES = 4
-ROUNDS = 3
+ROUNDS = 6
 OWN_CLASSES = 1_000
 SHARED_CLASSES = 256
 CHUNK = 32

@@ -219,15 +219,17 @@ def learn(docs: DataFrame) -> Trees:
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(fit)
     trees = Trees([(float(w), _nodes(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")))
                    for w, t in zip(model.treeWeights, model.trees)], {})
-    held = rows.where("not fit").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas()
-    if len(held):
-        margins = np.array([trees.margin(list(x)) for x in held["x"]])
-        kinds = np.array([int(x[0]) for x in held["x"]])
-        weights = held["n"].to_numpy()
-        for k, kind in enumerate(KINDS):
-            mine = np.repeat(np.flatnonzero(kinds == k), weights[kinds == k])
-            if len(mine) and (at := _threshold(margins[mine], held["y"].to_numpy()[mine])) is not None:
-                trees.thresholds[kind] = at
+    counted = rows.groupBy("fit", "x", "y").agg(F.count("*").alias("n")).toPandas()
+    margins = np.array([trees.margin(list(x)) for x in counted["x"]])
+    kinds = np.array([int(x[0]) for x in counted["x"]])
+    fitted, truth, weights = counted["fit"].to_numpy(bool), counted["y"].to_numpy(), counted["n"].to_numpy()
+    for k, kind in enumerate(KINDS):
+        # A small table may have no true candidate of a kind in the second half; then all serve.
+        mine = (kinds == k) & ~fitted
+        mine = mine if truth[mine].any() else kinds == k
+        at = np.repeat(np.flatnonzero(mine), weights[mine])
+        if len(at) and (least := _threshold(margins[at], truth[at])) is not None:
+            trees.thresholds[kind] = least
     return trees
 
 
