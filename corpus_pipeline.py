@@ -40,7 +40,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets in the texts; n_chars becomes the new length."""
-    out = keeping(docs, ["base_spans", "spans"], lambda d: pii.redacted(pii.find_pii(d)))
+    out = keeping(docs, ["base_spans", "spans"], lambda d: pii.find_pii(d, replace=True))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

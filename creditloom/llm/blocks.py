@@ -10,6 +10,7 @@ not one per document, and no task ever holds more than one bucket or one block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give back what Arrow and the allocator hold on to, so that a worker waiting for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Row by row, as a row can be a whole block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)
+    release()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Regroup batches into tables holding about `limit` bytes of `column`, one row at least."""
     held, size = [], 0
@@ -50,6 +66,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def _pack(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.blocks import KEYED, aligned, by_block, combine, keyed_rows, n_buckets, prepare, to_blocks, unpack
+from creditloom.llm.blocks import KEYED, aligned, by_block, combine, keyed_rows, n_buckets, prepare, rows, to_blocks, unpack
 from creditloom.llm.words import distinct, hashes, spaced_lower
 from creditloom.session import settle
 
@@ -225,10 +225,9 @@ def _counted(blocks: DataFrame, buckets: int) -> DataFrame:
     """(block, bucket, out) with the training counts of a block's tokens, and per bucket, under no block,
     its most frequent tokens and the tokens and kinds in each shared class."""
     def send(batches):
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = _Tokens(payload)
-                yield keyed_rows(block, tokens.keys, tokens.training_counts(), buckets)
+        for block, payload in rows(batches):
+            tokens = _Tokens(payload)
+            yield keyed_rows(block, tokens.keys, tokens.training_counts(), buckets)
 
     pair = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64())]))
 
@@ -281,12 +280,11 @@ def train(sequences: DataFrame, class_counts: np.ndarray, states: int = STATES,
 
         def expect(batches):
             counts = None
-            for batch in batches:
-                for packed, n, lengths, training in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                    classes = np.frombuffer(pa.decompress(packed, 2 * n, "zstd"), np.uint16)
-                    lengths, learn = np.frombuffer(lengths, np.int64), np.frombuffer(training, bool)
-                    found = Lanes(classes[np.repeat(learn, lengths)], lengths[learn]).expected(shared.value) if learn.any() else 0
-                    counts = found if counts is None else counts + found
+            for packed, n, lengths, training in rows(batches):
+                classes = np.frombuffer(pa.decompress(packed, 2 * n, "zstd"), np.uint16)
+                lengths, learn = np.frombuffer(lengths, np.int64), np.frombuffer(training, bool)
+                found = Lanes(classes[np.repeat(learn, lengths)], lengths[learn]).expected(shared.value) if learn.any() else 0
+                counts = found if counts is None else counts + found
             if counts is not None and np.ndim(counts):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], ["at", "n"])
 
@@ -314,22 +312,21 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     classes, class_counts, n_all, n_kinds = _classes(counted)
 
     def look_up(batches):
-        for batch in batches:
-            for payload, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = _Tokens(payload)
-                counts = aligned(tokens.keys, found, buckets, _from_int64, np.int64)
-                kind = classes.of(tokens.keys)
-                base = np.log10((counts + 1.0) / (n_all + n_kinds + 1.0))
-                inside = classes.log10_in_class(kind, counts)
-                # Sums by document: every document has its end token at least.
-                sums = [np.add.reduceat(x[tokens.which], tokens.starts) for x in (base, inside, (counts > 0).astype(np.int64))]
-                sequence = kind[tokens.which].astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([pa.compress(sequence.tobytes(), "zstd", asbytes=True)]), pa.array([len(sequence)], pa.int64()),
-                    pa.array([tokens.lengths.tobytes()]), pa.array([tokens.training.tobytes()]),
-                    pa.array([tokens.ids.to_pylist()], pa.list_(pa.int64())), pa.array([sums[0].tolist()], pa.list_(pa.float64())),
-                    pa.array([sums[1].tolist()], pa.list_(pa.float64())), pa.array([sums[2].tolist()], pa.list_(pa.int64()))],
-                    ["classes", "n", "lengths", "training", "ids", "base", "inside", "known"])
+        for payload, found in rows(batches):
+            tokens = _Tokens(payload)
+            counts = aligned(tokens.keys, found, buckets, _from_int64, np.int64)
+            kind = classes.of(tokens.keys)
+            base = np.log10((counts + 1.0) / (n_all + n_kinds + 1.0))
+            inside = classes.log10_in_class(kind, counts)
+            # Sums by document: every document has its end token at least.
+            sums = [np.add.reduceat(x[tokens.which], tokens.starts) for x in (base, inside, (counts > 0).astype(np.int64))]
+            sequence = kind[tokens.which].astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([pa.compress(sequence.tobytes(), "zstd", asbytes=True)]), pa.array([len(sequence)], pa.int64()),
+                pa.array([tokens.lengths.tobytes()]), pa.array([tokens.training.tobytes()]),
+                pa.array([tokens.ids.to_pylist()], pa.list_(pa.int64())), pa.array([sums[0].tolist()], pa.list_(pa.float64())),
+                pa.array([sums[1].tolist()], pa.list_(pa.float64())), pa.array([sums[2].tolist()], pa.list_(pa.int64()))],
+                ["classes", "n", "lengths", "training", "ids", "base", "inside", "known"])
 
     sequences = settle(blocks.select("block", "payload").join(by_block(counted.where("block is not null").select("block", "bucket", "out")), "block", "left")
                        .select("payload", "answers").mapInArrow(
@@ -337,14 +334,13 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     model = docs.sparkSession.sparkContext.broadcast(train(sequences, class_counts, states, rounds))
 
     def score(batches):
-        for batch in batches:
-            for packed, n, lengths, training, ids, base, inside, known in zip(*[c.to_pylist() for c in batch.columns]):
-                lengths = np.frombuffer(lengths, np.int64)
-                _, _, total = Lanes(np.frombuffer(pa.decompress(packed, 2 * n, "zstd"), np.uint16), lengths).forward(model.value)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(~np.frombuffer(training, bool)), pa.array(lengths), pa.array(known, pa.int64()),
-                    pa.array([n_all] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(total / np.log(10) + np.array(inside))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for packed, n, lengths, training, ids, base, inside, known in rows(batches):
+            lengths = np.frombuffer(lengths, np.int64)
+            _, _, total = Lanes(np.frombuffer(pa.decompress(packed, 2 * n, "zstd"), np.uint16), lengths).forward(model.value)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(~np.frombuffer(training, bool)), pa.array(lengths), pa.array(known, pa.int64()),
+                pa.array([n_all] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(total / np.log(10) + np.array(inside))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return sequences.mapInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

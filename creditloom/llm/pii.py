@@ -236,8 +236,8 @@ def learn(docs: DataFrame) -> Trees:
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
-def find(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The rows of `docs`, all columns, with base_spans and spans."""
+def find(docs: DataFrame, trees: Trees, replace: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns, with base_spans and spans; with `replace`, the spans are redacted in `text`."""
     rows = docs.drop("base_spans", "spans")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -247,13 +247,17 @@ def find(docs: DataFrame, trees: Trees) -> DataFrame:
             for i, name in enumerate(("base_spans", "spans")):
                 values = [[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found]
                 table = table.append_column(name, pa.array(values, kind))
+            if replace:
+                at = table.schema.get_field_index("text")
+                texts = [redact(t, f[1]) for t, f in zip(table["text"].to_pylist(), found)]
+                table = table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type))
             yield from table.combine_chunks().to_batches()
 
     return rows.mapInArrow(run, StructType(rows.schema.fields + StructType.fromDDL(f"base_spans {SPANS}, spans {SPANS}").fields))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, ...), all columns, with base_spans and spans.
+def find_pii(docs: DataFrame, replace: bool = False) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...), all columns, with base_spans and spans; `replace` redacts `text`.
 
     Null and empty texts have none. If the sample has no candidates, or only of
     one label, just the base spans are returned. Equal spans of different kinds
@@ -261,28 +265,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
     like any other. Columns named base_spans or spans are replaced.
     """
     prepare(docs.sparkSession)
-    return find(docs, learn(docs))
+    return find(docs, learn(docs), replace)
 
 
-def redact(text: str | None, spans) -> str | None:
-    """The text with each maximal run of overlapping spans replaced by the first one's kind in brackets."""
-    if not text or not len(spans):
-        return text
+def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """The text with each run of overlapping spans replaced by the first one's kind in brackets."""
     out, last = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-        if s["start"] >= last:
-            out += [text[last:s["start"]], f"[{s['kind'].upper()}]"]
-        last = max(last, s["end"])
-    return "".join([*out, text[last:]])
-
-
-def redacted(found: DataFrame) -> DataFrame:
-    """`find_pii`'s rows with the spans replaced in `text`."""
-    @F.pandas_udf("string")
-    def run(texts, spans):
-        return texts.combine(spans, redact)
-
-    return found.withColumn("text", run("text", "spans"))
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= last:
+            out += [text[last:start], f"[{kind.upper()}]"]
+        last = max(last, end)
+    return "".join([*out, text[last:]]) if out else text
 
 
 def digest(found: DataFrame) -> DataFrame:

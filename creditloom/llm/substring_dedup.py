@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.blocks import KEYED, aligned, answers, bits, from_bits, keyed_rows, n_buckets, prepare, to_blocks, unpack
+from creditloom.llm.blocks import KEYED, aligned, answers, bits, from_bits, keyed_rows, n_buckets, prepare, rows, to_blocks, unpack
 from creditloom.llm.words import distinct, hashes, rolling, spaced
 
 WINDOW = 13
@@ -72,10 +72,6 @@ class _Block:
         return self.windows(at[flags])
 
 
-def _columns(batch: pa.RecordBatch):
-    return zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)])
-
-
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row of `docs` (doc_id, text).
 
@@ -90,48 +86,45 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     buckets = n_buckets(blocks, 14)
 
     def send_anchors(batches):
-        for batch in batches:
-            for block, payload in _columns(batch):
-                own = _Block(payload)
-                at, hashed = own.anchors()
-                keys, order, first = distinct(hashed)
-                last = np.append(first[1:], len(at)) - 1
-                docs_of = own.doc[at[order]]
-                twice = (docs_of[first] != docs_of[last]) if len(at) else np.empty(0, bool)
-                yield keyed_rows(block, keys, 1 + twice.astype(np.int64), buckets)
+        for block, payload in rows(batches):
+            own = _Block(payload)
+            at, hashed = own.anchors()
+            keys, order, first = distinct(hashed)
+            last = np.append(first[1:], len(at)) - 1
+            docs_of = own.doc[at[order]]
+            twice = (docs_of[first] != docs_of[last]) if len(at) else np.empty(0, bool)
+            yield keyed_rows(block, keys, 1 + twice.astype(np.int64), buckets)
 
     def send_windows(batches):
-        for batch in batches:
-            for block, payload, found in _columns(batch):
-                own = _Block(payload)
-                at, hashed = own.shared_windows(found, buckets)
-                keys, order, first = distinct(hashed)
-                smallest = np.minimum.reduceat(own.key[own.doc[at[order]]], first) if len(at) else np.empty(0, np.int64)
-                yield keyed_rows(block, keys, smallest, buckets)
+        for block, payload, found in rows(batches):
+            own = _Block(payload)
+            at, hashed = own.shared_windows(found, buckets)
+            keys, order, first = distinct(hashed)
+            smallest = np.minimum.reduceat(own.key[own.doc[at[order]]], first) if len(at) else np.empty(0, np.int64)
+            yield keyed_rows(block, keys, smallest, buckets)
 
     def remove(batches):
-        for batch in batches:
-            for payload, found, earlier in _columns(batch):
-                own = _Block(payload)
-                at, hashed = own.shared_windows(found, buckets)
-                keys, order, first = distinct(hashed)
-                change = np.zeros(len(own.doc) + WINDOW + 1, np.int64)
-                if len(at):
-                    ids = own.key[own.doc[at[order]]]
-                    sizes = np.diff(np.append(first, len(at)))
-                    elsewhere = np.repeat(aligned(keys, earlier, buckets, from_bits, bool), sizes)
-                    gone = at[order][elsewhere | (np.repeat(np.minimum.reduceat(ids, first), sizes) < ids)]
-                    np.add.at(change, gone, 1)
-                    np.add.at(change, gone + WINDOW, -1)
-                covered = np.cumsum(change)[:len(own.doc)] > 0
-                removed, kept = [], []
-                for words, start, n in zip(own.words, own.starts, own.lengths):
-                    out = covered[start:start + n]
-                    removed.append(int(out.sum()))
-                    kept.append((b" ".join(words if not removed[-1] else [w for w, x in zip(words, out) if not x])).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [own.ids.combine_chunks().cast(pa.int64()), pa.array(own.lengths, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        for payload, found, earlier in rows(batches):
+            own = _Block(payload)
+            at, hashed = own.shared_windows(found, buckets)
+            keys, order, first = distinct(hashed)
+            change = np.zeros(len(own.doc) + WINDOW + 1, np.int64)
+            if len(at):
+                ids = own.key[own.doc[at[order]]]
+                sizes = np.diff(np.append(first, len(at)))
+                elsewhere = np.repeat(aligned(keys, earlier, buckets, from_bits, bool), sizes)
+                gone = at[order][elsewhere | (np.repeat(np.minimum.reduceat(ids, first), sizes) < ids)]
+                np.add.at(change, gone, 1)
+                np.add.at(change, gone + WINDOW, -1)
+            covered = np.cumsum(change)[:len(own.doc)] > 0
+            removed, kept = [], []
+            for words, start, n in zip(own.words, own.starts, own.lengths):
+                out = covered[start:start + n]
+                removed.append(int(out.sum()))
+                kept.append((b" ".join(words if not removed[-1] else [w for w, x in zip(words, out) if not x])).decode())
+            yield pa.RecordBatch.from_arrays(
+                [own.ids.combine_chunks().cast(pa.int64()), pa.array(own.lengths, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     shared = answers(blocks.select("block", "payload").mapInArrow(send_anchors, KEYED), np.add,
                      lambda own, total: bits(total > 1))

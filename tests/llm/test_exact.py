@@ -216,7 +216,7 @@ def test_pii(llm, documents, odd, nothing):
     secrets = {r["text"][s["start"]:s["end"]] for r in pii.find_pii(more).collect() for s in r["spans"] if s["kind"] == "secret"}
     assert secrets == {x for r in more.collect() for x in re.findall(r'token = "([0-9a-f]{40})"', r["text"])}
     assert pii.find_pii(nothing).count() == 0
-    clean = pii.redacted(pii.find_pii(odd)).where("doc_id = 9").first()["text"]
+    clean = pii.find_pii(odd, replace=True).where("doc_id = 9").first()["text"]
     assert clean == "mail [EMAIL] or [PHONE] at [IP] \U0001F600 card [CARD]"
 
 
