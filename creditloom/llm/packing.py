@@ -28,9 +28,9 @@ LENGTH = 4096
 END_ID = 2
 PACK_PIECES = 8_192
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 _STOPS = frozenset(".,;:!?")
-_BATCH_BYTES = 8_000_000
+_BATCH_BYTES = 4_000_000
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
