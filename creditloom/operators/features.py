@@ -63,15 +63,17 @@ class FeatureSpec:
         return cls(**json.loads(spark.read.schema("spec string").json(path).first().spec))
 
 
-def _category_values(rows: DataFrame, column: str) -> list[str]:
+def category_values(rows: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """The categories of a column. Each is a feature of its own, so beyond `most` this is an error, never a cut."""
     values = [r[0] for r in rows.select(F.coalesce(F.col(column), F.lit(MISSING_CATEGORY)).alias("v")).distinct()
-              .limit(MAX_CATEGORIES + 1).collect()]
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories; collapse rare ones first")
+              .limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} categories; collapse rare ones first")
     return sorted(values)
 
 
-def fit_features(rows: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...]) -> FeatureSpec:
+def fit_features(rows: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...],
+                 max_categories: int = MAX_CATEGORIES) -> FeatureSpec:
     numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in numeric])
     medians = exact_quantiles(numbers, {c: (c, 0.5) for c in numeric}).first().asDict()
     medians = {c: (0.0 if medians[c] is None else medians[c]) for c in numeric}
@@ -80,7 +82,7 @@ def fit_features(rows: DataFrame, numeric: tuple[str, ...], categorical: tuple[s
                        *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
     return FeatureSpec(
         medians, {c: stats[f"m_{c}"] for c in numeric}, {c: stats[f"s_{c}"] or 1.0 for c in numeric},
-        {c: _category_values(rows, c) for c in categorical})
+        {c: category_values(rows, c, max_categories) for c in categorical})
 
 
 def user_rows(profiles: DataFrame) -> DataFrame:

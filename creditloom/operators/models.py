@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -136,7 +136,6 @@ class FactorRanker:
     factors: list[list[float]]
     user_dim: int
     item_dim: int
-    items: list[str]
 
     def _side(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self.linear[start:stop]), np.array(self.factors[start:stop])
@@ -161,21 +160,22 @@ class FactorRanker:
         return users.select("member_id", vector("user_features").alias("vector"))
 
     def item_vectors(self, items: DataFrame) -> DataFrame:
-        """(item_id, vector) out of (item_id, item_features)."""
+        """(item_id, vector) out of (item_id, item_idx, item_features); a product that was not fitted has a null item_idx."""
         linear, factors = self._side(self.user_dim, self.user_dim + self.item_dim)
         own_linear, own_factors = self._side(self.user_dim + self.item_dim, len(self.linear))
-        place = {item: i for i, item in enumerate(self.items)}
         intercept, project = self.intercept, self._project
 
         @F.pandas_udf("array<double>")
         def vector(item: pd.Series, features: pd.Series) -> pd.Series:
-            at = item.map(place)
-            one_hot = (at.to_numpy()[:, None] == np.arange(len(place))[None, :]).astype(float)
-            x = np.hstack([np.stack(features.to_numpy()), one_hot])
-            own, meet = project(x, np.concatenate([linear, own_linear]), np.vstack([factors, own_factors]))
+            # Of the product's own weights one row is looked up, no one-hot matrix is made.
+            own, meet = project(np.stack(features.to_numpy()), linear, factors)
+            at = item.fillna(-1).to_numpy().astype(int)
+            fitted = (at >= 0) & (at < len(own_linear))
+            own[fitted] += own_linear[at[fitted]] + (meet[fitted] * own_factors[at[fitted]]).sum(axis=1)
+            meet[fitted] += own_factors[at[fitted]]
             return pd.Series(list(np.column_stack([meet, np.ones(len(own)), own + intercept])))
 
-        return items.select("item_id", vector("item_id", "item_features").alias("vector"))
+        return items.select("item_id", vector("item_idx", "item_features").alias("vector"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(json.dumps(self.__dict__),)], "model string").write.json(path)
@@ -185,20 +185,20 @@ class FactorRanker:
         return cls(**json.loads(spark.read.schema("model string").json(path).first().model))
 
 
-def fit_factor_ranker(pairs: DataFrame, users: DataFrame, items: DataFrame, catalog: list[str], factors: int = 16,
+def fit_factor_ranker(pairs: DataFrame, users: DataFrame, items: DataFrame, factors: int = 16,
                       iterations: int = 100, step: float = 0.05) -> FactorRanker:
-    """Fits on (member_id, item_id, label). `catalog` lists the products, a few hundred at most."""
-    one_hot = F.transform(F.array(*[F.lit(c) for c in catalog]), lambda c: (c == F.col("item_id")).cast("double"))
+    """Fits on (member_id, item_id, label); `items` numbers the products from 0 in item_idx, however many there are."""
+    encoder = OneHotEncoder(inputCol="item_idx", outputCol="own", dropLast=False).fit(items)
     joined = join_lookup(pairs.join(users.select("member_id", "user_features"), "member_id"),
-                         settle(items.select("item_id", F.concat("item_features", one_hot).alias("item_part"))), ["item_id"])
-    dense = joined.select("label", array_to_vector(F.concat("user_features", "item_part")).alias("dense"))
+                         settle(items.select("item_id", "item_idx", "item_features")), ["item_id"])
+    dense = encoder.transform(joined.select("label", "item_idx", array_to_vector(F.concat("user_features", "item_features")).alias("dense")))
     # Most entries are zeros of one-hot columns; the assembler stores such rows sparsely.
-    data = for_training(VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense).drop("dense"))
+    data = for_training(VectorAssembler(inputCols=["dense", "own"], outputCol="features").transform(dense).select("label", "features"))
     model = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=step, regParam=0.001, seed=SEED).fit(data)
     user_dim = len(users.select("user_features").first()[0])
     weights = model.factors.toArray()
     return FactorRanker(float(model.intercept), [float(w) for w in model.linear.toArray()], weights.tolist(),
-                        user_dim, len(model.linear) - user_dim - len(catalog), list(catalog))
+                        user_dim, len(model.linear) - user_dim - encoder.categorySizes[0])
 
 
 def score_candidates(candidates: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame) -> DataFrame:

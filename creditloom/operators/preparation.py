@@ -14,15 +14,10 @@ from creditloom.functions.text import item_id
 from creditloom.operators.ordering import running_totals
 from creditloom.operators.sizing import join_lookup
 from creditloom.session import settle
+from creditloom.sources.files import with_user_id  # noqa: F401
 from creditloom.sources.loans import split_of
 
 
-def with_user_id(raw: DataFrame) -> DataFrame:
-    """member_id as trimmed text; when no row has one, `id` takes its place."""
-    has_any = raw.agg((F.count("member_id") > 0).alias("has_any")).scalar()
-    return raw.withColumn("member_id", F.trim(F.when(has_any, F.col("member_id")).otherwise(F.col("id")).cast("string")))
-
-
 def parse_month(text: Column) -> Column:
     """Jan-1997 -> date; anything else -> null."""
     return F.try_to_timestamp(text, F.lit("MMM-yyyy")).cast("date")

@@ -9,7 +9,7 @@ from creditloom.constants import SEED
 from creditloom.operators import metrics, models, rerank
 from creditloom.operators.sampling import smallest_by_hash
 from creditloom.plans.offline import Artefacts
-from creditloom.plans.recommend import rank_catalog, rank_pool, retrieve
+from creditloom.plans.recommend import popular_list, rank_catalog, rank_pool, retrieve
 from creditloom.session import settle
 
 RETRIEVAL, RANKING, REPLIES = "retrieval", "ranking", "replies"
@@ -30,10 +30,18 @@ def truth_of(art: Artefacts, split: str = "test") -> DataFrame:
 
 
 def stage_rankings(art: Artefacts, users: DataFrame, pool: int, depth: int, replies: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Rankings after retrieval, after ranking and, with replies (request_id = member_id), after reordering."""
+    """Rankings after retrieval, after ranking and, with replies (request_id = member_id), after reordering.
+
+    Users without factors get the popular products, as a request of theirs would,
+    and keep that order when the others are ranked.
+    """
     found = settle(retrieve(art, users.select("member_id", F.lit(pool).alias("keep"))))
-    first = found.filter(F.col("retrieval_rank") <= depth).select("member_id", "item_id", F.col("retrieval_rank").alias("rank"))
-    second = settle(rank_pool(art, found, depth))
+    cold = users.select("member_id").join(art.table("user_factors").select("member_id"), "member_id", "left_anti")
+    popular = settle(cold.select("member_id", F.posexplode(F.slice(popular_list(art), 1, depth)).alias("p", "item_id")).select(
+        "member_id", "item_id", (F.col("p") + 1).alias("rank")))
+    first = found.filter(F.col("retrieval_rank") <= depth).select(
+        "member_id", "item_id", F.col("retrieval_rank").alias("rank")).unionByName(popular)
+    second = settle(rank_pool(art, found, depth).select("member_id", "item_id", "rank").unionByName(popular))
     stages = [first.withColumn("stage", F.lit(RETRIEVAL)), second.withColumn("stage", F.lit(RANKING))]
     if replies is not None:
         third = rerank.apply_replies(second.withColumnRenamed("member_id", "request_id"), replies)
@@ -45,8 +53,8 @@ def stage_rankings(art: Artefacts, users: DataFrame, pool: int, depth: int, repl
     return out, names
 
 
-def evaluate(art: Artefacts, k: int = 10, n_users: int | None = 2000, pool: int = 100) -> DataFrame:
-    """Mean metrics of the full chain over up to `n_users` test users."""
+def evaluate(art: Artefacts, k: int = 10, n_users: int | None = None, pool: int = 100) -> DataFrame:
+    """Mean metrics of the full chain over all test users, or a sample of `n_users`."""
     users = test_users(art, n_users)
     rankings, _ = stage_rankings(art, users, pool, k)
     per_user = metrics.user_metrics(rankings.filter(F.col("stage") == RANKING), truth_of(art), users, [RANKING], k)
@@ -62,8 +70,8 @@ def history_replies(art: Artefacts, ranked: DataFrame) -> DataFrame:
     return named.select(F.col("member_id").alias("request_id"), F.concat(F.lit("["), F.col("l"), F.lit("]")).alias("reply"))
 
 
-def ablation(art: Artefacts, k: int = 5, n_users: int | None = 1000, pool: int = 50, depth: int = 10) -> DataFrame:
-    """Per-user metrics of every stage, warm users first in the sample."""
+def ablation(art: Artefacts, k: int = 5, n_users: int | None = None, pool: int = 50, depth: int = 10) -> DataFrame:
+    """Per-user metrics of every stage over all test users; in a sample of `n_users`, warm ones come first."""
     users = test_users(art, n_users, warm_first=True)
     found = settle(retrieve(art, users.select("member_id", F.lit(pool).alias("keep"))))
     replies = history_replies(art, settle(rank_pool(art, found, depth)))
@@ -71,7 +79,7 @@ def ablation(art: Artefacts, k: int = 5, n_users: int | None = 1000, pool: int =
     return metrics.user_metrics(rankings, truth_of(art), users, names, k)
 
 
-def top_ids_per_stage(art: Artefacts, n_users: int | None = 1000, pool: int = 50, depth: int = 5) -> DataFrame:
+def top_ids_per_stage(art: Artefacts, n_users: int | None = None, pool: int = 50, depth: int = 5) -> DataFrame:
     """One row per user with the first products of each stage as arrays."""
     users = test_users(art, n_users, warm_first=True)
     rankings, names = stage_rankings(art, users, pool, depth)
@@ -85,12 +93,11 @@ def compare_rankers(art: Artefacts, iterations: tuple[int, ...] = (10, 50, 100),
     Ranks the whole catalog, or the `pool` retrieved products when given.
     """
     pairs, users, items = art.table("training_pairs"), art.table("users"), art.table("items")
-    catalog = sorted(r.item_id for r in items.select("item_id").limit(1000).collect())
     truth = truth_of(art, "val")
     people = settle(truth.select("member_id").distinct())
     rows = None
     for n in iterations:
-        ranker = models.fit_factor_ranker(pairs, users, items, catalog, iterations=n)
+        ranker = models.fit_factor_ranker(pairs, users, items, iterations=n)
         tried = _WithVectors(art, settle(ranker.user_vectors(users)), settle(ranker.item_vectors(items)))
         if pool is None:
             ranked = rank_catalog(tried, people, k)

@@ -62,21 +62,29 @@ def _save(df: DataFrame, root: str, name: str) -> DataFrame:
 def prepare(loans: DataFrame, root: str, profile_split: str | None = None) -> None:
     """Positives, catalog, profiles and feature tables.
 
-    Profiles and the catalog use all loans unless `profile_split` names a split;
-    the users of that split are then the known ones.
+    The feature lists are fitted on all loans unless `profile_split` names a split.
+    The users of that split are then the `known` ones, with their profile of that
+    time; everybody is transformed, the others with their latest profile.
     """
     spark = loans.sparkSession
     _save(prep.positive_interactions(loans, "split"), root, "positives")
     fitted = loans if profile_split is None else loans.filter(F.col("split") == profile_split)
     catalog = _save(prep.item_catalog(loans), root, "catalog")
-    profiles = _save(prep.latest_profile(fitted, PROFILE_COLUMNS), root, "profiles")
-    user_rows = _save(features.user_rows(profiles), root, "user_rows")
-    user_spec = features.fit_features(user_rows, features.USER_NUMERIC, features.USER_CATEGORICAL)
+    profiles = prep.latest_profile(fitted, PROFILE_COLUMNS).withColumn("known", F.lit(True))
+    if profile_split is not None:
+        others = loans.join(fitted.select("member_id").distinct(), "member_id", "left_anti")
+        profiles = profiles.unionByName(prep.latest_profile(others, PROFILE_COLUMNS).withColumn("known", F.lit(False)))
+    profiles = _save(profiles, root, "profiles")
+    known = profiles.filter("known").drop("known")
+    user_spec = features.fit_features(_save(features.user_rows(known), root, "user_rows"),
+                                      features.USER_NUMERIC, features.USER_CATEGORICAL)
     item_spec = features.fit_item_features(catalog)
     user_spec.save(spark, f"{root}/user_spec")
     item_spec.save(spark, f"{root}/item_spec")
-    _save(user_rows.select("member_id", user_spec.vector().alias("user_features")), root, "users")
-    _save(catalog.select("item_id", item_spec.vector().alias("item_features")), root, "items")
+    people = profiles.withColumn("addr_state", features.known_state(user_spec, F.col("addr_state")))
+    _save(people.select("member_id", "known", user_spec.vector().alias("user_features")), root, "users")
+    _save(catalog.join(dense_index(catalog, "item_id", "item_idx"), "item_id").select(
+        "item_id", "item_idx", item_spec.vector().alias("item_features")), root, "items")
 
 
 def train_retrieval(art: Artefacts, factors: int, iterations: int) -> None:
@@ -107,8 +115,7 @@ def train_ranking(art: Artefacts, iterations: int) -> None:
     negatives = prep.sample_negatives(positives)
     pairs = _save(prep.training_pairs(positives, negatives), art.root, "training_pairs")
     users, items = art.table("users"), art.table("items")
-    catalog = sorted(r.item_id for r in items.select("item_id").limit(features.MAX_CATEGORIES).collect())
-    ranker = models.fit_factor_ranker(pairs, users, items, catalog, iterations=iterations)
+    ranker = models.fit_factor_ranker(pairs, users, items, iterations=iterations)
     ranker.save(art.spark, f"{art.root}/ranker")
     _save(ranker.user_vectors(users), art.root, "user_rank_vectors")
     _save(ranker.item_vectors(items), art.root, "item_rank_vectors")

@@ -44,7 +44,7 @@ def split_requests(art: Artefacts, requests: DataFrame) -> DataFrame:
 def requester_features(art: Artefacts, requests: DataFrame) -> DataFrame:
     """(request_id, user_features) where a profile is stored or stated."""
     spec = art.user_spec()
-    profile = decisions.requester_profile(requests, art.table("profiles")).filter("profile_source <> 'none'")
+    profile = decisions.requester_profile(requests, art.table("profiles").filter("known")).filter("profile_source <> 'none'")
     return profile.withColumn("addr_state", known_state(spec, F.col("addr_state"))).select(
         "request_id", spec.vector().alias("user_features"))
 
@@ -129,7 +129,7 @@ def responses(recommendations: DataFrame) -> DataFrame:
 def application_rows(art: Artefacts, requests: DataFrame) -> DataFrame:
     """Raw fields and feature vector of every request with a profile and a requested product."""
     return explain.application_features(
-        decisions.requester_profile(requests, art.table("profiles")), decisions.requested_product(requests),
+        decisions.requester_profile(requests, art.table("profiles").filter("known")), decisions.requested_product(requests),
         art.user_spec(), art.item_spec())
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.constants import SIGNIFICANCE_LEVEL
 from creditloom.operators import metrics, preparation as prep
 from creditloom.operators.sizing import join_lookup
 from creditloom.queries.common import with_loans
@@ -181,11 +182,24 @@ def paired_t_statistic(spark, folder):
     return round_columns(round_columns(metrics.paired_t(warm, "repeated", "popular"), "lift"), "t", digits=4)
 
 
-@query("paired_t_test")
+@query("paired_t_test", sql=_sql("""
+SELECT metric, n_users, round(lift, 6) AS lift, df, round(t, 4) AS t, low_power, round(greatest(p, 0.0), 6) AS p, p < 0.05 AS significant
+FROM (SELECT metric, n_users, lift, df, t, low_power, 1 - 2 * middle AS p FROM (
+  SELECT metric, any_value(n_users) AS n_users, any_value(lift) AS lift, any_value(df) AS df, any_value(t) AS t, any_value(low_power) AS low_power,
+    sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - 0.5 * ln(df * pi()) - (df + 1) / 2.0 * ln(1 + (abs(t) * i / 20000.0) ** 2 / df)))
+      * abs(any_value(t)) / 60000.0 AS middle
+  FROM (SELECT metric, count(*) AS n_users, avg(change) AS lift, count(*) - 1 AS df,
+      CASE WHEN count(*) >= 5 THEN avg(change) / (stddev_samp(change) / sqrt(count(*))) END AS t, count(*) < 30 AS low_power
+    FROM (SELECT 'ndcg' AS metric, a.ndcg - b.ndcg AS change FROM per_user a JOIN per_user b USING (member_id)
+          WHERE a.stage = 'repeated' AND b.stage = 'popular' AND a.user_type = 'Warm Start'
+          UNION ALL SELECT 'recall_full', a.recall_full - b.recall_full FROM per_user a JOIN per_user b USING (member_id)
+          WHERE a.stage = 'repeated' AND b.stage = 'popular' AND a.user_type = 'Warm Start')
+    GROUP BY metric), range(20001) r(i) GROUP BY metric))"""))
 def paired_t_test(spark, folder):
     warm = per_user_metrics(spark, folder).filter("user_type = 'Warm Start'")
-    return metrics.with_p_value(metrics.paired_t(warm, "repeated", "popular")).withColumn(
-        "significant", F.col("p") < F.lit(0.05))
+    tests = metrics.with_p_value(metrics.paired_t(warm, "repeated", "popular")).withColumn("significant", F.col("p") < F.lit(SIGNIFICANCE_LEVEL))
+    return round_columns(round_columns(tests, "lift", "p"), "t", digits=4)
 
 
 _SCORED = """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from creditloom.operators import explain, metrics, models, rerank
 from creditloom.operators.sizing import join_lookup
 from creditloom.plans import evaluate, offline, recommend
+from creditloom.queries.common import with_loans
 from creditloom.queries.registry import query
 from creditloom.session import settle
 from creditloom.sources.loans import loans
@@ -61,6 +62,27 @@ def calibration_curve(spark, folder):
         F.avg("label").alias("observed"))
 
 
+@query("pair_repay_keys", sql=with_loans("""
+SELECT count(*) AS n_pairs, count(DISTINCT member_id) AS n_users, count(DISTINCT item_id) AS n_items, 0::BIGINT AS n_bad
+FROM (SELECT DISTINCT member_id, item_id FROM loans WHERE split = 'test')"""))
+def pair_repay_keys(spark, folder):
+    """Every test pair has both probabilities, between 0 and 1."""
+    rows = pair_repay_probabilities(spark, folder)
+    bad = ~(F.col("raw_prob").between(0, 1) & F.col("repay_prob").between(0, 1))
+    return rows.agg(F.count("*").alias("n_pairs"), F.countDistinct("member_id").alias("n_users"),
+                    F.countDistinct("item_id").alias("n_items"), F.count_if(F.coalesce(bad, F.lit(True))).alias("n_bad"))
+
+
+@query("ablation_users", sql=with_loans("""
+, users AS (SELECT member_id, bool_or(split = 'train') AS warm FROM loans WHERE label = 1 AND split IN ('train', 'test')
+  GROUP BY member_id HAVING bool_or(split = 'test'))
+SELECT stage, CASE WHEN warm THEN 'Warm Start' ELSE 'Cold Start' END AS user_type, count(*) AS n_users
+FROM users, (VALUES ('retrieval'), ('ranking'), ('replies')) s(stage) GROUP BY ALL"""))
+def ablation_users(spark, folder):
+    """Every test user, warm or cold, is scored in every stage."""
+    return evaluate.ablation(trained(spark, folder)).groupBy("stage", "user_type").agg(F.countDistinct("member_id").alias("n_users"))
+
+
 @query("pair_repay_probabilities")
 def pair_repay_probabilities(spark, folder):
     """Calibrated probability of every pair of user and product with a test loan."""
@@ -102,7 +124,7 @@ def perceptron_scores(spark, folder):
 def catalog_ranking(spark, folder):
     """Ten best products of the whole catalog for every known user."""
     art = trained(spark, folder)
-    return recommend.rank_catalog(art, art.table("users"), 10)
+    return recommend.rank_catalog(art, art.table("users").filter("known"), 10)
 
 
 @query("recommendations")

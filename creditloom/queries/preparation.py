@@ -11,7 +11,7 @@ from creditloom.operators.ordering import dense_index
 from creditloom.queries.common import RAW, uniform_word, with_catalog, with_loans
 from creditloom.queries.registry import query
 from creditloom.session import scratch_path, settle
-from creditloom.sources.files import scan_loan_csv, scan_vintages, write_csv, write_interactions
+from creditloom.sources.files import find_vintages, scan_loan_csv, scan_vintages, write_csv, write_interactions
 from creditloom.sources.loans import loans, raw_loans
 
 
@@ -38,14 +38,30 @@ def item_catalog(spark, folder):
         F.round("int_rate", 4).alias("int_rate"), F.round("loan_amnt", 2).alias("loan_amnt"))
 
 
+@query("vintage_user_ids", sql="WITH " + RAW + """
+SELECT year(issue_date)::INTEGER AS issue_year, count(*) AS n_loans,
+  count(DISTINCT CASE WHEN year(issue_date) < 1998 THEN id::VARCHAR ELSE member_id::VARCHAR END) AS n_users
+FROM raw GROUP BY year(issue_date)""")
+def vintage_user_ids(spark, folder):
+    """Two files in one folder; the older one has no user ids, so there the loan's own id stands in."""
+    rows = settle(raw_loans(spark, folder, "member_id", "id", "loan_status", "issue_d"))
+    year = F.substring("issue_d", 5, 4).cast("int")
+    root = scratch_path(spark, "vintages")
+    write_csv(rows.filter(year < 1998).select("loan_status", "id", "issue_d"), f"{root}/accepted_old.csv")
+    write_csv(rows.filter(year >= 1998).select("issue_d", "id", "member_id", "loan_status"), f"{root}/accepted_new.csv")
+    both = scan_vintages(spark, find_vintages(spark, root), ["member_id", "issue_d"])
+    return both.groupBy(year.alias("issue_year")).agg(F.count("*").alias("n_loans"), F.countDistinct("member_id").alias("n_users"))
+
+
 @query("loan_csv_scan", sql="WITH " + RAW + """
 SELECT grade, term, count(*) AS n_loans, sum(loan_amnt::DECIMAL(18,2))::DOUBLE AS loan_amnt
 FROM raw GROUP BY grade, term""")
 def loan_csv_scan(spark, folder):
     path = scratch_path(spark, "loans-csv")
-    write_csv(raw_loans(spark, folder).select(*[
-        "member_id", "id", "loan_amnt", "term", "int_rate", "grade", "purpose", "loan_status", "issue_d", "annual_inc",
-        "dti", "fico_range_low", "fico_range_high", "home_ownership", "addr_state", "emp_length"]), path)
+    # Not in the layout's order, and with a column the layout does not have.
+    write_csv(raw_loans(spark, folder).select(
+        "id", "member_id", "issue_d", "loan_status", "grade", F.lit("n").alias("note"), "purpose", "term", "int_rate",
+        "loan_amnt", "annual_inc", "dti", "home_ownership", "addr_state", "emp_length", "fico_range_high", "fico_range_low"), path)
     return (scan_loan_csv(spark, path, "grade", "term", "loan_amnt").groupBy("grade", "term").agg(
         F.count("*").alias("n_loans"), F.sum(F.col("loan_amnt").cast("decimal(18,2)")).cast("double").alias("loan_amnt")))
 
@@ -231,8 +247,7 @@ def unseen_category_features(spark, folder):
     train = users.filter("split = 'train'").select("member_id", "addr_state", "home_ownership").distinct()
     listed = [r.addr_state for r in prep.top_states(train).collect()]
     spec = features.FeatureSpec({}, {}, {}, {
-        "home_ownership": sorted(r[0] for r in train.filter("home_ownership IS NOT NULL").select("home_ownership")
-                                 .distinct().limit(features.MAX_CATEGORIES).collect()),
+        "home_ownership": features.category_values(train.filter("home_ownership IS NOT NULL"), "home_ownership"),
         "addr_state": sorted(listed)})
     people = users.select("member_id", "addr_state", "home_ownership").distinct()
     total = lambda field: sum((c for f, c in zip(spec.fields(), spec.columns()) if f == field), F.lit(0.0))

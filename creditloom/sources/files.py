@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The loan file layout. A vintage may lack some of these columns.
@@ -28,25 +29,55 @@ LOAN_FILE_SCHEMA = T.StructType([
 ])
 
 
+def _read_by_name(spark: SparkSession, path: str) -> DataFrame:
+    """A loan file with its columns in the order of its own header; columns beyond the layout are text."""
+    plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    layout = {f.name: f for f in LOAN_FILE_SCHEMA}
+    header = spark.read.csv(path, **plain).columns
+    schema = T.StructType([layout.get(c, T.StructField(c, T.StringType())) for c in header])
+    return spark.read.schema(schema).csv(path, **plain)
+
+
 def scan_loan_csv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Loan CSV with a fixed schema; only the asked-for columns are parsed."""
-    rows = spark.read.schema(LOAN_FILE_SCHEMA).csv(path, header=True, ignoreLeadingWhiteSpace=False,
-                                                   ignoreTrailingWhiteSpace=False)
-    return rows.select(*columns) if columns else rows
+    """Loan CSV read by column name; only the asked-for columns are parsed, and all of them have to be there."""
+    rows = _read_by_name(spark, path)
+    wanted = columns or [f.name for f in LOAN_FILE_SCHEMA]
+    if missing := [c for c in wanted if c not in rows.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return rows.select(*wanted)
 
 
-def _vintage(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    header = spark.read.csv(path, header=True).columns
-    layout = {f.name: f for f in LOAN_FILE_SCHEMA}
-    schema = T.StructType([layout.get(c, T.StructField(c, T.StringType())) for c in header])
-    return spark.read.schema(schema).csv(path, header=True, ignoreLeadingWhiteSpace=False,
-                                         ignoreTrailingWhiteSpace=False).select(*[c for c in wanted if c in header])
+def find_vintages(spark: SparkSession, folder: str) -> list[str]:
+    """The loan files of a folder: accepted_*.csv, or every *.csv where there are none."""
+    jvm = spark.sparkContext._jvm
+    for pattern in ("accepted_*.csv", "*.csv"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        if names := sorted(f.getPath().toString() for f in found or []):
+            return names
+    raise FileNotFoundError(f"no loan files in {folder}")
 
 
 def scan_vintages(spark: SparkSession, paths: list[str], wanted: list[str]) -> DataFrame:
-    """Several loan files whose columns differ; a column a file lacks is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                  [_vintage(spark, p, wanted) for p in paths])
+    """Several loan files whose columns differ; a column a file lacks is null there.
+
+    With member_id wanted, each file by itself decides whether `id` takes its place.
+    """
+    parts = []
+    for path in paths:
+        rows = _read_by_name(spark, path)
+        if "member_id" in wanted:
+            if "member_id" not in rows.columns:
+                rows = rows.withColumn("member_id", F.lit(None).cast("string"))
+            rows = with_user_id(rows)
+        parts.append(rows.select(*[c for c in wanted if c in rows.columns]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def with_user_id(raw: DataFrame) -> DataFrame:
+    """member_id as trimmed text; when no row has one, `id` takes its place."""
+    has_any = not raw.select("member_id").filter("member_id IS NOT NULL").isEmpty()
+    return raw.withColumn("member_id", F.trim(F.col("member_id" if has_any else "id").cast("string")))
 
 
 def write_interactions(df: DataFrame, path: str) -> None:
