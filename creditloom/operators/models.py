@@ -12,7 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import FMClassifier, GBTClassifier, MultilayerPerceptronClassifier
+from pyspark import SparkContext
+from pyspark.ml.classification import (
+    FMClassifier, GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier,
+)
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -76,16 +79,33 @@ def fit_repay_model(train: DataFrame, val: DataFrame, rounds: int = GBT_ROUNDS,
     """Boosted trees on (features, label), stopped once `patience` rounds brought no better AUC on `val`.
 
     The number of rounds doubles until the best one lies far enough back; the
-    same seed grows the same first trees again.
+    same seed grows the same first trees again. What was grown beyond the best
+    round and its patience is cut off.
     """
     train, fitted = for_training(train), min(rounds, 2 * patience)
     while True:
         model = _booster(fitted, depth).fit(train)
-        if fitted >= rounds or _best_round(model, val) + patience <= fitted:
-            return model
+        best = _best_round(model, val)
+        if fitted >= rounds or best + patience <= fitted:
+            return first_trees(model, min(fitted, best + patience))
         fitted = min(rounds, 2 * fitted)
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble after its first `n` rounds."""
+    if n >= model.getNumTrees:
+        return model
+    context = SparkContext._active_spark_context
+    gateway, jvm = context._gateway, context._jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(model._call_java("trees"), model.treeWeights[:n])):
+        if i < n:
+            trees[i], weights[i] = tree, float(weight)
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, model.numClasses)
+    return GBTClassificationModel(cut)
+
+
 def probability() -> Column:
     return vector_to_array("probability")[1]
 

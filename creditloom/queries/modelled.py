@@ -21,12 +21,11 @@ _TRAINED: dict[tuple[str, str], offline.Artefacts] = {}
 def trained(spark, folder) -> offline.Artefacts:
     """The offline job over the whole loan table, once per session and folder; train users are the known ones.
 
-    The data is all of it; the fits get fewer rounds than the library's defaults.
+    All of the data, and the library's default rounds.
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TRAINED:
-        _TRAINED[key] = offline.run(loans(spark, folder, *offline.LOAN_COLUMNS), rounds=20, patience=10,
-                                     ranker_iterations=30, profile_split="train")
+        _TRAINED[key] = offline.run(loans(spark, folder, *offline.LOAN_COLUMNS), profile_split="train")
     return _TRAINED[key]
 
 
@@ -205,7 +204,7 @@ def ablation_lists(spark, folder):
 
 @query("compare_rankers")
 def compare_rankers(spark, folder):
-    return evaluate.compare_rankers(trained(spark, folder), iterations=(5, 20))
+    return evaluate.compare_rankers(trained(spark, folder))
 
 
 @query("item_plane_by_grade")

@@ -57,6 +57,16 @@ def test_t_tail(t, df):
     assert metrics.t_tail(t, df) == pytest.approx(1 - middle, abs=1e-8)
 
 
+@pytest.mark.parametrize("df", [4, 10, 1e3, 1e6, 1e7, 1e8, 1e9])
+@pytest.mark.parametrize("t", [0.5, 1.7, 1.96, 2.0, 4.0])
+def test_t_tail_for_any_number_of_users(t, df):
+    """Against the integrated density, its constant by Stirling's series where the gammas cancel."""
+    x = np.linspace(-t, t, 400_001)
+    log_ratio = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) if df < 100 else math.log(df / 2) / 2 - 1 / (4 * df) + 1 / (24 * df**3)
+    middle = np.trapezoid(np.exp(log_ratio - math.log(math.pi * df) / 2 - (df + 1) / 2 * np.log1p(x * x / df)), x)
+    assert metrics.t_tail(t, df) == pytest.approx(1 - middle, abs=1e-8)
+
+
 def test_auc_with_ties(spark):
     rows = [(0.1, 0), (0.4, 1), (0.4, 0), (0.4, 0), (0.8, 1), (0.9, 1), (0.2, 1)]
     wins = [1.0 if a > b else 0.5 if a == b else 0.0 for a, y in rows if y for b, z in rows if not z]

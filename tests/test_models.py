@@ -125,7 +125,7 @@ def test_ranker_splits_into_a_dot_product(art):
     w, f = np.array(ranker.linear), np.array(ranker.factors)
     for a in users:
         for b in items:
-            x = np.concatenate([a.user_features, b.item_features, [float(i == b.item_id) for i in ranker.items]])
+            x = np.concatenate([a.user_features, b.item_features, [float(i == b.item_idx) for i in range(len(w) - ranker.user_dim - ranker.item_dim)]])
             direct = ranker.intercept + w @ x + 0.5 * (((x @ f) ** 2) - (x ** 2) @ (f ** 2)).sum()
             assert np.dot(u[a.member_id], v[b.item_id]) == pytest.approx(direct, abs=1e-9)
 
@@ -172,7 +172,28 @@ def test_evaluation_means_are_shares(art):
 
 
 def test_search_stops_growing_the_ensemble(art, spark):
-    """On labels one feature decides, later rounds bring nothing, so the first block is enough."""
+    """On labels one feature decides, later rounds bring nothing: the first round and its patience are kept."""
     rows = spark.range(400).select((F.col("id") % 2).cast("int").alias("label"),
                                    array_to_vector(F.array((F.col("id") % 2).cast("double"), F.rand(1))).alias("features"))
-    assert models.fit_repay_model(rows, rows, rounds=40, depth=2, patience=3).getNumTrees == 6
+    assert models.fit_repay_model(rows, rows, rounds=40, depth=2, patience=3).getNumTrees == 1 + 3
+
+
+def test_first_trees_are_the_shorter_fit(spark):
+    rows = spark.range(300).select((F.col("id") % 3 == 0).cast("int").alias("label"),
+                                   array_to_vector(F.array(F.rand(1), F.rand(2), F.col("id") % 5 / 1.0)).alias("features")).cache()
+    long, short = models._booster(8, 3).fit(rows), models._booster(5, 3).fit(rows)
+    score = lambda m: [r[0] for r in m.transform(rows).select(models.probability()).collect()]
+    cut = models.first_trees(long, 5)
+    assert cut.getNumTrees == 5 and np.allclose(score(cut), score(short))
+
+
+def test_more_than_a_thousand_products_are_ranked(spark):
+    n = 1500
+    items = spark.range(n).select(F.col("id").cast("string").alias("item_id"), F.col("id").cast("int").alias("item_idx"), F.array(F.lit(1.0)).alias("item_features"))
+    users = spark.range(3).select(F.col("id").cast("string").alias("member_id"), F.array(F.col("id") / 1.0).alias("user_features"))
+    pairs = spark.range(n).select((F.col("id") % 3).cast("string").alias("member_id"), F.col("id").cast("string").alias("item_id"), (F.col("id") >= 1000).cast("int").alias("label"))
+    ranker = models.fit_factor_ranker(pairs, users, items, factors=2, iterations=20)
+    assert len(ranker.linear) == 1 + 1 + n
+    scored = models.score_candidates(users.select("member_id").crossJoin(items.select("item_id")), ranker.user_vectors(users), ranker.item_vectors(items))
+    means = {r[0]: r[1] for r in scored.groupBy((F.col("item_id").cast("int") >= 1000)).agg(F.avg("score")).collect()}
+    assert means[True] > means[False] + 0.1

@@ -226,3 +226,18 @@ def test_bad_months_and_missing_terms_are_dropped(spark):
                                  "member_id string, loan_status string, issue_d string, grade string, purpose string, term string")
     got = prep.clean_loans(rows).collect()
     assert [(r.member_id, r.item_id, r.label, r.split) for r in got] == [("1", "A_other_36 months", 1, "val")]
+
+
+def test_loan_files_are_read_by_name(spark, tmp_path):
+    from creditloom.sources import files
+    rows = spark.createDataFrame([("7", "m1", "B2", "car", "1000.5")], "id string, member_id string, sub_grade string, purpose string, loan_amnt string")
+    files.write_csv(rows, str(tmp_path / "accepted_a.csv"))
+    files.write_csv(rows.drop("member_id"), str(tmp_path / "accepted_b.csv"))
+    files.write_csv(rows, str(tmp_path / "other.csv"))
+    found = files.find_vintages(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in found] == ["accepted_a.csv", "accepted_b.csv"]
+    got = files.scan_loan_csv(spark, found[0], "member_id", "purpose", "loan_amnt").first()
+    assert (got.member_id, got.purpose, got.loan_amnt) == ("m1", "car", 1000.5)
+    assert sorted(r.member_id for r in files.scan_vintages(spark, found, ["member_id", "purpose"]).collect()) == ["7", "m1"]
+    with pytest.raises(ValueError, match="grade"):
+        files.scan_loan_csv(spark, found[0], "grade")
