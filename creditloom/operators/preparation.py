@@ -11,7 +11,7 @@ from creditloom.constants import (
 )
 from creditloom.functions.random import DRAWS_PER_DIGEST, RESOLUTION, uniform_word
 from creditloom.functions.text import item_id
-from creditloom.operators.ordering import running_totals
+from creditloom.operators.ordering import dense_index, running_totals
 from creditloom.operators.sizing import join_lookup
 from creditloom.session import settle
 from creditloom.sources.files import with_user_id  # noqa: F401
@@ -59,6 +59,12 @@ def popular_items(catalog: DataFrame, k: int) -> DataFrame:
     return catalog.orderBy(F.desc("n_loans"), "item_id").limit(k)
 
 
+def by_popularity(catalog: DataFrame) -> DataFrame:
+    """The whole catalog with `position`, 1 for the product taken most often; ties by id."""
+    keyed = settle(catalog.withColumn("_order", F.struct((-F.col("n_loans")).alias("n"), "item_id")))
+    return keyed.join(dense_index(keyed, "_order", "_at"), "_order").withColumn("position", F.col("_at") + 1).drop("_order", "_at")
+
+
 def latest_profile(loans: DataFrame, columns: list[str]) -> DataFrame:
     """Per user the latest value that is present, for each column on its own.
 

@@ -1,4 +1,4 @@
-"""Jobs that go through trained models. Their numbers depend on the fit, so they have no SQL twin."""
+"""Jobs that go through trained models. Their numbers depend on the fit; what must hold of them is in `checks`."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from creditloom.operators import explain, metrics, models, rerank
 from creditloom.operators.sizing import join_lookup
 from creditloom.plans import evaluate, offline, recommend
 from creditloom.queries.common import with_loans
+from creditloom.queries.preparation import NEGATIVES, POPULARITY, POSITIVES
 from creditloom.queries.registry import query
 from creditloom.session import settle
 from creditloom.sources.loans import loans
@@ -29,7 +30,15 @@ def trained(spark, folder) -> offline.Artefacts:
     return _TRAINED[key]
 
 
-@query("offline_run")
+@query("offline_run", sql=with_loans("""
+SELECT 'loans' AS table_name, count(*) AS n_rows FROM loans
+UNION ALL SELECT 'positives', count(*) FROM (SELECT DISTINCT split, member_id, item_id FROM loans WHERE label = 1)
+UNION ALL SELECT t, (SELECT count(DISTINCT item_id) FROM loans) FROM (VALUES ('catalog'), ('items')) x(t)
+UNION ALL SELECT t, (SELECT count(DISTINCT member_id) FROM loans) FROM (VALUES ('profiles'), ('users')) x(t)
+UNION ALL SELECT 'user_factors', count(DISTINCT member_id) FROM positives
+UNION ALL SELECT 'item_factors', count(DISTINCT item_id) FROM positives
+UNION ALL SELECT 'val_scores', count(*) FROM loans WHERE split = 'val'
+UNION ALL SELECT 'training_pairs', (SELECT count(*) FROM positives) + (SELECT count(*) FROM negatives)""", POSITIVES, POPULARITY, NEGATIVES))
 def offline_run(spark, folder):
     """Rows of every table the offline job leaves behind."""
     art = trained(spark, folder)
