@@ -55,14 +55,26 @@ def _best_per_row(scores: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.
     return rows[chosen], cols[chosen]
 
 
+def _mask(scores: np.ndarray, seen: pd.Series, item_ids: np.ndarray) -> None:
+    """Takes each row's `seen` items (an array of ids, or none) out of its scores."""
+    lists = [x if x is not None else () for x in seen]
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    ids = np.concatenate([np.asarray(x, dtype=item_ids.dtype) for x in lists]) if len(rows) else item_ids[:0]
+    at = np.minimum(np.searchsorted(item_ids, ids), len(item_ids) - 1)
+    here = item_ids[at] == ids
+    scores[rows[here], at[here]] = -np.inf
+
+
 def _score_block(queries: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Best matches of a batch of queries (query_id, vector, keep[, own]) among the items, sorted by id."""
+    """Best matches of a batch of queries (query_id, vector, keep[, own][, seen]) among the items, sorted by id."""
     step = max(1, SCORE_CELLS // max(1, len(item_ids)))
     for start in range(0, len(queries), step):
         part = queries.iloc[start:start + step]
         scores = _matrix(part["vector"]) @ items.T
         if "own" in part:
             scores[part["own"].to_numpy()[:, None] == item_ids[None, :]] = -np.inf
+        if "seen" in part and len(item_ids):
+            _mask(scores, part["seen"], item_ids)
         rows, cols = _best_per_row(np.round(scores, SCORE_DIGITS), part["keep"].to_numpy())
         yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], "match_id": item_ids[cols],
                             "score": scores[rows, cols]})
@@ -86,8 +98,8 @@ def top_matches(queries: DataFrame, items: DataFrame, k: int, broadcast_values:
     """Exact k best items by dot product per query: (query_id, match_id, score, rank).
 
     `queries` has query_id and vector, optionally `keep` (a number of matches per
-    row, in place of k) and `own` (an item id to leave out); `items` has match_id
-    and vector.
+    row, in place of k), `own` (an item id to leave out) and `seen` (an array of
+    them); `items` has match_id and vector.
     """
     own_keep = queries.select("query_id", "keep") if "keep" in queries.columns else None
     queries = _with_keep(queries, k)
@@ -161,15 +173,11 @@ def blocked_matches(queries: DataFrame, items: DataFrame, query_block: int = QUE
 def top_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """k best items per query that are not among its `seen` (query_id, match_id) pairs.
 
-    Each query asks for k plus as many matches as it has seen items, so leaving
-    the seen ones out still leaves k.
+    A query carries its seen ids, which are masked where it is scored, so every
+    block returns k at most however much somebody has seen.
     """
-    seen = seen.select("query_id", "match_id").distinct()
-    counts = seen.groupBy("query_id").agg(F.count("*").alias("n_seen"))
-    asked = queries.join(counts, "query_id", "left").withColumn(
-        "keep", (F.lit(k) + F.coalesce("n_seen", F.lit(0))).cast("int")).drop("n_seen")
-    found = top_matches(asked, items, k).drop("rank").join(seen, ["query_id", "match_id"], "left_anti")
-    return found.withColumn("rank", F.row_number().over(_best_first())).filter(F.col("rank") <= k)
+    lists = seen.groupBy("query_id").agg(F.collect_set("match_id").alias("seen"))
+    return top_matches(queries.join(lists, "query_id", "left"), items, k)
 
 
 def normalised(vectors: DataFrame) -> DataFrame:

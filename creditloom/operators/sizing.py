@@ -1,21 +1,38 @@
 """Joining with a side that is usually small.
 
-A side is broadcast only after its rows were counted. Past the bound the join
-still runs, as a salted equi-join, so a key that holds a large share of the
-rows is spread over many tasks.
+A side is broadcast only after its rows were counted and their width taken into
+account. Past the bound the join is a plain equi-join; only keys that were
+counted to be hot are split over several tasks, and only their lookup rows repeated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from creditloom.session import settle
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 SALTS = 32
+HOT_SHARE = 1 / 200  # of all rows; at most 200 keys have so many
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Width of the widest row, array elements and text counted by their length."""
+    def size(c: str, kind: T.DataType):
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.coalesce(F.size(c), F.lit(0)) * F.lit(24 if isinstance(kind, T.MapType) else 16)
+        return F.coalesce(F.length(c), F.lit(0)) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(16)
+
+    width = sum((size(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(16))
+    return df.agg(F.coalesce(F.max(width), F.lit(0))).first()[0]
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    rows = df.limit(max_rows + 1).count()
+    return rows <= max_rows and rows * row_bytes(df) <= max_bytes
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
@@ -23,13 +40,20 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     """Join `rows` with a lookup side that has been settled (computed once)."""
     if is_small(lookup, max_rows):
         return rows.join(F.broadcast(lookup), keys, how)
-    return salted_join(rows, lookup, keys, how)
-
-
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
-    """Equi-join that splits each key of `rows` into `salts` parts and repeats the lookup for each."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return hot_key_join(rows, lookup, keys, how)
+
+
+def hot_key_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
+                 salts: int = SALTS, hot_share: float = HOT_SHARE) -> DataFrame:
+    """Equi-join that splits the rows of each hot key into `salts` parts and repeats the lookup for those keys alone.
+
+    Hot are the keys with more than `hot_share` of all rows, so there are at most
+    1 / hot_share of them and their table is broadcast.
+    """
+    counts = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.broadcast(settle(counts.filter(F.col("_n") > hot_share * total).select(*keys, F.lit(salts).alias("_salts"))))
+    parts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), parts).cast("int")).drop("_salts")
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
