@@ -56,7 +56,6 @@ ALS_CONFIDENCE = 40.0
 IVF_MIN_CELLS = 64
 IVF_MAX_CELLS = 4096
 IVF_PROBE_DIVISOR = 8
-IVF_ITEM_THRESHOLD = 50_000
 
 # Repayment model.
 GBT_ROUNDS = 300
@@ -107,8 +106,6 @@ SIGNIFICANCE_LEVEL = 0.05
 
 # Reports.
 RECENT_APPLICATIONS = 50
-TOP_PURPOSES = 12
-TOP_HOME = 5
 HISTOGRAM_BINS = {"loan_amnt": 60, "annual_inc": 60, "fico_range_low": 40, "dti": 50}
 QUANTILE_CAP = 0.99
 MISSING_SHARE = 1e-9

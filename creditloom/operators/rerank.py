@@ -56,6 +56,16 @@ def injected_items(requests: DataFrame, candidates: DataFrame, catalog: DataFram
     return fresh.join(candidates.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
 
 
+def named_items(requests: DataFrame, candidates: DataFrame, catalog: DataFrame, replies: DataFrame) -> DataFrame:
+    """The rows of `injected_items` that a request's reply names, found from the reply by an equality join."""
+    prompted = F.length(F.trim(F.coalesce("user_prompt", F.lit("")))) > 0
+    scoped = requests.select("request_id", prompted.alias("_any"), F.col("purpose_request").alias("_purpose"))
+    named = replies.select("request_id", F.explode(reply_items(F.col("reply"))).alias("item_id")).distinct()
+    fresh = join_lookup(named.join(scoped, "request_id"), catalog, ["item_id"]).filter(
+        F.col("_any") | (F.col("_purpose") == F.col("purpose"))).drop("_any", "_purpose")
+    return fresh.join(candidates.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
+
+
 def passing_injection(injected: DataFrame, threshold: float = APPROVAL_THRESHOLD) -> DataFrame:
     """Repayment probability if there is one above 0, else the product's past rate, at or above the threshold."""
     check = F.when(F.col("repay_prob") > 0, F.col("repay_prob")).otherwise(F.coalesce("positive_rate", F.lit(0.0)))
@@ -83,10 +93,6 @@ def apply_replies(candidates: DataFrame, replies: DataFrame) -> DataFrame:
         ordered.select("request_id", "item_id", (F.col("pos") + 1).alias("rank")), ["request_id", "item_id"])
 
 
-def trim(candidates: DataFrame, k: Column) -> DataFrame:
-    return candidates.filter(F.col("rank") <= k)
-
-
 # --- prompt tables -----------------------------------------------------------
 
 REPLY_FORMAT = "Answer with one JSON array holding every item_id, best first."

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.constants import RETRIEVAL_POOL_RANGE
+from creditloom.functions.text import reply_items
 from creditloom.operators import decisions, explain, models, preparation as prep, rerank, retrieval
 from creditloom.operators.features import known_state
 from creditloom.operators.sizing import join_lookup
@@ -105,10 +106,18 @@ def recommend(art: Artefacts, requests: DataFrame, replies: DataFrame | None = N
 
 def reorder(art: Artefacts, requests: DataFrame, people: DataFrame, listed: DataFrame, catalog: DataFrame,
             replies: DataFrame) -> DataFrame:
-    """Adds products of the requested purpose (or all of them for free text) and applies the replies."""
+    """Adds products of the requested purpose (or all of them for free text) and applies the replies.
+
+    Added products follow those already listed, so where these fill `top_k` only
+    the ones that the reply names can be returned, and only they are added.
+    Shorter lists are filled from all products in scope.
+    """
     asking = requests.filter("use_rerank AND NOT cold_start")
     current = listed.filter("use_rerank AND NOT cold_start")
-    fresh = rerank.injected_items(asking, current, catalog)
+    full = settle(current.groupBy("request_id", "top_k").agg(F.count("*").alias("n")).filter("n >= top_k").select("request_id"))
+    fresh = rerank.injected_items(asking.join(full, "request_id", "left_anti"), current, catalog).unionByName(
+        rerank.named_items(asking.join(full, "request_id", "left_semi"), current, catalog, replies))
+    fresh = settle(fresh)
     fresh = repay_probability(art, fresh, people).withColumn("repay_prob", F.coalesce("repay_prob", F.lit(0.0)))
     fresh = rerank.passing_injection(fresh).join(
         asking.select("request_id", "user_id", "cold_start", "top_k"), "request_id")
@@ -118,12 +127,55 @@ def reorder(art: Artefacts, requests: DataFrame, people: DataFrame, listed: Data
     return rerank.apply_replies(settle(joined), replies)
 
 
-def responses(recommendations: DataFrame) -> DataFrame:
-    """One row per request: user, number returned, stages, and the list as an array of structs."""
+def responses(recommendations: DataFrame, profiled: DataFrame, reordered: DataFrame | None = None) -> DataFrame:
+    """One row per request: user, number returned, the stages it went through, and the list as an array of structs.
+
+    `profiled` and `reordered` hold the request_id of requests with features and
+    of those whose reply was applied.
+    """
     row = F.struct("rank", *DETAILS, "repay_prob", "score")
-    return recommendations.groupBy("request_id", "user_id", "cold_start").agg(
-        F.count("*").alias("n_returned"), F.array_sort(F.collect_list(row)).alias("recommendations")).withColumn(
-        "stages", F.array(F.lit("retrieval"), F.lit("repay_prediction"), F.lit("ranking")))
+    out = recommendations.groupBy("request_id", "user_id", "cold_start").agg(
+        F.count("*").alias("n_returned"), F.array_sort(F.collect_list(row)).alias("recommendations"))
+    out = out.join(profiled.select("request_id", F.lit(True).alias("_profiled")), "request_id", "left")
+    again = F.lit(False)
+    if reordered is not None:
+        out = out.join(reordered.select("request_id", F.lit(True).alias("_again")), "request_id", "left")
+        again = F.coalesce("_again", F.lit(False)) & ~F.col("cold_start")
+    stages = F.array_compact(F.array(
+        F.when(F.col("cold_start"), "popularity").otherwise("retrieval"),
+        F.when(~F.col("cold_start") | F.col("_profiled"), "repay_prediction"),
+        F.when(~F.col("cold_start"), "ranking"), F.when(again, "reordering")))
+    return out.withColumn("stages", stages).drop("_profiled", "_again")
+
+
+def answers(art: Artefacts, requests: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """The whole answer to each valid request, one row: list and stages, profile, decision, contributions and advice.
+
+    contributions, improvements and home are empty or null where the requested
+    product cannot be scored.
+    """
+    valid = settle(decisions.validate_requests(requests).filter("valid").select(*requests.columns))
+    reordered = None
+    if replies is not None:
+        readable = F.size(reply_items(F.col("reply"))) > 0
+        reordered = valid.filter("use_rerank").join(replies.filter(readable), "request_id", "left_semi")
+    listed = responses(recommend(art, valid, replies), requester_features(art, valid), reordered)
+    rows, leaves = settle(application_rows(art, valid)), art.leaves()
+
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct("position", *[c for c in df.columns if c not in ("request_id", "position")])
+        return df.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+
+    why = gathered(explain.contributions(rows, leaves, art.user_spec()), "contributions")
+    how = gathered(explain.improvements(rows, leaves, art.calibrator(), art.user_spec(), art.item_spec()), "improvements")
+    home = explain.home_suggestions(rows, art.repay_model(), art.calibrator(), art.user_spec(), art.item_spec())
+    home = home.select("request_id", F.struct(*[c for c in home.columns if c != "request_id"]).alias("home"))
+    profile = decisions.requester_profile(valid, art.table("profiles").filter("known"))
+    profile = profile.select("request_id", F.struct(*[c for c in profile.columns if c not in ("request_id", "user_id")]).alias("profile"))
+    out = listed.join(approvals(art, valid), "request_id").join(profile, "request_id")
+    for part in (why, how, home):
+        out = out.join(part, "request_id", "left")
+    return out
 
 
 def application_rows(art: Artefacts, requests: DataFrame) -> DataFrame:

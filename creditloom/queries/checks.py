@@ -18,7 +18,7 @@ from creditloom.plans import recommend
 from creditloom.queries.common import with_catalog, with_loans
 from creditloom.queries.decisions import _sql
 from creditloom.queries.modelled import (
-    approval_scores, catalog_ranking, home_suggestions, perceptron_scores, ranking_scores, ranking_training_set, recommendations,
+    approval_scores, catalog_ranking, home_suggestions, perceptron_scores, purpose_replies, ranking_scores, ranking_training_set, recommendations,
     reordered_recommendations, trained,
 )
 from creditloom.queries.preparation import NEGATIVES, POPULARITY, POSITIVES
@@ -232,3 +232,21 @@ def unprofiled_recommendations(spark, folder):
     known = trained(spark, folder).table("profiles").filter("known").select(F.col("member_id").alias("user_id"))
     silent = requests(spark, folder).filter(~stated).join(known, "user_id", "left_anti").select("request_id")
     return rows.join(silent, "request_id").select("request_id", "item_id", "rank", "score")
+
+
+@query("answer_facts", sql=_sql(f"""
+SELECT request_id, request_id IN (SELECT request_id {_ASKED}) AS scored,
+  CASE WHEN user_id IN (SELECT member_id FROM train_users) THEN 'stored' WHEN annual_inc IS NOT NULL THEN 'request' ELSE 'none' END AS profile_source,
+  CASE WHEN request_id IN (SELECT request_id {_ASKED}) THEN 6 ELSE 0 END AS n_contributions,
+  concat_ws(',', CASE WHEN payer THEN 'retrieval' ELSE 'popularity' END,
+    CASE WHEN payer OR annual_inc IS NOT NULL OR user_id IN (SELECT member_id FROM train_users) THEN 'repay_prediction' END,
+    CASE WHEN payer THEN 'ranking' END,
+    CASE WHEN payer AND coalesce(use_rerank, FALSE) AND purpose_request IN (SELECT purpose FROM catalog) THEN 'reordering' END) AS stages
+FROM (SELECT *, user_id IN (SELECT member_id FROM train_payers) AS payer FROM {_VALID})""",
+                            "train_payers AS (SELECT DISTINCT member_id FROM loans WHERE split = 'train' AND label = 1)"))
+def answer_facts(spark, folder):
+    """Every valid request has one whole answer: its true stages, its profile, and reasons where it is scored."""
+    art, asked = trained(spark, folder), requests(spark, folder)
+    rows = recommend.answers(art, asked, purpose_replies(art, asked))
+    return rows.select("request_id", (F.col("approval_score") > 0).alias("scored"), F.col("profile.profile_source").alias("profile_source"),
+                       F.coalesce(F.size("contributions"), F.lit(0)).alias("n_contributions"), F.array_join("stages", ",").alias("stages"))

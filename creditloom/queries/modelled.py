@@ -142,7 +142,9 @@ def recommendations(spark, folder):
 
 @query("recommendation_responses")
 def recommendation_responses(spark, folder):
-    rows = recommend.responses(recommend.recommend(trained(spark, folder), requests(spark, folder)))
+    art = trained(spark, folder)
+    asked = settle(recommend.split_requests(art, requests(spark, folder)))
+    rows = recommend.responses(recommend.recommend(art, requests(spark, folder)), recommend.requester_features(art, asked))
     return rows.select("request_id", "user_id", "n_returned", F.array_join("stages", ",").alias("stages"),
                        F.to_json("recommendations").alias("recommendations"))
 
@@ -151,12 +153,25 @@ def recommendation_responses(spark, folder):
 def reordered_recommendations(spark, folder):
     """With replies that list the products of the requested purpose."""
     art, asked = trained(spark, folder), requests(spark, folder)
+    return recommend.recommend(art, asked, purpose_replies(art, asked))
+
+
+def purpose_replies(art, asked):
+    """Stand-in replies that name the products of the requested purpose, the cheapest first."""
     catalog = art.table("catalog").select("purpose", F.concat(F.lit('"'), F.col("item_id"), F.lit('"')).alias("q"), "int_rate")
     lists = settle(catalog.groupBy("purpose").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("int_rate", "q"))), lambda s: s.q), ", ").alias("l")))
-    replies = join_lookup(asked.select("request_id", F.col("purpose_request").alias("purpose")), lists, ["purpose"]).select(
+    return join_lookup(asked.select("request_id", F.col("purpose_request").alias("purpose")), lists, ["purpose"]).select(
         "request_id", F.concat(F.lit("["), F.col("l"), F.lit("]")).alias("reply"))
-    return recommend.recommend(art, asked, replies)
+
+
+@query("whole_answers")
+def whole_answers(spark, folder):
+    """One row per valid request with everything it is answered."""
+    art, asked = trained(spark, folder), requests(spark, folder)
+    rows = recommend.answers(art, asked, purpose_replies(art, asked))
+    return rows.select("request_id", "user_id", "n_returned", F.array_join("stages", ",").alias("stages"), "approved", "approval_score",
+                       *[F.to_json(c).alias(c) for c in ("recommendations", "profile", "contributions", "improvements", "home")])
 
 
 @query("approval_scores")
