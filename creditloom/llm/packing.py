@@ -203,7 +203,9 @@ def pack(cut_pieces: DataFrame, capacity: int = LENGTH, pack_pieces: int = PACK_
         return table.select(names).append_column("sequence_id", pa.array((table["pack"].to_numpy() << 32) + sequence)).append_column(
             "offset", pa.array(offset))
 
-    dealt = settled.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(packs)).cast("long"))
+    # The place in the written table sets apart pieces that are equal in everything else.
+    dealt = settled.withColumn(
+        "pack", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_metadata.row_index"), F.lit(packs)).cast("long"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in settled.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("pack").applyInArrow(fill, schema)
 
