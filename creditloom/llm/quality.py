@@ -30,7 +30,7 @@ REPEAT = 5
 UNIT = 256
 KEPT_SHARE = 0.75
 STEPS = 4
-MIN_GROUP = 50  # smaller groups have no estimate, nothing of them is rejected by it
+MIN_GROUP = 50  # smaller groups have no estimate of their own
 # Chi-square quantiles for 4 degrees of freedom.
 CHI2_MEDIAN = 3.3567
 CHI2_FAR = 23.5127  # 0.9999
@@ -140,21 +140,48 @@ def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return settle(out.select("group", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def _pools(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` with `group` set to the pool that judges them, and the passing rows of every pool in use.
+
+    The pool is the smallest of group, language and whole table that has
+    `MIN_GROUP` passing rows, or else the whole table. A wider pool is fitted to
+    all its passing rows, those of large groups too.
+    """
+    passed = F.count(F.when(~F.col("base_failed"), 1))
+    groups = settle(rows.groupBy("group", F.concat(F.lit("lang "), F.to_json(F.struct("lang"))).alias("wide")).agg(passed.alias("n")))
+    by_lang = groups.groupBy("wide").agg(F.sum("n").alias("n_wide"))
+    chosen = groups.join(by_lang, "wide").select("group", "wide", F.when(F.col("n") >= MIN_GROUP, F.col("group")).when(
+        F.col("n_wide") >= MIN_GROUP, F.col("wide")).otherwise(F.lit("all")).alias("pool"))
+    chosen = settle(chosen)
+    used = chosen.select("pool").distinct()
+    # A group lies in its own pool, its language's and the whole table's, as far as these judge anyone.
+    member = chosen.select("group", F.explode(F.array("group", "wide", F.lit("all"))).alias("pool")).join(used, "pool", "left_semi")
+    member = settle(member.groupBy("group").agg(F.collect_list("pool").alias("pools")))
+    passing = join_lookup(rows.where(~F.col("base_failed")).select("group", *X), member, ["group"])
+    passing = settle(passing.select(F.explode("pools").alias("group"), *X))
+    return join_lookup(rows, settle(chosen.select("group", "pool")), ["group"]).drop("group").withColumnRenamed("pool", "group"), passing
+
+
+def quality(docs: DataFrame, pooled: bool = False) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, distance and kept for every row of `docs`.
 
     Null and empty texts have no words and fail. Null languages and sources form
     groups of their own. Repeated rows count as often as they stand there. Groups
-    with fewer than `MIN_GROUP` rows that pass the base rules have a null distance
-    and lose nothing more. An empty table gives no rows; other columns are ignored.
+    with fewer than `MIN_GROUP` rows that pass the base rules are judged by their
+    language or by the whole table if `pooled`, so every passing row has a distance;
+    else they have a null distance and lose nothing more. An empty table gives no
+    rows; other columns are ignored.
     """
     configure(docs.sparkSession)
     group = F.to_json(F.struct("lang", "source"))
     rows = statistics(docs).withColumn("base_failed", base_failed()).withColumn("group", group)
     rows = settle(rows.withColumns(dict(zip(X, _vector()))))
     passing = rows.where(~F.col("base_failed")).select("group", *X)
-    large = passing.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group")
-    passing = join_lookup(passing, settle(large), ["group"])
+    if pooled:
+        rows, passing = _pools(rows)
+    else:
+        large = passing.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group")
+        passing = join_lookup(passing, settle(large), ["group"])
     fit = _start(passing)
     for _ in range(STEPS):
         fit = _concentrate(passing, fit)

@@ -303,6 +303,25 @@ def test_quality_outliers(llm):
     assert sum(not got[i]["kept"] for i in range(400)) <= 2 and got[2000]["kept"] and got[2000]["distance"] is None
 
 
+def test_quality_pools_small_groups(llm):
+    """Groups, languages and tables too small for an estimate of their own are judged by the next wider pool."""
+    rng = np.random.default_rng(5)
+
+    def text(size):
+        return " ".join(f"word{rng.integers(0, 10**6)}" for _ in range(size))
+
+    rows = [(i, text(int(rng.lognormal(5, 0.4)) + 20), "en", "a") for i in range(200)]
+    rows += [(300 + i, text(120), lang, source) for i, (lang, source) in enumerate([("en", "host"), ("en", None), ("fr", "a"), (None, "a"), (None, None)])]
+    far = "x" * 400 + " " + " ".join(map(str, range(20)))
+    rows += [(400 + i, far, lang, source) for i, (lang, source) in enumerate([("en", "host"), ("en", None), ("fr", "a"), (None, "a"), (None, None)])]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {r["doc_id"]: r for r in quality.quality(llm.createDataFrame(rows, schema), pooled=True).collect()}
+    assert len(got) == len(rows) and all(r["base_failed"] or r["distance"] is not None for r in got.values())
+    assert all(got[300 + i]["kept"] and not got[400 + i]["kept"] for i in range(5))
+    few = quality.quality(llm.createDataFrame(rows[:3], schema), pooled=True).collect()
+    assert all(r["kept"] and r["distance"] is not None for r in few)
+
+
 def test_quality_against_numpy(llm):
     """The same estimate by plain matrices."""
     rng = np.random.default_rng(4)
