@@ -29,11 +29,14 @@ MAX_REPEATED = 20  # percent of words in repeated windows
 REPEAT = 5
 UNIT = 256
 KEPT_SHARE = 0.75
+FITTED_SHARE = 0.5  # of a tight fit: outliers that are a third of the rows stay outside
 STEPS = 4
 MIN_GROUP = 50  # smaller groups have no estimate of their own
 # Chi-square quantiles for 4 degrees of freedom.
 CHI2_MEDIAN = 3.3567
 CHI2_FAR = 23.5127  # 0.9999
+# Medians for 1 to 4 degrees of freedom.
+CHI2_MEDIANS = (0.4549, 1.3863, 2.3660, CHI2_MEDIAN)
 # The least standard deviation of each statistic: words, word length, symbols, repetition.
 LEAST_SPREAD = (0.5, 0.1, 0.05, 0.05)
 _BINS = 64
@@ -84,6 +87,7 @@ def _vector() -> list[Column]:
 
 P = len(LEAST_SPREAD)
 X = [f"x{i}" for i in range(P)]
+LEAST = [f"least{i}" for i in range(P)]
 
 
 def _quantiles(rows: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
@@ -97,14 +101,23 @@ def _quantiles(rows: DataFrame, columns: list[str], shares: list[float]) -> Data
         for c in columns for k, s in enumerate(shares)])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Centre and a diagonal scale from medians and quartiles, as a fit."""
+def _start(rows: DataFrame, tight: bool) -> DataFrame:
+    """Centre and a diagonal scale from medians and quartiles, as a fit, with the least spread of each coordinate.
+
+    If `tight`, a coordinate with three different quartiles varies and needs no
+    least spread but the step it is rounded to. Others are mostly one value, and
+    the spread of the closest rows says nothing of the rest.
+    """
     q = _quantiles(rows, X, [0.25, 0.5, 0.75])
     fit = {f"m{i}": F.col(f"q_{c}_1") / 1.0 for i, c in enumerate(X)}
     for i, c in enumerate(X):
         for j in range(i):
             fit[f"l{i}{j}"] = F.lit(0.0)
-        fit[f"l{i}{i}"] = F.greatest((F.col(f"q_{c}_2") - F.col(f"q_{c}_0")) / 1.349, F.lit(LEAST_SPREAD[i] * UNIT))
+        spread = (F.col(f"q_{c}_2") - F.col(f"q_{c}_0")) / 1.349
+        varies = (F.col(f"q_{c}_0") < F.col(f"q_{c}_1")) & (F.col(f"q_{c}_1") < F.col(f"q_{c}_2")) if tight else F.lit(False)
+        least = F.when(varies, F.lit(1.0)).otherwise(F.lit(LEAST_SPREAD[i] * UNIT))
+        fit[f"l{i}{i}"] = F.greatest(spread, least)
+        fit[f"least{i}"] = least
     return settle(q.select("group", *[v.alias(k) for k, v in fit.items()]))
 
 
@@ -120,24 +133,29 @@ def _distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return out.withColumn("bin", F.floor(F.log1p("d2") * _BINS).cast("long"))
 
 
-def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, fit: DataFrame, tight: bool) -> DataFrame:
     """Mean and Cholesky factor of the covariance of each group's closest rows."""
     measured = _distances(rows, fit).select("group", *X, "bin")
-    near = join_lookup(measured, settle(_quantiles(measured, ["bin"], [KEPT_SHARE])), ["group"]).where("bin <= q_bin_0")
+    near = join_lookup(measured, settle(_quantiles(measured, ["bin"], [FITTED_SHARE if tight else KEPT_SHARE])), ["group"]).where("bin <= q_bin_0")
     sums = near.groupBy("group").agg(
         F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(X)],
         *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
-    out = sums.select("group", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)],
+    sums = join_lookup(sums, settle(fit.select("group", *LEAST)), ["group"])
+    out = sums.select("group", "n", *LEAST, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)],
                       *[f"s{i}{j}" for i in range(P) for j in range(i + 1)])
     for i in range(P):
         for j in range(i + 1):
             value = F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
+            if i == j and not tight:
                 value = value + (LEAST_SPREAD[i] * UNIT) ** 2
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            if i == j and tight:
+                # Where the closest half is one value, as in copies, that is no width for the others.
+                out = out.withColumn(f"varies{i}", (F.col(LEAST[i]) < LEAST_SPREAD[i] * UNIT) & (value >= 1.0))
+                value = F.when(F.col(f"varies{i}"), value).otherwise(F.greatest(value, F.lit((LEAST_SPREAD[i] * UNIT) ** 2)))
             out = out.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
-    return settle(out.select("group", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]))
+    return settle(out.select("group", *LEAST, *[f"varies{i}" for i in range(P) if tight], *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]))
 
 
 def _pools(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,15 +180,16 @@ def _pools(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return join_lookup(rows, settle(chosen.select("group", "pool")), ["group"]).drop("group").withColumnRenamed("pool", "group"), passing
 
 
-def quality(docs: DataFrame, pooled: bool = False) -> DataFrame:
+def quality(docs: DataFrame, pooled: bool = False, tight: bool = False) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, distance and kept for every row of `docs`.
 
     Null and empty texts have no words and fail. Null languages and sources form
     groups of their own. Repeated rows count as often as they stand there. Groups
     with fewer than `MIN_GROUP` rows that pass the base rules are judged by their
     language or by the whole table if `pooled`, so every passing row has a distance;
-    else they have a null distance and lose nothing more. An empty table gives no
-    rows; other columns are ignored.
+    else they have a null distance and lose nothing more. `tight` fits to the closest
+    half and gives a least spread only to statistics that do not vary, to the
+    others their own width. An empty table gives no rows; other columns are ignored.
     """
     configure(docs.sparkSession)
     group = F.to_json(F.struct("lang", "source"))
@@ -182,18 +201,32 @@ def quality(docs: DataFrame, pooled: bool = False) -> DataFrame:
     else:
         large = passing.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("group")
         passing = join_lookup(passing, settle(large), ["group"])
-    fit = _start(passing)
+    fit = _start(passing, tight)
     for _ in range(STEPS):
-        fit = _concentrate(passing, fit)
-    middle = _quantiles(_distances(passing, fit).select("group", "bin"), ["bin"], [0.5]).select(
-        "group", (F.expm1((F.col("q_bin_0") + 0.5) / _BINS) / CHI2_MEDIAN).alias("scale"))
+        fit = _concentrate(passing, fit, tight)
+    if tight:
+        # The scale is that of the coordinates that vary; the least spreads of the others stay as they are.
+        varies = [F.col(f"varies{i}") for i in range(P)]
+        n_varying = sum((v.cast("int") for v in varies), F.lit(0))
+        inner = sum((F.when(v, F.col(f"y{i}") * F.col(f"y{i}")).otherwise(0.0) for i, v in enumerate(varies)), F.lit(0.0))
+        inside = _distances(passing, fit).select("group", F.floor(F.log1p(inner) * _BINS).cast("long").alias("bin"))
+        median = F.get(F.array(*map(F.lit, CHI2_MEDIANS)), n_varying - 1)
+        middle = fit.join(_quantiles(inside, ["bin"], [0.5]), "group").select(
+            "group", F.coalesce(F.expm1((F.col("q_bin_0") + 0.5) / _BINS) / median, F.lit(1.0)).alias("scale"))
+    else:
+        middle = _quantiles(_distances(passing, fit).select("group", "bin"), ["bin"], [0.5]).select(
+            "group", (F.expm1((F.col("q_bin_0") + 0.5) / _BINS) / CHI2_MEDIAN).alias("scale"))
     measured = join_lookup(rows, settle(fit.join(middle, "group")), ["group"], "left")
     for i, c in enumerate(X):
         rest = F.col(c) - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
         measured = measured.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0)) / F.greatest("scale", F.lit(1.0))
+    squares = [F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)]
+    if tight:
+        d2 = sum((s / F.when(v, F.col("scale")).otherwise(1.0) for s, v in zip(squares, varies)), F.lit(0.0))
+    else:
+        d2 = sum(squares, F.lit(0.0)) / F.greatest("scale", F.lit(1.0))
     return measured.withColumn("distance", F.when(~F.col("base_failed"), d2)).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CHI2_FAR, F.lit(True))).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")

@@ -117,7 +117,7 @@ def op8(spark, folder):
 
 @query("op9_quality_rules")
 def op9(spark, folder):
-    return quality.digest(quality.quality(table(spark, folder, "documents"), pooled=True))
+    return quality.digest(quality.quality(table(spark, folder, "documents"), pooled=True, tight=True))
 
 
 @query("op5_lm_scoring")

@@ -322,6 +322,25 @@ def test_quality_pools_small_groups(llm):
     assert all(r["kept"] and r["distance"] is not None for r in few)
 
 
+def test_quality_tight(llm):
+    """A coordinate has its own width, the least spread holds where it does not vary, and a third of outliers stays outside."""
+    rng = np.random.default_rng(6)
+
+    def text(size, low, high):
+        return " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(low, high)))) for _ in range(size))
+
+    rows = [(i, text(int(rng.lognormal(5, 0.4)) + 40, 3, 8), "en", "a") for i in range(200)]
+    rows += [(300 + i, text(150, 6, 9), "en", "a") for i in range(3)]  # 7 characters a word where the others have 5
+    rows += [(400, text(150, 3, 8) + " #", "en", "a")]  # the first one with a symbol
+    rows += [(i, text(int(rng.lognormal(5, 0.4)) + 40, 3, 8), "en", "b") for i in range(500, 600)]
+    rows += [(700 + i, text(150, 8, 14), "en", "b") for i in range(45)]
+    copy = text(150, 3, 8)  # near half of a group in copies leaves the other half its room
+    rows += [(800 + i, copy if i % 2 else text(150, 3, 8), "en", "c") for i in range(101)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(llm.createDataFrame(rows, "doc_id long, text string, lang string, source string"), tight=True).collect()}
+    assert not any(got[300 + i] for i in range(3)) and not any(got[700 + i] for i in range(45)) and got[400]
+    assert sum(not got[i] for i in [*range(200), *range(500, 600), *range(800, 901)]) <= 8
+
+
 def test_quality_against_numpy(llm):
     """The same estimate by plain matrices."""
     rng = np.random.default_rng(4)
