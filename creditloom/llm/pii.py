@@ -7,8 +7,9 @@ threshold per kind, calibrated on labelled candidates that the trees did not see
 selects the spans to redact. Spans of the fixed base patterns are always kept.
 
 The trees are fitted by Spark ML on the candidates of a bounded sample of
-documents (`SAMPLE_DOCS`, chosen by a hash of doc_id, text never cut); labels
-come from the validated patterns. The fitted trees are a few hundred numbers and
+documents (`SAMPLE_DOCS`, chosen by a hash of the row, text never cut); labels
+come from the validated patterns. Thresholds come from the candidates of all
+documents, counted by kind, margin and label. The fitted trees are a few hundred numbers and
 are applied to every document in one pass without a shuffle.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from creditloom.session import settle
 SAMPLE_DOCS = 20_000
 TREES, DEPTH, SEED = 15, 4, 7
 PRECISION = 0.98  # that the calibrated threshold has to reach
+MARGIN_STEPS = 1_000  # of the trees' margin, in one unit
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 CONTEXT = 24
@@ -129,10 +132,15 @@ def label(text: str, kind: str, start: int, end: int, base: set[tuple[str, int,
     return float(bool(_NAMED.search(text[max(0, start - CONTEXT):start])) and any(c.isalpha() for c in text[start:end]))
 
 
+def step_of(margin: float) -> int:
+    """Margins are counted and compared in steps, so their number is fixed however many candidates there are."""
+    return math.floor(margin * MARGIN_STEPS)
+
+
 class Trees:
-    """Boosted trees as arrays, with a threshold on their margin for each kind."""
+    """Boosted trees as arrays, with a threshold on the step of their margin for each kind."""
 
-    def __init__(self, trees: list[tuple[float, list]], thresholds: dict[str, float]):
+    def __init__(self, trees: list[tuple[float, list]], thresholds: dict[str, int]):
         self.trees, self.thresholds = trees, thresholds
 
     def margin(self, x: list[float]) -> float:
@@ -146,7 +154,7 @@ class Trees:
         return total
 
     def accepts(self, text: str, kind: str, start: int, end: int) -> bool:
-        return kind in self.thresholds and self.margin(features(text, kind, start, end)) >= self.thresholds[kind]
+        return kind in self.thresholds and step_of(self.margin(features(text, kind, start, end))) >= self.thresholds[kind]
 
     def spans(self, text: str | None) -> tuple[list, list]:
         """(base spans, all spans), both by kind as listed, then start."""
@@ -176,61 +184,79 @@ def _nodes(root) -> list:
     return out
 
 
-def _threshold(margins: np.ndarray, truth: np.ndarray) -> float | None:
-    """The least margin at and above which the share of true candidates reaches PRECISION."""
-    order = np.argsort(-margins, kind="stable")
-    right = np.cumsum(truth[order])
-    last = np.append(margins[order][1:] != margins[order][:-1], True)  # equal margins stand or fall together
-    good = np.flatnonzero(last & (right >= PRECISION * np.arange(1, len(order) + 1)))
-    return float(margins[order][good[-1]]) if len(good) and right[good[-1]] else None
+def _threshold(steps: np.ndarray, truth: np.ndarray, n: np.ndarray) -> int | None:
+    """The least step at and above which the share of true candidates reaches PRECISION; `n` counts equal ones."""
+    order = np.argsort(-steps, kind="stable")
+    right, seen = np.cumsum((truth * n)[order]), np.cumsum(n[order])
+    last = np.append(steps[order][1:] != steps[order][:-1], True)  # equal steps stand or fall together
+    good = np.flatnonzero(last & (right >= PRECISION * seen))
+    return int(steps[order][good[-1]]) if len(good) and right[good[-1]] else None
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """doc_id, x (features), y (label) of the candidates of about SAMPLE_DOCS documents, all if there are fewer."""
+def _chosen(docs: DataFrame):
+    """Whether a row is in the sample. The text is hashed too, so rows without doc_id are not all in or out."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    rows = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))
+
+
+def _half():
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(2)) == 0
+
+
+def _labelled(text: str):
+    """(features, label) of each candidate."""
+    base = set(base_spans(text))
+    for c in candidates(text):
+        yield features(text, *c), label(text, *c, base)
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """x (features), y (label) of the candidates of the given documents."""
+    def run(batches):
+        for table in pieces(batches, "text", 1_000_000):
+            found = [c for text in table["text"].to_pylist() if text for c in _labelled(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.float64())], ["x", "y"])
+
+    return docs.select("text").mapInArrow(run, "x array<double>, y double")
+
 
+def _calibrate(docs: DataFrame, trees: Trees) -> dict[str, int]:
+    """Thresholds from the candidates of all documents: those the trees did not see, or all where none of these is true."""
     def run(batches):
         for table in pieces(batches, "text", 1_000_000):
-            ids, xs, ys = [], [], []
-            for doc_id, text in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
+            counts = Counter()
+            for text, fitted in zip(table["text"].to_pylist(), table["fitted"].to_pylist()):
                 if text:
-                    base = set(base_spans(text))
-                    for c in candidates(text):
-                        ids.append(doc_id)
-                        xs.append(features(text, *c))
-                        ys.append(label(text, *c, base))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.float64())],
-                                             ["doc_id", "x", "y"])
-
-    return rows.mapInArrow(run, "doc_id long, x array<double>, y double")
+                    counts.update((int(x[0]), step_of(trees.margin(x)), int(y), fitted) for x, y in _labelled(text))
+            rows = [(*key, n) for key, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))],
+                                             ["kind", "step", "y", "fitted", "n"])
+
+    counted = docs.select("text", "fitted").mapInArrow(run, "kind long, step long, y long, fitted boolean, n long").groupBy(
+        "kind", "step", "y", "fitted").agg(F.sum("n").alias("n")).collect()
+    out = {}
+    for k, kind in enumerate(KINDS):
+        mine = [r for r in counted if r["kind"] == k]
+        unseen = [r for r in mine if not r["fitted"]]
+        mine = unseen if any(r["y"] for r in unseen) else mine
+        if mine and (least := _threshold(*(np.array([r[c] for r in mine]) for c in ("step", "y", "n")))) is not None:
+            out[kind] = least
+    return out
 
 
 def learn(docs: DataFrame) -> Trees:
-    """Fit on half of the sampled candidates, calibrate on the other half (split by document)."""
+    """Fit on half of the sampled documents, calibrate on all others."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)) == 0
-    rows = settle(sample(docs).withColumn("fit", half))
-    fit = rows.where("fit").select(array_to_vector("x").alias("features"), F.col("y").alias("label")).repartition(1)
+    marked = docs.select("doc_id", "text").withColumn("fitted", _chosen(docs) & _half())
+    fit = settle(sample(marked.where("fitted"))).select(array_to_vector("x").alias("features"), F.col("y").alias("label"))
     if fit.select("label").distinct().count() < 2:
         return Trees([], {})
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(fit)
     trees = Trees([(float(w), _nodes(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")))
                    for w, t in zip(model.treeWeights, model.trees)], {})
-    counted = rows.groupBy("fit", "x", "y").agg(F.count("*").alias("n")).toPandas()
-    margins = np.array([trees.margin(list(x)) for x in counted["x"]])
-    kinds = np.array([int(x[0]) for x in counted["x"]])
-    fitted, truth, weights = counted["fit"].to_numpy(bool), counted["y"].to_numpy(), counted["n"].to_numpy()
-    for k, kind in enumerate(KINDS):
-        # A small table may have no true candidate of a kind in the second half; then all serve.
-        mine = (kinds == k) & ~fitted
-        mine = mine if truth[mine].any() else kinds == k
-        at = np.repeat(np.flatnonzero(mine), weights[mine])
-        if len(at) and (least := _threshold(margins[at], truth[at])) is not None:
-            trees.thresholds[kind] = least
-    return trees
+    return Trees(trees.trees, _calibrate(marked, trees))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"

@@ -220,6 +220,21 @@ def test_pii(llm, documents, odd, nothing):
     assert clean == "mail [EMAIL] or [PHONE] at [IP] \U0001F600 card [CARD]"
 
 
+def test_pii_thresholds_from_all_documents(llm, monkeypatch):
+    """The only true secret of a table lies outside the sample; rows without doc_id are sampled as others are."""
+    rows = [(i, f"{'mail a.b@c.org or' if i % 2 else 'sum'} 12345678 of {i} 300.1.1.1 or 10.0.0.{i % 250}") for i in range(400)]
+    rows += [(None, f"none {i} 300.2.2.2 10.1.1.1") for i in range(400)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 200)
+    chosen = docs.where(pii._chosen(docs))
+    assert 40 <= chosen.where("doc_id is null").count() <= 180
+    assert pii.learn(docs).thresholds.keys() >= {"ip", "email"}
+    trees = pii.Trees([(1.0, [(pii.FEATURES.index("named"), 0.5, 1, 2), (-1, -1.0, 0, 0), (-1, 1.0, 0, 0)])], {})
+    hidden = llm.createDataFrame([(t, False) for _, t in rows] + [("key = abcdef0123456789abcdef", False)], "text string, fitted boolean")
+    assert pii._calibrate(hidden, trees)["secret"] == pii.step_of(1.0)
+    assert pii._threshold(np.array([5, 3, 1]), np.array([1, 0, 0]), np.array([98, 2, 1])) == 3
+
+
 def test_licenses(documents, odd, nothing):
     got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])
            for r in licenses.digest(licenses.scan_licenses(documents)).collect()}
