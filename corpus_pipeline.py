@@ -35,7 +35,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drops contaminated documents; all others stay as they are."""
     added = ["n_words", "n_hit", "hit_items", "hit_spans", "contaminated"]
     return keeping(docs, added, lambda d: decontaminate.decontaminate(
-        d, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
+        d, table(spark, sf_dir, "benchmark"), unnamed=True).where(~F.col("contaminated")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

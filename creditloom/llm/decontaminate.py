@@ -120,6 +120,7 @@ class SuffixAutomaton:
             edges = np.flatnonzero(np.diff(codes >= 0, prepend=False, append=False)).reshape(-1, 2)
             for a, b in edges[edges[:, 1] - edges[:, 0] >= self.least].tolist():
                 self.stream(codes[a:b].tolist(), found, spans, a)
+        found.discard(None)
         return found, merged(spans)
 
 
@@ -134,8 +135,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[SuffixAutomaton]:
-    """One automaton per block of items; rows without item_id or words are no items."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    """One automaton per block of items; rows without words are no items, one without item_id hits but has no name."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     words = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 5
     blocks = 1 + words // block_words
     out = []
@@ -145,12 +146,14 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
+                  unnamed: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, with n_words, n_hit, hit_items, hit_spans, contaminated.
 
     hit_spans are [start, end) in words. Null and empty texts have no words and
     are never contaminated. Items repeated, or sharing windows, are all named,
-    each id once; an item shorter than the window has to occur whole. An empty
+    each id once; an item without id
+    is none, or with `unnamed` hits and is not named; an item shorter than the window has to occur whole. An empty
     benchmark hits nothing. Columns of these names in `docs` are replaced; any
     other column passes through.
     """
@@ -159,7 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     out = docs.drop(*added).withColumns({
         "n_words": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"),
         "hit_spans": F.array().cast("array<struct<start:long,end:long>>")})
-    for automaton in automata(benchmark, window):
+    for automaton in automata(benchmark if unnamed else benchmark.where("item_id is not null"), window):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
         out = out.mapInArrow(_search(shared), out.schema)
     return out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])).withColumn(

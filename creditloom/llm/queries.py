@@ -63,7 +63,7 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)""")
 def op3(spark, folder):
     return decontaminate.digest(decontaminate.decontaminate(
-        table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), unnamed=True))
 
 
 @query("op4_simhash_dedup")

@@ -235,6 +235,14 @@ def test_pii_thresholds_from_all_documents(llm, monkeypatch):
     assert pii._threshold(np.array([5, 3, 1]), np.array([1, 0, 0]), np.array([98, 2, 1])) == 3
 
 
+def test_benchmark_item_without_id_hits(llm):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = llm.createDataFrame([(1, passage), (2, "other words")], "doc_id long, text string")
+    bench = llm.createDataFrame([(None, passage), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["hit_items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, bench, unnamed=True).collect()}
+    assert got == {1: (20, [], True), 2: (0, [], False)}
+
+
 def test_licenses(documents, odd, nothing):
     got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])
            for r in licenses.digest(licenses.scan_licenses(documents)).collect()}
