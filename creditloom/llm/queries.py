@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from creditloom.llm import chat, decontaminate, hmm, langid, licenses, packing, pii, quality, simhash, substring_dedup
+from creditloom.llm import (
+    chat, collocations, decontaminate, hmm, langid, licenses, packing, periodic_runs, pii, quality, setsketch, simhash, substring_dedup,
+)
 from creditloom.llm.blocks import prepare
 from creditloom.sources.tables import table
 
@@ -123,3 +125,47 @@ def op9(spark, folder):
 @query("op5_lm_scoring")
 def op5(spark, folder):
     return hmm.score_texts(table(spark, folder, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, folder):
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, folder, "documents"))))
+
+
+@query("op12_phrase_mining", sql=r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS m)),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.m = k AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.m = k.m - k AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+within AS (SELECT DISTINCT c.lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, a AS longer
+  FROM c, unnest(range(2, 4)) AS t(j), unnest(range(1, 4)) AS u(i) WHERE j < m AND i + j - 1 <= m),
+top AS (SELECT lang, phrase, max(longer) AS longer FROM within GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) LEFT JOIN top ON top.lang = b.lang AND top.phrase = b.phrase
+WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000""")
+def op12(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_setsketch_dedup", sql=r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN m USING (doc_id) LEFT JOIN z USING (doc_id)""")
+def op13(spark, folder):
+    return setsketch.near_duplicates(table(spark, folder, "documents"))
