@@ -7,7 +7,6 @@ to pairs by key.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +17,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.constants import GBT_DEPTH, GBT_ROUNDS, GBT_STEP, GBT_SUBSAMPLE, SEED
-from creditloom.functions.vectors import dot, hadamard, sigmoid
+from creditloom.functions.vectors import hadamard
 from creditloom.operators.sizing import join_lookup
 from creditloom.operators.trees import boxes_of
 from creditloom.session import settle
@@ -67,7 +67,7 @@ def _best_round(model, val: DataFrame) -> int:
     """
     cells = boxes_of(model).staged_cells(val)
     order = Window.partitionBy("round").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counted = cells.groupBy("round", "cell").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    counted = cells.groupBy("round", "cell").agg(F.sum(F.col("label") * F.col("n")).alias("pos"), F.sum((1 - F.col("label")) * F.col("n")).alias("neg"))
     won = F.sum(F.col("pos") * (F.coalesce(F.col("below"), F.lit(0)) + F.col("neg") / F.lit(2.0)))
     curve = counted.withColumn("below", F.sum("neg").over(order)).groupBy("round").agg(
         (won / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0))).alias("auc"))
@@ -197,13 +197,6 @@ class FactorRanker:
 
         return items.select("item_id", vector("item_idx", "item_features").alias("vector"))
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps(self.__dict__),)], "model string").write.json(path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FactorRanker:
-        return cls(**json.loads(spark.read.schema("model string").json(path).first().model))
-
 
 def fit_factor_ranker(pairs: DataFrame, users: DataFrame, items: DataFrame, factors: int = 16,
                       iterations: int = 100, step: float = 0.05) -> FactorRanker:
@@ -221,13 +214,6 @@ def fit_factor_ranker(pairs: DataFrame, users: DataFrame, items: DataFrame, fact
                         user_dim, len(model.linear) - user_dim - encoder.categorySizes[0])
 
 
-def score_candidates(candidates: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame) -> DataFrame:
-    """Adds `score`, the ranker's probability, to (member_id, item_id) rows."""
-    joined = join_lookup(candidates.join(user_vectors.withColumnRenamed("vector", "_u"), "member_id"),
-                         item_vectors.withColumnRenamed("vector", "_v"), ["item_id"])
-    return joined.withColumn("score", sigmoid(dot(F.col("_u"), F.col("_v")))).drop("_u", "_v")
-
-
 # --- ranking by perceptron ----------------------------------------------------
 
 def perceptron_features(pairs: DataFrame, user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
@@ -242,8 +228,11 @@ def perceptron_features(pairs: DataFrame, user_factors: DataFrame, item_factors:
         hadamard(F.col("_u"), F.col("_v")), double("_u"), double("_v"), vector_to_array("features"), F.array("repay_prob")))).drop("_u", "_v")
 
 
-def fit_perceptron(data: DataFrame, hidden: tuple[int, ...] = (128, 64, 32), iterations: int = 40):
-    """Multilayer perceptron on (features, label)."""
+def fit_perceptron(data: DataFrame, hidden: tuple[int, ...] = (128, 64, 32), iterations: int = 40, weights: list[float] | None = None):
+    """Multilayer perceptron on (features, label), from the given weights if there are any."""
     data = for_training(data.select("features", "label"))
     width = len(data.select("features").first()[0])
-    return MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=iterations, seed=SEED).fit(data)
+    network = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=iterations, seed=SEED)
+    if weights is not None:
+        network = network.setInitialWeights(Vectors.dense(weights))
+    return network.fit(data)

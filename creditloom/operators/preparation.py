@@ -122,11 +122,15 @@ def _draw(positives: DataFrame, stretches: DataFrame, cells: int, tries: tuple[i
         (F.col("digest") * DRAWS_PER_DIGEST + F.col("word")).cast("int").alias("attempt"))
 
 
-def _accept(draws: DataFrame, positives: DataFrame, k: int) -> DataFrame:
-    """First k different products per positive that the user never took."""
+def _accept(draws: DataFrame, positives: DataFrame, k: int, before: DataFrame | None = None) -> DataFrame:
+    """First k different products per positive that the user never took, those accepted `before` among them."""
     seen = positives.select("member_id", F.col("item_id").alias("neg_item_id"))
-    fresh = (draws.groupBy("member_id", "item_id", "neg_item_id").agg(F.min("attempt").alias("attempt"))
-             .join(seen, ["member_id", "neg_item_id"], "left_anti"))
+    names = ["member_id", "item_id", "neg_item_id", "attempt"]
+    fresh = draws.join(seen, ["member_id", "neg_item_id"], "left_anti").select(*names)
+    if before is not None:
+        fresh = fresh.unionByName(before.select(*names))
+    # Grouping and ranking share one partitioning.
+    fresh = fresh.repartition("member_id", "item_id").groupBy("member_id", "item_id", "neg_item_id").agg(F.min("attempt").alias("attempt"))
     order = Window.partitionBy("member_id", "item_id").orderBy("attempt")
     return fresh.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= k)
 
@@ -136,18 +140,19 @@ def sample_negatives(positives: DataFrame, k: int = NEGATIVES_PER_POSITIVE, seed
     """For each distinct positive, up to k products the user never took, drawn by popularity.
 
     Draws are repeated until k products are accepted or k*20 tries are used. A
-    first pass makes 2k tries for everyone; only the positives still short get
-    the rest, so the usual cost is a tenth of drawing all tries.
+    first pass makes 2k tries for everyone; only the positives still short go on
+    with the rest, so the usual cost is a tenth of drawing all tries.
     """
     pairs = settle(positives.groupBy("member_id", "item_id").agg(F.sum("r").alias("r")))
     stretches = settle(_cumulative_cells(item_popularity(pairs, power), cells))
-    all_tries, first_tries = k * TRIES_PER_NEGATIVE, 2 * k
+    all_tries, first_tries = k * TRIES_PER_NEGATIVE, -(-2 * k // DRAWS_PER_DIGEST) * DRAWS_PER_DIGEST
     names = ["member_id", "item_id", "neg_item_id", "attempt", "turn"]
     first = settle(_accept(_draw(pairs, stretches, cells, (0, first_tries), seed), pairs, k).select(*names))
     done = first.filter(F.col("turn") == k).select("member_id", "item_id")
     short = pairs.join(done, ["member_id", "item_id"], "left_anti")
-    again = _accept(_draw(short, stretches, cells, (0, all_tries), seed), pairs, k).select(*names)
     kept = first.join(done, ["member_id", "item_id"], "left_semi")
+    begun = first.join(done, ["member_id", "item_id"], "left_anti")
+    again = _accept(_draw(short, stretches, cells, (first_tries, all_tries), seed), pairs, k, begun).select(*names)
     return kept.unionByName(again).select("member_id", "item_id", "neg_item_id", "turn")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.constants import (
     EMP_LENGTHS, MISSING_SHARE, QUANTILE_CAP, RECENT_APPLICATIONS, REPORT_APPROVAL_THRESHOLD,
 )
 from creditloom.operators.quantiles import exact_quantiles
+from creditloom.session import settle
 
 
 def _unpivot(row: DataFrame, parts: dict[str, list[Column]], names: list[str], key: str = "column_name") -> DataFrame:
@@ -27,8 +28,10 @@ def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
     counted = (rows.select(F.explode(cells).alias("c")).select("c.*").filter("value IS NOT NULL")
                .groupBy("column_name", "value").agg(F.count("*").alias("n_loans")))
-    total = F.sum("n_loans").over(Window.partitionBy("column_name"))
-    return counted.withColumn("share", F.col("n_loans") / total.cast("double"))
+    counted = settle(counted)
+    # One row a column.
+    total = counted.groupBy("column_name").agg(F.sum("n_loans").cast("double").alias("_total"))
+    return counted.join(F.broadcast(total), "column_name").withColumn("share", F.col("n_loans") / F.col("_total")).drop("_total")
 
 
 def most_frequent(counted: DataFrame, n: int | None) -> DataFrame:

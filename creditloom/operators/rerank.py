@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from creditloom.constants import APPROVAL_THRESHOLD
 from creditloom.functions.text import (
-    merge_order, money, one_decimal, percent, reply_items, whole_number, words,
+    money, one_decimal, percent, reply_items, whole_number, words,
 )
 from creditloom.operators.sizing import join_lookup
 
@@ -49,13 +49,21 @@ def injected_items(requests: DataFrame, candidates: DataFrame, catalog: DataFram
     its purpose; products already listed are left out. Each product is offered
     under two scopes, its purpose and `*`, which makes this an equality join.
     """
-    prompted = F.length(F.trim(F.coalesce("user_prompt", F.lit("")))) > 0
-    scoped = requests.select("request_id", F.when(prompted, "*").otherwise(F.col("purpose_request")).alias("scope"))
-    offered = catalog.withColumn("scope", F.explode(F.array(F.lit("*"), F.col("purpose"))))
-    fresh = join_lookup(scoped.filter("scope IS NOT NULL"), offered, ["scope"]).drop("scope")
+    fresh = join_lookup(scopes(requests), scoped_catalog(catalog), ["scope"]).drop("scope")
     return fresh.join(candidates.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
 
 
+def scopes(requests: DataFrame) -> DataFrame:
+    """(request_id, scope): `*` for a request with free text, else its purpose; none for one without either."""
+    prompted = F.length(F.trim(F.coalesce("user_prompt", F.lit("")))) > 0
+    return requests.select("request_id", F.when(prompted, "*").otherwise(F.col("purpose_request")).alias("scope")).filter("scope IS NOT NULL")
+
+
+def scoped_catalog(catalog: DataFrame) -> DataFrame:
+    """Each product under its purpose and under `*`, as `scope`."""
+    return catalog.withColumn("scope", F.explode(F.array(F.lit("*"), F.col("purpose"))))
+
+
 def named_items(requests: DataFrame, candidates: DataFrame, catalog: DataFrame, replies: DataFrame) -> DataFrame:
     """The rows of `injected_items` that a request's reply names, found from the reply by an equality join."""
     prompted = F.length(F.trim(F.coalesce("user_prompt", F.lit("")))) > 0
@@ -85,12 +93,10 @@ def apply_replies(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     No reply, or one without a readable list, keeps the order. Ids the list does
     not know are ignored and repeated ones count once.
     """
-    listed = candidates.groupBy("request_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda s: s.item_id).alias("listed"))
-    ordered = (listed.join(replies.select("request_id", reply_items(F.col("reply")).alias("wanted")), "request_id", "left")
-               .select("request_id", F.posexplode(merge_order(F.col("listed"), F.col("wanted"))).alias("pos", "item_id")))
-    return candidates.drop("rank").join(
-        ordered.select("request_id", "item_id", (F.col("pos") + 1).alias("rank")), ["request_id", "item_id"])
+    wanted = replies.select("request_id", reply_items(F.col("reply")).alias("_wanted"))
+    place = F.nullif(F.array_position(F.col("_wanted"), F.col("item_id")), F.lit(0))
+    joined = candidates.join(wanted, "request_id", "left").withColumn("_place", place).drop("_wanted")
+    return rank_again(joined, F.col("_place").asc_nulls_last(), F.col("rank")).drop("_place")
 
 
 # --- prompt tables -----------------------------------------------------------

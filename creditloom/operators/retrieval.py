@@ -12,7 +12,7 @@ block of items and keeps only the k best per query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ from creditloom.session import settle
 BROADCAST_VALUES = 16_000_000     # item matrix entries, 128 MB as doubles
 SCORE_CELLS = 4_000_000           # scores held at once in a task
 QUERY_BLOCK, ITEM_BLOCK = 8192, 8192
+ALS_LEAST_ROWS, ALS_MOST_ROWS = 10_000, 2_000_000  # interactions of a block
 SCORE_DIGITS = 9                  # ties are decided after rounding, then by id
 
 
@@ -65,12 +66,19 @@ def _mask(scores: np.ndarray, seen: pd.Series, item_ids: np.ndarray) -> None:
     scores[rows[here], at[here]] = -np.inf
 
 
-def _score_block(queries: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray) -> Iterator[pd.DataFrame]:
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]  # (queries, d), (items, d) -> (queries, items)
+
+
+def dot_products(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return queries @ items.T
+
+
+def _score_block(queries: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray, scorer: Scorer = dot_products) -> Iterator[pd.DataFrame]:
     """Best matches of a batch of queries (query_id, vector, keep[, own][, seen]) among the items, sorted by id."""
     step = max(1, SCORE_CELLS // max(1, len(item_ids)))
     for start in range(0, len(queries), step):
         part = queries.iloc[start:start + step]
-        scores = _matrix(part["vector"]) @ items.T
+        scores = scorer(_matrix(part["vector"]), items)
         if "own" in part:
             scores[part["own"].to_numpy()[:, None] == item_ids[None, :]] = -np.inf
         if "seen" in part and len(item_ids):
@@ -80,7 +88,7 @@ def _score_block(queries: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray)
                             "score": scores[rows, cols]})
 
 
-def _result_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
+def result_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                          T.StructField("match_id", items.schema["match_id"].dataType),
                          T.StructField("score", T.DoubleType())])
@@ -90,32 +98,33 @@ def _most(own_keep: DataFrame | None, k: int) -> int:
     return k if own_keep is None else 2**31 - 1
 
 
-def _with_keep(queries: DataFrame, k: int) -> DataFrame:
+def with_keep(queries: DataFrame, k: int) -> DataFrame:
     return queries if "keep" in queries.columns else queries.withColumn("keep", F.lit(k))
 
 
-def top_matches(queries: DataFrame, items: DataFrame, k: int, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """Exact k best items by dot product per query: (query_id, match_id, score, rank).
+def top_matches(queries: DataFrame, items: DataFrame, k: int, broadcast_values: int = BROADCAST_VALUES,
+                scorer: Scorer = dot_products) -> DataFrame:
+    """Exact k best items by dot product, or by `scorer`, per query: (query_id, match_id, score, rank).
 
     `queries` has query_id and vector, optionally `keep` (a number of matches per
     row, in place of k), `own` (an item id to leave out) and `seen` (an array of
     them); `items` has match_id and vector.
     """
     own_keep = queries.select("query_id", "keep") if "keep" in queries.columns else None
-    queries = _with_keep(queries, k)
+    queries = with_keep(queries, k)
     shape = items.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     if shape.n * (shape.d or 0) <= broadcast_values:
         # Every query sits in one task, so what comes back is already the k (or `keep`) best.
-        return _ranked(_broadcast_matches(queries, items), None, _most(own_keep, k))
-    found = blocked_matches(queries.withColumn("cell", F.lit(0)), items.withColumn("cell", F.lit(0)))
-    return _ranked(found, own_keep, k)
+        return ranked(_broadcast_matches(queries, items, scorer), None, _most(own_keep, k))
+    found = blocked_matches(queries.withColumn("cell", F.lit(0)), items.withColumn("cell", F.lit(0)), scorer=scorer)
+    return ranked(found, own_keep, k)
 
 
 def _best_first():
     return Window.partitionBy("query_id").orderBy(F.round("score", SCORE_DIGITS).desc(), "match_id")
 
 
-def _ranked(found: DataFrame, own_keep: DataFrame | None, k: int) -> DataFrame:
+def ranked(found: DataFrame, own_keep: DataFrame | None, k: int) -> DataFrame:
     """Merges what the blocks found; a query with its own `keep` gets that many."""
     ranked = found.withColumn("rank", F.row_number().over(_best_first()))
     if own_keep is None:
@@ -123,23 +132,23 @@ def _ranked(found: DataFrame, own_keep: DataFrame | None, k: int) -> DataFrame:
     return ranked.join(own_keep, "query_id").filter(F.col("rank") <= F.col("keep")).drop("keep")
 
 
-def _broadcast_matches(queries: DataFrame, items: DataFrame) -> DataFrame:
+def _broadcast_matches(queries: DataFrame, items: DataFrame, scorer: Scorer) -> DataFrame:
     rows = items.select("match_id", "vector").toPandas().sort_values("match_id")
     spark = queries.sparkSession
     if rows.empty:
-        return spark.createDataFrame([], _result_schema(queries, items))
+        return spark.createDataFrame([], result_schema(queries, items))
     shared = spark.sparkContext.broadcast((rows["match_id"].to_numpy(), _matrix(rows["vector"])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
         for batch in batches:
-            yield from _score_block(batch, ids, matrix)
+            yield from _score_block(batch, ids, matrix, scorer)
 
-    return queries.mapInPandas(run, _result_schema(queries, items))
+    return queries.mapInPandas(run, result_schema(queries, items))
 
 
 def blocked_matches(queries: DataFrame, items: DataFrame, query_block: int = QUERY_BLOCK,
-                    item_block: int = ITEM_BLOCK) -> DataFrame:
+                    item_block: int = ITEM_BLOCK, scorer: Scorer = dot_products) -> DataFrame:
     """Best matches per query within each (cell, item block); both sides carry a `cell`.
 
     Blocks are sized from the row counts per cell, so no group outgrows a task.
@@ -157,14 +166,14 @@ def blocked_matches(queries: DataFrame, items: DataFrame, query_block: int = QUE
          .withColumn("item_part", F.pmod(F.xxhash64("match_id"), F.col("item_parts")).cast("int"))
          .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
          .drop("query_parts", "item_parts"))
-    schema = _result_schema(queries, items)
+    schema = result_schema(queries, items)
     names = schema.names
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
         right = right.sort_values("match_id")
-        return pd.concat(_score_block(left, right["match_id"].to_numpy(), _matrix(right["vector"])))
+        return pd.concat(_score_block(left, right["match_id"].to_numpy(), _matrix(right["vector"]), scorer))
 
     keys = ["cell", "query_part", "item_part"]
     return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(run, schema)
@@ -200,9 +209,9 @@ def fit_cells(items: DataFrame, cells: int, seed: int = SEED) -> tuple[DataFrame
 def top_matches_by_cell(queries: DataFrame, items: DataFrame, centres: DataFrame, k: int, probes: int) -> DataFrame:
     """Approximate k best items: only the `probes` cells nearest to a query are searched."""
     nearest = top_matches(queries, normalised(centres), probes).select("query_id", F.col("match_id").alias("cell"))
-    probing = _with_keep(queries, k).join(nearest, "query_id")
+    probing = with_keep(queries, k).join(nearest, "query_id")
     own_keep = queries.select("query_id", "keep") if "keep" in queries.columns else None
-    return _ranked(blocked_matches(settle(probing), items), own_keep, k)
+    return ranked(blocked_matches(settle(probing), items), own_keep, k)
 
 
 def default_probes(cells: int) -> int:
@@ -212,6 +221,9 @@ def default_probes(cells: int) -> int:
 def fit_factors(interactions: DataFrame, factors: int = ALS_FACTORS, iterations: int = ALS_ITERATIONS,
                 alpha: float = ALS_CONFIDENCE, seed: int = SEED):
     """Implicit-feedback factorisation of (user_idx, item_idx, r)."""
-    als = ALS(rank=factors, maxIter=iterations, regParam=ALS_REGULARISATION, alpha=alpha, implicitPrefs=True,
-              userCol="user_idx", itemCol="item_idx", ratingCol="r", seed=seed, checkpointInterval=5)
+    rows, cores = interactions.count(), interactions.sparkSession.sparkContext.defaultParallelism
+    # As many blocks as cores, and more where a block would hold too many rows; small tables need none.
+    blocks = max(1, min(cores, rows // ALS_LEAST_ROWS), rows // ALS_MOST_ROWS)
+    als = ALS(rank=factors, maxIter=iterations, regParam=ALS_REGULARISATION, alpha=alpha, implicitPrefs=True, numUserBlocks=blocks,
+              numItemBlocks=blocks, userCol="user_idx", itemCol="item_idx", ratingCol="r", seed=seed, checkpointInterval=5)
     return als.fit(interactions)

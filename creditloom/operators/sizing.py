@@ -15,19 +15,21 @@ from creditloom.session import settle
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
-SALTS = 32
-HOT_SHARE = 1 / 200  # of all rows; at most 200 keys have so many
+TASK_BYTES = 128_000_000  # of one key, beyond which its rows are dealt to several tasks
 
 
 def row_bytes(df: DataFrame) -> int:
     """Width of the widest row, array elements and text counted by their length."""
+    return df.agg(F.coalesce(F.max(_width(df)), F.lit(0))).first()[0]
+
+
+def _width(df: DataFrame):
     def size(c: str, kind: T.DataType):
         if isinstance(kind, (T.ArrayType, T.MapType)):
             return F.coalesce(F.size(c), F.lit(0)) * F.lit(24 if isinstance(kind, T.MapType) else 16)
         return F.coalesce(F.length(c), F.lit(0)) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(16)
 
-    width = sum((size(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(16))
-    return df.agg(F.coalesce(F.max(width), F.lit(0))).first()[0]
+    return sum((size(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(16)).cast("long")
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -43,16 +45,17 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     return hot_key_join(rows, lookup, keys, how)
 
 
-def hot_key_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner",
-                 salts: int = SALTS, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Equi-join that splits the rows of each hot key into `salts` parts and repeats the lookup for those keys alone.
+def hot_key_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Equi-join that deals the rows of each hot key to several tasks and repeats the lookup for those keys alone.
 
-    Hot are the keys with more than `hot_share` of all rows, so there are at most
-    1 / hot_share of them and their table is broadcast.
+    Hot are keys whose rows take more than `task_bytes`; each is dealt to as many
+    parts as that fits into its bytes.
     """
-    counts = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hot = F.broadcast(settle(counts.filter(F.col("_n") > hot_share * total).select(*keys, F.lit(salts).alias("_salts"))))
+    rows = settle(rows)
+    parts = F.ceil(F.sum(_width(rows)) / F.lit(task_bytes)).cast("int")
+    hot = settle(rows.groupBy(*keys).agg(parts.alias("_salts")).filter("_salts > 1"))
+    if is_small(hot):
+        hot = F.broadcast(hot)
     parts = F.coalesce("_salts", F.lit(1))
     left = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), parts).cast("int")).drop("_salts")
     right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts")

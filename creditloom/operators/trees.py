@@ -87,23 +87,28 @@ class LeafTable:
             yield frame.iloc[start:start + step]
 
     def staged_cells(self, rows: DataFrame) -> DataFrame:
-        """(round, cell, label): the score after each round, as one of 10,000 equal cells."""
+        """(round, cell, label, n): how many rows of a task score in each of 10,000 equal cells after each round."""
         table = rows.sparkSession.sparkContext.broadcast(self)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             leaves = table.value
             rounds = int(leaves.tree.max()) + 1
             by_tree = leaves.value[:, None] * (leaves.tree[:, None] == np.arange(rounds)[None, :])
+            # Counted for the whole task, so what leaves it does not grow with its rows.
+            counts = np.zeros(2 * rounds * CELLS, np.int64)
             for frame in frames:
                 for part in leaves.batches(frame):
                     x = np.stack(part["x"].to_numpy())
                     margins = np.cumsum(leaves.inside(x).all(axis=2) @ by_tree, axis=1)
-                    cell = np.minimum((CELLS / (1 + np.exp(-margins))).astype(np.int32), CELLS - 1)
-                    yield pd.DataFrame({"round": np.tile(np.arange(1, rounds + 1, dtype=np.int32), len(part)),
-                                        "cell": cell.ravel(), "label": np.repeat(part["label"].to_numpy(), rounds)})
+                    cell = np.minimum((CELLS / (1 + np.exp(-margins))).astype(np.int64), CELLS - 1)
+                    place = (part["label"].to_numpy()[:, None] * rounds + np.arange(rounds)) * CELLS + cell
+                    counts += np.bincount(place.ravel(), minlength=len(counts))
+            found = np.flatnonzero(counts)
+            yield pd.DataFrame({"round": (found // CELLS % rounds + 1).astype(np.int32), "cell": (found % CELLS).astype(np.int32),
+                                "label": (found // CELLS // rounds).astype(np.int32), "n": counts[found]})
 
         return rows.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label")).mapInPandas(
-            run, "round int, cell int, label int")
+            run, "round int, cell int, label int, n long")
 
 
 def _paths(nodes: dict[int, tuple]) -> Iterator[tuple[float, dict[int, list[float]]]]:

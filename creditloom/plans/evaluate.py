@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.constants import SEED
-from creditloom.operators import metrics, models, rerank
+from creditloom.operators import metrics, rerank
 from creditloom.operators.sampling import smallest_by_hash
-from creditloom.plans.offline import Artefacts
-from creditloom.plans.recommend import popular_list, rank_catalog, rank_pool, retrieve
+from creditloom.plans.artefacts import Artefacts
+from creditloom.plans.recommend import popular_list, rank_pool, retrieve
 from creditloom.session import settle
 
 RETRIEVAL, RANKING, REPLIES = "retrieval", "ranking", "replies"
@@ -41,7 +41,7 @@ def stage_rankings(art: Artefacts, users: DataFrame, pool: int, depth: int, repl
         "member_id", "item_id", (F.col("p") + 1).alias("rank")))
     first = found.filter(F.col("retrieval_rank") <= depth).select(
         "member_id", "item_id", F.col("retrieval_rank").alias("rank")).unionByName(popular)
-    second = settle(rank_pool(art, found, depth).select("member_id", "item_id", "rank").unionByName(popular))
+    second = settle(rank_pool(art.ranking(), found, depth).select("member_id", "item_id", "rank").unionByName(popular))
     stages = [first.withColumn("stage", F.lit(RETRIEVAL)), second.withColumn("stage", F.lit(RANKING))]
     if replies is not None:
         third = rerank.apply_replies(second.withColumnRenamed("member_id", "request_id"), replies)
@@ -74,48 +74,16 @@ def ablation(art: Artefacts, k: int = 5, n_users: int | None = None, pool: int =
     """Per-user metrics of every stage over all test users; in a sample of `n_users`, warm ones come first."""
     users = test_users(art, n_users, warm_first=True)
     found = settle(retrieve(art, users.select("member_id", F.lit(pool).alias("keep"))))
-    replies = history_replies(art, settle(rank_pool(art, found, depth)))
+    replies = history_replies(art, settle(rank_pool(art.ranking(), found, depth)))
     rankings, names = stage_rankings(art, users, pool, depth, replies)
     return metrics.user_metrics(rankings, truth_of(art), users, names, k)
 
 
 def top_ids_per_stage(art: Artefacts, n_users: int | None = None, pool: int = 50, depth: int = 5) -> DataFrame:
-    """One row per user with the first products of each stage as arrays."""
+    """One row per user with the first products of each stage as arrays, reordering by past products included."""
     users = test_users(art, n_users, warm_first=True)
-    rankings, names = stage_rankings(art, users, pool, depth)
+    found = settle(retrieve(art, users.select("member_id", F.lit(pool).alias("keep"))))
+    replies = history_replies(art, settle(rank_pool(art.ranking(), found, depth)))
+    rankings, names = stage_rankings(art, users, pool, depth, replies)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda s: s.item_id)
     return rankings.groupBy("member_id").pivot("stage", names).agg(listed)
-
-
-def compare_rankers(art: Artefacts, iterations: tuple[int, ...] = (10, 50, 100), k: int = 10, pool: int | None = None) -> DataFrame:
-    """Fits one ranker per setting and scores each on validation users; the best one comes first.
-
-    Ranks the whole catalog, or the `pool` retrieved products when given.
-    """
-    pairs, users, items = art.table("training_pairs"), art.table("users"), art.table("items")
-    truth = truth_of(art, "val")
-    people = settle(truth.select("member_id").distinct())
-    rows = None
-    for n in iterations:
-        ranker = models.fit_factor_ranker(pairs, users, items, iterations=n)
-        tried = _WithVectors(art, settle(ranker.user_vectors(users)), settle(ranker.item_vectors(items)))
-        if pool is None:
-            ranked = rank_catalog(tried, people, k)
-        else:
-            ranked = rank_pool(tried, retrieve(art, people.withColumn("keep", F.lit(pool))), k)
-        per_user = metrics.user_metrics(ranked.withColumn("stage", F.lit(str(n))), truth, people, [str(n)], k)
-        means = metrics.macro_means(per_user, "stage").select(
-            F.col("stage").cast("int").alias("iterations"), "n_users", "ndcg", "recall")
-        rows = means if rows is None else rows.unionByName(means)
-    return rows.orderBy(F.desc("ndcg"), "iterations")
-
-
-class _WithVectors(Artefacts):
-    """Artefacts of a run with the rank vectors of another ranker."""
-
-    def __init__(self, art: Artefacts, users: DataFrame, items: DataFrame):
-        super().__init__(art.spark, art.root)
-        self._vectors = {"user_rank_vectors": users, "item_rank_vectors": items}
-
-    def table(self, name: str) -> DataFrame:
-        return self._vectors.get(name) if name in self._vectors else super().table(name)

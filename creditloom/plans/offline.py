@@ -6,59 +6,25 @@ rerun alone and a lost executor costs only the step it was in.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
 
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.constants import GBT_ROUNDS
-from creditloom.operators import features, models, preparation as prep, retrieval
+from creditloom.operators import features, models, preparation as prep, rankers, retrieval
+from creditloom.operators.cells import CellIndex
 from creditloom.operators.ordering import dense_index
 from creditloom.operators.sizing import join_lookup
-from creditloom.operators.trees import LeafTable, boxes_of
-from creditloom.session import scratch_path, settle
+from creditloom.plans.artefacts import Artefacts, save_table, settings_text
+from creditloom.session import own_scratch, scratch_path, settle
 
 LOAN_COLUMNS = ("id", "member_id", "item_id", "label", "split", "issue_d", "int_rate", "loan_amnt", "grade", "purpose", "term",
                 "annual_inc", "dti", "fico_range_low", "fico_range_high", "home_ownership", "addr_state")
+FIRST_RANKER = "first"
 PROFILE_COLUMNS = ["annual_inc", "dti", "fico_range_low", "fico_range_high", "home_ownership", "addr_state"]
 
 
-@dataclass
-class Artefacts:
-    """Where the tables and models of one run lie, read on demand."""
-
-    spark: SparkSession
-    root: str
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
-
-    def user_spec(self) -> features.FeatureSpec:
-        return features.FeatureSpec.load(self.spark, f"{self.root}/user_spec")
-
-    def item_spec(self) -> features.FeatureSpec:
-        return features.FeatureSpec.load(self.spark, f"{self.root}/item_spec")
-
-    def repay_model(self) -> GBTClassificationModel:
-        return GBTClassificationModel.load(f"{self.root}/repay_model")
-
-    def calibrator(self) -> IsotonicRegressionModel:
-        return IsotonicRegressionModel.load(f"{self.root}/calibrator")
-
-    def ranker(self) -> models.FactorRanker:
-        return models.FactorRanker.load(self.spark, f"{self.root}/ranker")
-
-    def leaves(self) -> LeafTable:
-        return boxes_of(self.repay_model())
-
-
-def _save(df: DataFrame, root: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{root}/{name}")
-    return df.sparkSession.read.parquet(f"{root}/{name}")
-
-
 def prepare(loans: DataFrame, root: str, profile_split: str | None = None) -> None:
     """Positives, catalog, profiles and feature tables.
 
@@ -67,23 +33,23 @@ def prepare(loans: DataFrame, root: str, profile_split: str | None = None) -> No
     time; everybody is transformed, the others with their latest profile.
     """
     spark = loans.sparkSession
-    _save(prep.positive_interactions(loans, "split"), root, "positives")
+    save_table(prep.positive_interactions(loans, "split"), root, "positives")
     fitted = loans if profile_split is None else loans.filter(F.col("split") == profile_split)
-    catalog = _save(prep.item_catalog(loans), root, "catalog")
+    catalog = save_table(prep.item_catalog(loans), root, "catalog")
     profiles = prep.latest_profile(fitted, PROFILE_COLUMNS).withColumn("known", F.lit(True))
     if profile_split is not None:
         others = loans.join(fitted.select("member_id").distinct(), "member_id", "left_anti")
         profiles = profiles.unionByName(prep.latest_profile(others, PROFILE_COLUMNS).withColumn("known", F.lit(False)))
-    profiles = _save(profiles, root, "profiles")
+    profiles = save_table(profiles, root, "profiles")
     known = profiles.filter("known").drop("known")
-    user_spec = features.fit_features(_save(features.user_rows(known), root, "user_rows"),
+    user_spec = features.fit_features(save_table(features.user_rows(known), root, "user_rows"),
                                       features.USER_NUMERIC, features.USER_CATEGORICAL)
     item_spec = features.fit_item_features(catalog)
     user_spec.save(spark, f"{root}/user_spec")
     item_spec.save(spark, f"{root}/item_spec")
     people = profiles.withColumn("addr_state", features.known_state(user_spec, F.col("addr_state")))
-    _save(people.select("member_id", "known", user_spec.vector().alias("user_features")), root, "users")
-    _save(catalog.join(dense_index(catalog, "item_id", "item_idx"), "item_id").select(
+    save_table(people.select("member_id", "known", user_spec.vector().alias("user_features")), root, "users")
+    save_table(catalog.join(dense_index(catalog, "item_id", "item_idx"), "item_id").select(
         "item_id", "item_idx", item_spec.vector().alias("item_features")), root, "items")
 
 
@@ -95,7 +61,14 @@ def train_retrieval(art: Artefacts, factors: int, iterations: int) -> None:
     model = retrieval.fit_factors(numbered, factors, iterations)
     for name, key, ids, number in (("user_factors", "member_id", users, "user_idx"), ("item_factors", "item_id", items, "item_idx")):
         vectors = model.userFactors if name == "user_factors" else model.itemFactors
-        _save(vectors.join(ids, F.col("id") == F.col(number)).select(key, F.col("features").alias("vector")), art.root, name)
+        save_table(vectors.join(ids, F.col("id") == F.col(number)).select(key, F.col("features").alias("vector")), art.root, name)
+
+
+def build_index(art: Artefacts, k: int = 100) -> None:
+    """Cells over the product factors, and the share of the exact k best that a search in them finds."""
+    items = retrieval.normalised(art.table("item_factors")).select(F.col("item_id").alias("match_id"), "vector")
+    index = CellIndex.build(items, f"{art.root}/item_index")
+    index.measure(retrieval.normalised(art.table("user_factors")).select(F.col("member_id").alias("query_id"), "vector"), k)
 
 
 def train_repayment(art: Artefacts, loans: DataFrame, rounds: int, patience: int) -> None:
@@ -105,7 +78,7 @@ def train_repayment(art: Artefacts, loans: DataFrame, rounds: int, patience: int
     train, val = data.filter("split = 'train'"), data.filter("split = 'val'")
     model = models.fit_repay_model(train, val, rounds, patience=patience)
     model.write().overwrite().save(f"{art.root}/repay_model")
-    scored = _save(models.with_raw_repay(val, model).select("member_id", "item_id", "label", "raw_prob"), art.root, "val_scores")
+    scored = save_table(models.with_raw_repay(val, model).select("member_id", "item_id", "label", "raw_prob"), art.root, "val_scores")
     models.fit_calibrator(scored).write().overwrite().save(f"{art.root}/calibrator")
 
 
@@ -113,23 +86,53 @@ def train_ranking(art: Artefacts, iterations: int) -> None:
     """Factorisation machine on train positives and sampled negatives, and the vectors it gives everyone."""
     positives = settle(art.table("positives").filter("split = 'train'").select("member_id", "item_id", "r"))
     negatives = prep.sample_negatives(positives)
-    pairs = _save(prep.training_pairs(positives, negatives), art.root, "training_pairs")
+    pairs = save_table(prep.training_pairs(positives, negatives), art.root, "training_pairs")
     users, items = art.table("users"), art.table("items")
-    ranker = models.fit_factor_ranker(pairs, users, items, iterations=iterations)
-    ranker.save(art.spark, f"{art.root}/ranker")
-    _save(ranker.user_vectors(users), art.root, "user_rank_vectors")
-    _save(ranker.item_vectors(items), art.root, "item_rank_vectors")
+    ranker = rankers.fit_factor_ranker(pairs, users, items, iterations=iterations)
+    art.save_ranker(FIRST_RANKER, ranker)
+    art.record([(FIRST_RANKER, "factors", settings_text({"iterations": iterations}), None, None, None, f"{art.root}/rankers/{FIRST_RANKER}", True)])
 
 
 def run(loans: DataFrame, root: str | None = None, factors: int = 64, als_iterations: int = 20, rounds: int = GBT_ROUNDS,
-        patience: int = 20, ranker_iterations: int = 100, profile_split: str | None = None) -> Artefacts:
-    """The whole offline job over a loan table with LOAN_COLUMNS."""
+        patience: int = 20, ranker_iterations: int = 100, profile_split: str | None = None, choose: bool = False) -> Artefacts:
+    """The whole offline job over a loan table with LOAN_COLUMNS.
+
+    `choose` tries further ranking models on validation users and puts the best
+    one in use.
+
+    Every step says what it was finished for: the content of the loans and all
+    settings up to it. Run again on the same `root`, a job that failed goes on at
+    the first step that was not finished for the same. What a step settles on its
+    way is removed at its end.
+    """
     spark = loans.sparkSession
     root = root or scratch_path(spark, "artefacts")
-    loans = _save(loans, root, "loans")
     art = Artefacts(spark, root)
-    prepare(loans, root, profile_split)
-    train_retrieval(art, factors, als_iterations)
-    train_repayment(art, loans, rounds, patience)
-    train_ranking(art, ranker_iterations)
+    stored = lambda: art.table("loans")
+    steps = [
+        ("loans", {}, lambda: save_table(loans, root, "loans")),
+        ("prepare", {"profile_split": profile_split}, lambda: prepare(stored(), root, profile_split)),
+        ("retrieval", {"factors": factors, "iterations": als_iterations}, lambda: train_retrieval(art, factors, als_iterations)),
+        ("index", {}, lambda: build_index(art)),
+        ("repayment", {"rounds": rounds, "patience": patience}, lambda: train_repayment(art, stored(), rounds, patience)),
+        ("ranking", {"iterations": ranker_iterations}, lambda: train_ranking(art, ranker_iterations)),
+    ]
+    if choose:
+        from creditloom.plans.choose import choose_ranker  # reads artefacts through the plans that use them
+
+        steps.append(("choice", {}, lambda: choose_ranker(art)))
+    mark = content_mark(loans)
+    for name, settings, job in steps:
+        mark = hashlib.sha256(f"{mark} {name} {settings_text(settings)}".encode()).hexdigest()
+        if art.committed(name) != mark:
+            with own_scratch(spark):
+                job()
+            art.commit(name, mark)
     return art
+
+
+def content_mark(rows: DataFrame) -> str:
+    """A text that changes with the rows of a table, but not with their order."""
+    hashed = F.xxhash64(*rows.columns, *[F.col(c).isNull() for c in rows.columns])
+    found = rows.agg(F.count("*"), F.bit_xor(hashed), F.sum(F.pmod(hashed, F.lit((1 << 31) - 1)))).first()
+    return " ".join(map(str, [*rows.columns, *found]))

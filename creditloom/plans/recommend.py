@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from creditloom.constants import RETRIEVAL_POOL_RANGE
 from creditloom.functions.text import reply_items
-from creditloom.operators import decisions, explain, models, preparation as prep, rerank, retrieval
+from creditloom.operators import decisions, explain, models, preparation as prep, rankers, rerank, retrieval
 from creditloom.operators.features import known_state
 from creditloom.operators.sizing import join_lookup
-from creditloom.plans.offline import Artefacts
+from creditloom.plans.artefacts import Artefacts, Ranking
 from creditloom.session import settle
 
 DETAILS = ["item_id", "grade", "purpose", "term", "int_rate", "loan_amnt", "positive_rate"]
@@ -21,11 +21,20 @@ def unit_items(art: Artefacts) -> DataFrame:
     return retrieval.normalised(art.table("item_factors")).select(F.col("item_id").alias("match_id"), "vector")
 
 
-def retrieve(art: Artefacts, wanted: DataFrame) -> DataFrame:
-    """Nearest products by angle for (member_id, keep): (member_id, item_id, retrieval_rank)."""
+EXACT, CELLS = "exact", "cells"
+
+
+def retrieve(art: Artefacts, wanted: DataFrame, search: str = EXACT, probes: int | None = None) -> DataFrame:
+    """Nearest products by angle for (member_id, keep): (member_id, item_id, retrieval_rank).
+
+    `search` is "exact", or "cells" for the kept index, of which `probes` cells are read per user.
+    """
+    if search not in (EXACT, CELLS):
+        raise ValueError(f"search is {EXACT!r} or {CELLS!r}")
     users = retrieval.normalised(art.table("user_factors")).select(F.col("member_id").alias("query_id"), "vector")
     asked = users.join(wanted.select(F.col("member_id").alias("query_id"), "keep"), "query_id")
-    return retrieval.top_matches(asked, unit_items(art), 0).select(
+    found = retrieval.top_matches(asked, unit_items(art), 0) if search == EXACT else art.item_index().search(asked, 0, probes)
+    return found.select(
         F.col("query_id").alias("member_id"), F.col("match_id").alias("item_id"), F.col("rank").alias("retrieval_rank"))
 
 
@@ -59,12 +68,12 @@ def repay_probability(art: Artefacts, pairs: DataFrame, people: DataFrame) -> Da
                       ["request_id", "item_id"], "left")
 
 
-def candidates(art: Artefacts, requests: DataFrame) -> DataFrame:
+def candidates(art: Artefacts, requests: DataFrame, search: str = EXACT) -> DataFrame:
     """Retrieved products of known users and popular ones of the others: (request_id, item_id, retrieval_rank)."""
     warm = requests.filter("NOT cold_start")
     # Several requests of one user share one search, as deep as the deepest of them.
     depth = warm.groupBy(F.col("user_id").alias("member_id")).agg(F.max("retrieval_pool").alias("keep"))
-    found = retrieve(art, depth)
+    found = retrieve(art, depth, search)
     near = (warm.select("request_id", F.col("user_id").alias("member_id"), "retrieval_pool").join(found, "member_id")
             .filter(F.col("retrieval_rank") <= F.col("retrieval_pool")).select("request_id", "item_id", "retrieval_rank"))
     popular = (requests.filter("cold_start")
@@ -73,24 +82,35 @@ def candidates(art: Artefacts, requests: DataFrame) -> DataFrame:
     return near.unionByName(popular)
 
 
-def recommend(art: Artefacts, requests: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+def scorer_of(ranking: Ranking) -> retrieval.Scorer:
+    """What scores blocks of the ranking's user and item vectors."""
+    return ranking.model.block_scores if isinstance(ranking.model, rankers.PerceptronRanker) else retrieval.dot_products
+
+
+def scored(ranking: Ranking, rows: DataFrame) -> DataFrame:
+    """Adds `score` to (member_id, item_id) rows."""
+    return rankers.score_candidates(rows, ranking.model, ranking.users, settle(ranking.items))
+
+
+def recommend(art: Artefacts, requests: DataFrame, replies: DataFrame | None = None, ranker: str | None = None,
+              search: str = EXACT) -> DataFrame:
     """One row per request and recommended product, with rank, score and repayment probability.
 
     Known users: products near their factors, kept if likely repaid (all of them
     if none is), ranked by the ranking model. Unknown users: popular products,
     ranked by repayment probability if a profile is there, else by popularity
     with score 0. A request that asks for it and has a reply is then reordered.
+    `ranker` names one of the run's ranking models in place of the one in use.
     """
+    ranking = art.ranking(ranker)
     requests = settle(split_requests(art, requests))
     people = settle(requester_features(art, requests))
-    found = settle(candidates(art, requests))
+    found = settle(candidates(art, requests, search))
     flags = requests.select("request_id", "user_id", "cold_start", "top_k", "use_rerank", "rerank_pool")
     judged = repay_probability(art, found, people).join(flags, "request_id")
-    passing = decisions.keep_passing(judged, F.coalesce("repay_prob", F.lit(1.0)))
-    warm = models.score_candidates(
-        passing.filter("NOT cold_start").withColumn("member_id", F.col("user_id")), art.table("user_rank_vectors"),
-        settle(art.table("item_rank_vectors"))).drop("member_id")
-    cold = passing.filter("cold_start").withColumn("score", F.coalesce("repay_prob", F.lit(0.0)))
+    likely = decisions.keep_passing(judged, F.coalesce("repay_prob", F.lit(1.0)))
+    warm = scored(ranking, likely.filter("NOT cold_start").withColumn("member_id", F.col("user_id"))).drop("member_id")
+    cold = likely.filter("cold_start").withColumn("score", F.coalesce("repay_prob", F.lit(0.0)))
     deep = F.when(F.col("use_rerank"), F.greatest("top_k", "rerank_pool")).otherwise(F.col("top_k"))
     ranked = rerank.rank_again(warm.unionByName(cold), F.desc("score"), F.col("retrieval_rank")).filter(F.col("rank") <= deep)
     catalog = settle(art.table("catalog").select(*DETAILS))
@@ -99,34 +119,68 @@ def recommend(art: Artefacts, requests: DataFrame, replies: DataFrame | None = N
     if replies is None:
         return listed.filter(F.col("rank") <= F.col("top_k")).select(*columns)
     listed = settle(listed)
-    reordered = reorder(art, requests, people, listed, catalog, replies)
+    reordered = reorder(art, requests, people, listed, catalog, replies, ranking)
     plain = listed.filter("NOT use_rerank OR cold_start")
     return plain.select(*columns).unionByName(reordered.select(*columns)).filter(F.col("rank") <= F.col("top_k"))
 
 
 def reorder(art: Artefacts, requests: DataFrame, people: DataFrame, listed: DataFrame, catalog: DataFrame,
-            replies: DataFrame) -> DataFrame:
-    """Adds products of the requested purpose (or all of them for free text) and applies the replies.
+            replies: DataFrame, ranking: Ranking) -> DataFrame:
+    """Adds products of the requested purpose (or of any for free text) and applies the replies.
 
-    Added products follow those already listed, so where these fill `top_k` only
-    the ones that the reply names can be returned, and only they are added.
-    Shorter lists are filled from all products in scope.
+    Added products follow those already listed, so only two kinds can be
+    returned: those that the reply names, and the best ones of lists that are
+    shorter than `top_k`. No others are added.
     """
     asking = requests.filter("use_rerank AND NOT cold_start")
     current = listed.filter("use_rerank AND NOT cold_start")
-    full = settle(current.groupBy("request_id", "top_k").agg(F.count("*").alias("n")).filter("n >= top_k").select("request_id"))
-    fresh = rerank.injected_items(asking.join(full, "request_id", "left_anti"), current, catalog).unionByName(
-        rerank.named_items(asking.join(full, "request_id", "left_semi"), current, catalog, replies))
-    fresh = settle(fresh)
-    fresh = repay_probability(art, fresh, people).withColumn("repay_prob", F.coalesce("repay_prob", F.lit(0.0)))
-    fresh = rerank.passing_injection(fresh).join(
-        asking.select("request_id", "user_id", "cold_start", "top_k"), "request_id")
-    scored = models.score_candidates(fresh.withColumn("member_id", F.col("user_id")), art.table("user_rank_vectors"),
-                                     settle(art.table("item_rank_vectors"))).drop("member_id")
-    joined = rerank.append_after(current, scored)
+    short = asking.join(current.groupBy("request_id").agg(
+        F.count("*").alias("n"), F.collect_list("item_id").alias("seen")), "request_id").filter("n < top_k")
+    filled = best_in_scope(art, short.withColumn("need", F.col("top_k") - F.col("n")), people, catalog, ranking)
+    named = passing(art, rerank.named_items(asking, current, catalog, replies), people).join(
+        filled.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
+    fresh = filled.unionByName(named).join(asking.select("request_id", "user_id", "cold_start", "top_k"), "request_id")
+    joined = rerank.append_after(current, scored(ranking, fresh.withColumn("member_id", F.col("user_id"))).drop("member_id"))
     return rerank.apply_replies(settle(joined), replies)
 
 
+def passing(art: Artefacts, fresh: DataFrame, people: DataFrame) -> DataFrame:
+    """Rows with catalog columns that may be added, with their repayment probability."""
+    judged = repay_probability(art, settle(fresh), people).withColumn("repay_prob", F.coalesce("repay_prob", F.lit(0.0)))
+    return settle(rerank.passing_injection(judged))
+
+
+def best_in_scope(art: Artefacts, short: DataFrame, people: DataFrame, catalog: DataFrame, ranking: Ranking) -> DataFrame:
+    """At least the `need` best products in scope that may be added, for each of `short`, and not among its `seen`.
+
+    The scopes are cells of a vector search, so no request meets products outside
+    of its own and only the best of these come back. Where too few of them pass,
+    four times as many are asked for, until enough do or the scope is searched through.
+    """
+    offered = settle(rerank.scoped_catalog(catalog.select("item_id", "purpose")).join(ranking.items, "item_id").select(
+        F.col("item_id").alias("match_id"), "vector", F.col("scope").alias("cell")))
+    vectors = ranking.users.select(F.col("member_id").alias("user_id"), "vector")
+    waiting = settle(short.join(rerank.scopes(short), "request_id").join(vectors, "user_id").select(
+        F.col("request_id").alias("query_id"), "vector", F.col("scope").alias("cell"), "seen", "need", F.col("need").cast("int").alias("keep")))
+    out = passing(art, named_columns(catalog).limit(0), people)
+    while not waiting.isEmpty():
+        found = settle(retrieval.ranked(retrieval.blocked_matches(waiting, offered, scorer=scorer_of(ranking)), waiting.select("query_id", "keep"), 0))
+        pairs = found.select(F.col("query_id").alias("request_id"), F.col("match_id").alias("item_id"))
+        good = passing(art, join_lookup(pairs, catalog, ["item_id"]), people)
+        counts = pairs.groupBy(F.col("request_id").alias("query_id")).agg(F.count("*").alias("n_found")).join(
+            good.groupBy(F.col("request_id").alias("query_id")).agg(F.count("*").alias("n_good")), "query_id", "left")
+        judged = settle(waiting.join(counts, "query_id", "left").withColumn("more", (F.coalesce("n_good", F.lit(0)) < F.col("need")) & (
+            F.coalesce("n_found", F.lit(0)) >= F.col("keep"))))
+        out = settle(out.unionByName(good.join(judged.filter("NOT more").select(F.col("query_id").alias("request_id")), "request_id", "left_semi")))
+        waiting = settle(judged.filter("more").withColumn("keep", F.col("keep") * 4).select(*waiting.columns))
+    return out
+
+
+def named_columns(catalog: DataFrame) -> DataFrame:
+    """The catalog's columns beside a request_id."""
+    return catalog.withColumn("request_id", F.lit(None).cast("string")).select("request_id", *catalog.columns)
+
+
 def responses(recommendations: DataFrame, profiled: DataFrame, reordered: DataFrame | None = None) -> DataFrame:
     """One row per request: user, number returned, the stages it went through, and the list as an array of structs.
 
@@ -194,16 +248,15 @@ def approvals(art: Artefacts, requests: DataFrame, calibrated: bool = False) ->
         {"approved": decisions.approved(F.col("approval_score")), "approval_score": F.coalesce("approval_score", F.lit(0.0))})
 
 
-def rank_catalog(art: Artefacts, users: DataFrame, k: int) -> DataFrame:
+def rank_catalog(ranking: Ranking, users: DataFrame, k: int) -> DataFrame:
     """k best products of the whole catalog per user by the ranking model: (member_id, item_id, rank)."""
-    vectors = art.table("user_rank_vectors").join(users.select("member_id"), "member_id")
-    items = art.table("item_rank_vectors").select(F.col("item_id").alias("match_id"), "vector")
-    found = retrieval.top_matches(vectors.select(F.col("member_id").alias("query_id"), "vector"), items, k)
+    vectors = ranking.users.join(users.select("member_id"), "member_id")
+    items = ranking.items.select(F.col("item_id").alias("match_id"), "vector")
+    found = retrieval.top_matches(vectors.select(F.col("member_id").alias("query_id"), "vector"), items, k, scorer=scorer_of(ranking))
     return found.select(F.col("query_id").alias("member_id"), F.col("match_id").alias("item_id"), "rank")
 
 
-def rank_pool(art: Artefacts, found: DataFrame, k: int) -> DataFrame:
+def rank_pool(ranking: Ranking, found: DataFrame, k: int) -> DataFrame:
     """k best of each user's retrieved products by the ranking model."""
-    scored = models.score_candidates(found, art.table("user_rank_vectors"), settle(art.table("item_rank_vectors")))
     order = Window.partitionBy("member_id").orderBy(F.desc("score"), "retrieval_rank")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("member_id", "item_id", "rank")
+    return scored(ranking, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("member_id", "item_id", "rank")

@@ -18,8 +18,8 @@ from creditloom.plans import recommend
 from creditloom.queries.common import with_catalog, with_loans
 from creditloom.queries.decisions import _sql
 from creditloom.queries.modelled import (
-    approval_scores, catalog_ranking, home_suggestions, perceptron_scores, purpose_replies, ranking_scores, ranking_training_set, recommendations,
-    reordered_recommendations, trained,
+    approval_scores, catalog_ranking, home_suggestions, perceptron_recommendations, perceptron_scores, purpose_replies, ranking_scores,
+    ranking_training_set, recommendations, recommendations_by_cells, reordered_recommendations, trained,
 )
 from creditloom.queries.preparation import NEGATIVES, POPULARITY, POSITIVES
 from creditloom.queries.registry import query
@@ -216,6 +216,16 @@ def recommendation_facts(spark, folder):
     return _list_facts(recommendations(spark, folder))
 
 
+@query("perceptron_recommendation_facts", sql=_LIST_SQL)
+def perceptron_recommendation_facts(spark, folder):
+    return _list_facts(perceptron_recommendations(spark, folder))
+
+
+@query("cell_recommendation_facts", sql=_LIST_SQL)
+def cell_recommendation_facts(spark, folder):
+    return _list_facts(recommendations_by_cells(spark, folder))
+
+
 @query("reordered_facts", sql=_sql(f"""SELECT request_id, TRUE AS all_different, TRUE AS no_gaps, TRUE AS short_enough FROM {_VALID}"""))
 def reordered_facts(spark, folder):
     return _list_facts(reordered_recommendations(spark, folder)).select("request_id", "all_different", "no_gaps", "short_enough")

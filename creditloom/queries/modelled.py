@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from creditloom.operators import explain, metrics, models, rerank
 from creditloom.operators.sizing import join_lookup
-from creditloom.plans import evaluate, offline, recommend
+from creditloom.plans import choose, evaluate, offline, recommend
 from creditloom.queries.common import with_loans
 from creditloom.queries.preparation import NEGATIVES, POPULARITY, POSITIVES
 from creditloom.queries.registry import query
@@ -26,7 +26,7 @@ def trained(spark, folder) -> offline.Artefacts:
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TRAINED:
-        _TRAINED[key] = offline.run(loans(spark, folder, *offline.LOAN_COLUMNS), profile_split="train")
+        _TRAINED[key] = offline.run(loans(spark, folder, *offline.LOAN_COLUMNS), profile_split="train", choose=True)
     return _TRAINED[key]
 
 
@@ -104,8 +104,7 @@ def pair_repay_probabilities(spark, folder):
 def ranking_scores(spark, folder):
     """Ranking score of every training pair."""
     art = trained(spark, folder)
-    return models.score_candidates(art.table("training_pairs"), art.table("user_rank_vectors"),
-                                   settle(art.table("item_rank_vectors")))
+    return recommend.scored(art.ranking(), art.table("training_pairs"))
 
 
 @query("ranking_training_set")
@@ -132,7 +131,7 @@ def perceptron_scores(spark, folder):
 def catalog_ranking(spark, folder):
     """Ten best products of the whole catalog for every known user."""
     art = trained(spark, folder)
-    return recommend.rank_catalog(art, art.table("users").filter("known"), 10)
+    return recommend.rank_catalog(art.ranking(), art.table("users").filter("known"), 10)
 
 
 @query("recommendations")
@@ -228,7 +227,8 @@ def ablation_lists(spark, folder):
 
 @query("compare_rankers")
 def compare_rankers(spark, folder):
-    return evaluate.compare_rankers(trained(spark, folder))
+    """Every ranking model that was tried, with its validation score and the one in use."""
+    return trained(spark, folder).trials().select("name", "kind", "settings", "split", "n_users", "ndcg", "chosen")
 
 
 @query("item_plane_by_grade")
@@ -241,3 +241,32 @@ def item_plane_by_grade(spark, folder):
     placed = model.transform(data).select("item_id", place[0].alias("x"), place[1].alias("y"))
     return placed.join(art.table("catalog").select("item_id", "grade"), "item_id").groupBy("grade").agg(
         F.avg("x").alias("mean_pc1"), F.avg("y").alias("mean_pc2"), F.count("*").alias("n_items"))
+
+
+@query("chosen_ranker", sql=with_loans("""
+SELECT 5 AS n_tried, 1 AS n_chosen, TRUE AS is_best, count(DISTINCT member_id) AS n_users FROM loans WHERE split = 'val' AND label = 1"""))
+def chosen_ranker(spark, folder):
+    """One ranking model is in use, and no tried one has a higher validation NDCG."""
+    trials = trained(spark, folder).trials()
+    return trials.agg(F.count("*").cast("int").alias("n_tried"), F.count_if("chosen").cast("int").alias("n_chosen"),
+                      (F.max(F.when(F.col("chosen"), F.col("ndcg"))) == F.max("ndcg")).alias("is_best"), F.min("n_users").alias("n_users"))
+
+
+@query("ranker_against_popularity")
+def ranker_against_popularity(spark, folder):
+    """Validation NDCG of the ranker in use and of the popular list."""
+    art = trained(spark, folder)
+    n, floor = choose.popularity_score(art)
+    return art.trials().where("chosen").select("name", "ndcg", F.lit(floor).alias("popularity_ndcg"), F.lit(n).alias("n_users"))
+
+
+@query("perceptron_recommendations")
+def perceptron_recommendations(spark, folder):
+    """The recommendations of a ranking model asked for by name."""
+    return recommend.recommend(trained(spark, folder), requests(spark, folder), ranker="perceptron_40")
+
+
+@query("recommendations_by_cells")
+def recommendations_by_cells(spark, folder):
+    """Recommendations whose candidates come out of the kept index."""
+    return recommend.recommend(trained(spark, folder), requests(spark, folder), search="cells")

@@ -12,7 +12,7 @@ from creditloom.operators import reports, sampling
 from creditloom.queries.common import RAW, uniform_word, with_loans
 from creditloom.queries.registry import query
 from creditloom.session import scratch_path, settle
-from creditloom.sources.files import append_rows
+from creditloom.sources.files import append_rows, read_log
 from creditloom.sources.loans import loans, raw_loans
 from creditloom.sources.requests import APPLICATION_SCHEMA, applications
 from creditloom.streaming import applications as streams
@@ -159,11 +159,12 @@ def applications_by_purpose(spark, folder):
 @query("application_log_append", sql=f"""WITH {APPLICATIONS}
 SELECT purpose, count(*) AS n_rows, sum(loan_amount::DECIMAL(18,2))::DOUBLE AS loan_volume FROM applications GROUP BY purpose""")
 def application_log_append(spark, folder):
-    """Two appends, one per half of the month, read back whole."""
+    """Two appends, one per half of the month, the second one run twice, read back whole."""
     path, rows = scratch_path(spark, "application-log"), applications(spark, folder)
-    append_rows(rows.filter("day(submitted_at) <= 15"), path)
-    append_rows(rows.filter("day(submitted_at) > 15"), path)
-    return spark.read.schema(APPLICATION_SCHEMA).parquet(path).groupBy("purpose").agg(
+    append_rows(rows.filter("day(submitted_at) <= 15"), path, "early")
+    for _ in range(2):
+        append_rows(rows.filter("day(submitted_at) > 15"), path, "late")
+    return read_log(spark, path, APPLICATION_SCHEMA).groupBy("purpose").agg(
         F.count("*").alias("n_rows"), F.sum(F.col("loan_amount").cast("decimal(18,2)")).cast("double").alias("loan_volume"))
 
 
@@ -178,3 +179,17 @@ def streamed_application_log(spark, folder):
 @query("streamed_daily_applications", sql=_DAILY)
 def streamed_daily_applications(spark, folder):
     return streams.daily_counts(spark, folder, scratch_path(spark, "stream-daily"), scratch_path(spark, "stream-state"))
+
+
+@query("streamed_daily_upserts", sql=_DAILY)
+def streamed_daily_upserts(spark, folder):
+    """Days that are rewritten one by one."""
+    return streams.daily_upserts(spark, folder, scratch_path(spark, "stream-days"), scratch_path(spark, "stream-state"))
+
+
+@query("streamed_closed_days", sql=f"""WITH {APPLICATIONS}
+SELECT strftime(submitted_at, '%Y-%m-%d') AS day, count(*) AS n_applications FROM applications
+WHERE date_trunc('day', submitted_at) + INTERVAL 1 DAY <= (SELECT max(submitted_at) - INTERVAL 1 DAY FROM applications) GROUP BY day""")
+def streamed_closed_days(spark, folder):
+    """The days that the watermark, one day behind the last application, has passed."""
+    return streams.closed_days(spark, folder, scratch_path(spark, "stream-closed"), scratch_path(spark, "stream-state"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +56,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OWNED: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table or model."""
-    return f"{shared_folder(spark).rstrip('/')}/creditloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table or model, below the shared folder or the scratch folder that a job owns."""
+    folder = _OWNED.get() or f"{shared_folder(spark).rstrip('/')}/creditloom"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder for what is settled inside, removed at the end.
+
+    For jobs that write all of their results elsewhere; a DataFrame that is read
+    after the end must not depend on it.
+    """
+    folder = scratch_path(spark, "owned")
+    token = _OWNED.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNED.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

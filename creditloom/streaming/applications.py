@@ -40,6 +40,20 @@ def daily_counts(spark: SparkSession, source: str, target: str, state: str) -> D
     return spark.read.schema("day string, n_applications bigint").parquet(target)
 
 
+def daily_upserts(spark: SparkSession, source: str, target: str, state: str) -> DataFrame:
+    """Applications per day, each day in a folder of its own; a batch rewrites the days it changes alone.
+
+    A batch carries the whole count of each of its days, so one that is played
+    again, or that brings a late row, leaves the right count and no second row.
+    """
+    def upsert(batch: DataFrame, _: int) -> None:
+        (batch.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target))
+
+    (_daily(application_stream(spark, source)).writeStream.outputMode("update").foreachBatch(upsert)
+     .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("n_applications bigint, day string").parquet(target).select("day", "n_applications")
+
+
 def closed_days(spark: SparkSession, source: str, target: str, state: str, late: str = "1 day") -> DataFrame:
     """Only the days the watermark has passed; a day is written once and never again."""
     stream = application_stream(spark, source).withWatermark("submitted_at", late)

@@ -14,6 +14,15 @@ def test_hot_keys_are_split_and_all_rows_kept(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(lookup, ["k"], how).select(got.columns).collect()))
 
 
+def test_hot_means_more_bytes_than_a_task_takes(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("r"))
+    lookup = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = sizing.hot_key_join(rows, lookup, ["k"], task_bytes=10_000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(lookup, "k").collect()))
+    salted = sizing.hot_key_join(rows, lookup, ["k"], task_bytes=10_000)._jdf.queryExecution().analyzed().toString()
+    assert "_salt" in salted
+
+
 def test_wide_rows_are_not_small(spark):
     wide = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 1000).alias("vector"))
     assert sizing.is_small(wide) and not sizing.is_small(wide, max_bytes=1_000_000)

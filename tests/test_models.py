@@ -2,14 +2,16 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from creditloom.operators import explain, models, trees
-from creditloom.plans import evaluate, offline, recommend
+from creditloom.operators import explain, models, rankers, rerank, retrieval, trees
+from creditloom.operators.cells import CellIndex, bounds
+from creditloom.plans import choose, evaluate, offline, recommend
 from creditloom.sources.loans import loans
 from creditloom.sources.requests import requests
 
@@ -194,6 +196,223 @@ def test_more_than_a_thousand_products_are_ranked(spark):
     pairs = spark.range(n).select((F.col("id") % 3).cast("string").alias("member_id"), F.col("id").cast("string").alias("item_id"), (F.col("id") >= 1000).cast("int").alias("label"))
     ranker = models.fit_factor_ranker(pairs, users, items, factors=2, iterations=20)
     assert len(ranker.linear) == 1 + 1 + n
-    scored = models.score_candidates(users.select("member_id").crossJoin(items.select("item_id")), ranker.user_vectors(users), ranker.item_vectors(items))
+    scored = rankers.score_candidates(users.select("member_id").crossJoin(items.select("item_id")), ranker, ranker.user_vectors(users), ranker.item_vectors(items))
     means = {r[0]: r[1] for r in scored.groupBy((F.col("item_id").cast("int") >= 1000)).agg(F.avg("score")).collect()}
     assert means[True] > means[False] + 0.1
+
+
+@pytest.fixture(scope="module")
+def chosen(art):
+    """The record after three more trials, on few iterations."""
+    trials = (choose.Trial("few", choose.FACTORS, 2), choose.Trial("network", choose.PERCEPTRON, 3, (6, 4)),
+              choose.Trial("network_on", choose.PERCEPTRON, 3, (6, 4)))
+    return choose.choose_ranker(art, trials).collect()
+
+
+def test_best_trial_is_in_use(art, chosen):
+    assert [r.name for r in chosen] == ["first", "few", "network", "network_on"]
+    best = max(chosen, key=lambda r: r.ndcg)
+    assert [r.name for r in chosen if r.chosen] == [best.name] == [art.ranking().name]
+    assert all(r.split == "val" and r.n_users > 0 and 0 <= r.ndcg <= 1 for r in chosen)
+
+
+def test_record_is_read_whole_or_not_at_all(art, chosen, tmp_path):
+    other = offline.Artefacts(art.spark, str(tmp_path))
+    row = ("a", "factors", "{}", "val", 1, 0.5, "p", True)
+    other.record([row])
+    other.record([row[:5] + (0.1, "p", False), ("b",) + row[1:]])
+    assert [(r.name, r.chosen) for r in other.trials().collect()] == [("a", False), ("b", True)]
+    # A version that was begun and never finished does not count.
+    (tmp_path / "trials" / "version=2" / "_temporary").mkdir(parents=True)
+    assert other.trials().count() == 2
+
+
+def test_perceptron_vectors_give_the_network(art, chosen, spark):
+    """Vector scores of pairs and of blocks are those of the fitted network on the whole feature vector."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.linalg import Vectors
+
+    ranking = art.ranking("network_on")
+    net = ranking.model
+    users, items = art.rank_inputs()
+    pairs = users.limit(7).crossJoin(items)
+    side = lambda c: F.coalesce(F.transform(c, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), net.factors))
+    u, v = side("user_factors"), side("item_factors")
+    rows = pairs.select("member_id", "item_id", F.lit(0).alias("label"), array_to_vector(F.concat(
+        F.zip_with(u, v, lambda a, b: a * b), u, v, "user_features", "item_features")).alias("features"))
+    # No steps: the network keeps the weights it starts from.
+    whole = MultilayerPerceptronClassifier(layers=net.layers, maxIter=0).setInitialWeights(Vectors.dense(net.weights)).fit(
+        rows.withColumn("label", F.rand(1) > 0.5).withColumn("label", F.col("label").cast("int")))
+    want = {(r.member_id, r.item_id): r.p for r in whole.transform(rows).select("member_id", "item_id", models.probability().alias("p")).collect()}
+    got = {(r.member_id, r.item_id): r.score for r in recommend.scored(ranking, rows.select("member_id", "item_id")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    ranked = recommend.rank_catalog(ranking, users.limit(7), 5).collect()
+    for member in {m for m, _ in want}:
+        order = sorted((i for m, i in want if m == member), key=lambda i: (-round(math.log(want[member, i] / (1 - want[member, i])), 9), i))
+        assert [r.item_id for r in sorted((r for r in ranked if r.member_id == member), key=lambda r: r["rank"])] == order[:5]
+
+
+def test_recommendations_with_a_named_ranker(art, chosen, asked):
+    for name in ("few", "network"):
+        rows = recommend.recommend(art, asked, ranker=name).filter("NOT cold_start")
+        again = recommend.scored(art.ranking(name), rows.select("request_id", F.col("user_id").alias("member_id"), "item_id", F.col("score").alias("said")))
+        assert again.agg(F.max(F.abs(F.col("score") - F.col("said")))).first()[0] < 1e-12
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] + 0.3 * rng.normal(size=8)).tolist()) for i in range(300)]
+    rows += [(300, [0.0] * 8), (301, rows[4][1]), (302, (-centres[0]).tolist())]
+    return spark.createDataFrame(rows, "match_id long, vector array<double>")
+
+
+def test_kept_index(spark, vectors, tmp_path):
+    index = CellIndex.build(vectors.filter("match_id < 200"), str(tmp_path / "index"), cells=12)
+    index.add(vectors.filter("match_id >= 200 AND match_id < 250"), "more")
+    index.add(vectors.filter("match_id >= 200"), "more")  # the batch again, longer: it is replaced
+    assert sorted(r.match_id for r in index.items().collect()) == list(range(303))
+    assert index.stats().agg(F.sum("n")).first()[0] == 303
+    queries = vectors.withColumnRenamed("match_id", "query_id").withColumn("own", F.col("query_id"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.match_id, round(r.score, 9)) for r in df.collect())
+    want = rows(retrieval.top_matches(queries, vectors, 5))
+    assert rows(index.search(queries, 5, probes=12)) == want
+    pruned = index.search_exact(queries, 5, first=1)
+    assert rows(pruned) == want
+    assert pruned.agg(F.min("cells_visited")).first()[0] < 12
+    keep = queries.withColumn("keep", (F.col("query_id") % 3 + 1).cast("int"))
+    assert rows(index.search_exact(keep, 0, first=2)) == [r for r in want if r[1] <= r[0] % 3 + 1]
+    assert index.search_exact(queries.limit(0), 5).count() == 0
+    index.measure(queries.drop("own"), 5, probes=4)
+    assert 0.5 < index.quality().first().recall <= 1
+
+
+def test_search_reads_probed_cells_only(spark, vectors, tmp_path):
+    index = CellIndex.build(vectors, str(tmp_path / "index"), cells=12)
+    probing = spark.createDataFrame([(1,), (3,), (1,)], "cell int")
+    plan = index._probed(probing)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    assert {r.cell for r in index._probed(probing).select("cell").distinct().collect()} == {1, 3}
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(8)
+    items, queries = rng.normal(size=(400, 5)) * rng.uniform(0.1, 3, (400, 1)), rng.normal(size=(30, 5))
+    centres = rng.normal(size=(7, 5))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    length = np.linalg.norm(items, axis=1)
+    cosine = np.clip(items @ centres.T / length[:, None], -1, 1)
+    cell = cosine.argmax(axis=1)
+    angle = np.arccos(cosine[np.arange(400), cell])
+    stats = [np.array([f(x[cell == c]) for c in range(7)]) for f, x in ((np.max, angle), (np.min, length), (np.max, length))]
+    top = bounds(queries, centres, *stats)
+    best = np.array([[(queries[q] @ items[cell == c].T).max() for c in range(7)] for q in range(30)])
+    assert (top >= best - 1e-9).all()
+
+
+def test_search_kind_is_checked(art):
+    with pytest.raises(ValueError):
+        recommend.retrieve(art, art.table("users").select("member_id", F.lit(3).alias("keep")), search="fast")
+    wanted = art.table("user_factors").select("member_id", F.lit(5).alias("keep"))
+    every = art.item_index().centres().count()
+    key = lambda df: sorted((r.member_id, r.retrieval_rank, r.item_id) for r in df.collect())
+    assert key(recommend.retrieve(art, wanted, search="cells", probes=every)) == key(recommend.retrieve(art, wanted))
+
+
+def brute_isotonic(rows):
+    """Weighted pool-adjacent-violators over (score, label) pairs, equal scores as one."""
+    blocks = []
+    for score in sorted({s for s, _ in rows}):
+        labels = [y for s, y in rows if s == score]
+        blocks.append([sum(labels), len(labels), [score]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, weight, scores = blocks.pop()
+            blocks[-1][0] += total
+            blocks[-1][1] += weight
+            blocks[-1][2] += scores
+    return {s: total / weight for total, weight, scores in blocks for s in scores}
+
+
+@pytest.mark.parametrize("kind", ["ties", "distinct", "constant", "falling"])
+def test_calibrator_is_pool_adjacent_violators(spark, kind):
+    rng = np.random.default_rng(6)
+    score = {"ties": lambda i: round(float(rng.random()), 1), "distinct": lambda i: float(rng.random())}.get(kind, lambda i: i / 400)
+    rows = [(s := score(i), {"constant": 1, "falling": int(i < 200)}.get(kind, int(rng.random() < s))) for i in range(400)]
+    data = spark.createDataFrame(rows, "raw_prob double, label int").repartition(6)
+    fitted = models.fit_calibrator(data)
+    want = brute_isotonic(rows)
+    got = models.calibrated(fitted, data.select("raw_prob").distinct(), "raw_prob").collect()
+    assert len(got) == len(want) and all(r.calibrated == pytest.approx(want[r.raw_prob], abs=1e-9) for r in got)
+    assert len(fitted.boundaries) <= 2 * len(set(want.values()))
+
+
+def test_staged_counts_are_the_scores_of_every_round(spark):
+    rows = spark.range(500).select((F.col("id") % 3 == 0).cast("int").alias("label"),
+                                   array_to_vector(F.array(F.rand(1), F.rand(2), F.col("id") % 5 / 1.0)).alias("features")).cache()
+    model = models._booster(4, 3).fit(rows)
+    got = {}
+    for r in trees.boxes_of(model).staged_cells(rows.repartition(3)).collect():
+        got[r["round"], r.cell, r.label] = got.get((r["round"], r.cell, r.label), 0) + r.n
+    want = {}
+    for n in range(1, 5):
+        for p, label in models.first_trees(model, n).transform(rows).select(models.probability(), "label").collect():
+            key = (n, min(int(p * trees.CELLS), trees.CELLS - 1), label)
+            want[key] = want.get(key, 0) + 1
+    assert sum(got.values()) == 2000 and sum(abs(got.get(k, 0) - want.get(k, 0)) for k in got.keys() | want.keys()) <= 4  # at cell edges
+
+
+def test_failed_run_goes_on_where_it_stopped(spark, folder, tmp_path, monkeypatch):
+    rows = loans(spark, folder, *offline.LOAN_COLUMNS)
+    settings = dict(root=str(tmp_path / "run"), factors=4, als_iterations=1, rounds=2, patience=1, ranker_iterations=1)
+    calls = []
+    for name in ("prepare", "train_retrieval", "build_index", "train_repayment", "train_ranking"):
+        job = getattr(offline, name)
+        monkeypatch.setattr(offline, name, lambda *a, _name=name, _job=job, **k: (calls.append(_name), _job(*a, **k))[1])
+    whole = offline.train_repayment
+
+    def fails(*args):
+        whole(*args)
+        raise RuntimeError("lost")
+
+    from creditloom import session
+    kept = set(os.listdir(f"{session.shared_folder(spark)}/creditloom"))
+    monkeypatch.setattr(offline, "train_repayment", fails)
+    with pytest.raises(RuntimeError):
+        offline.run(rows, **settings)
+    assert calls == ["prepare", "train_retrieval", "build_index", "train_repayment"]
+    monkeypatch.setattr(offline, "train_repayment", whole)
+    calls.clear()
+    art = offline.run(rows, **settings)
+    assert calls == ["train_repayment", "train_ranking"]
+    # Only named artefacts are left, and another setting does its own steps again.
+    assert {n for n in os.listdir(f"{session.shared_folder(spark)}/creditloom") if n.startswith("owned")} <= kept
+    assert {"loans", "positives", "catalog", "item_index", "repay_model", "calibrator", "rankers", "trials", "steps"} <= set(os.listdir(art.root))
+    calls.clear()
+    offline.run(rows, **settings)
+    assert calls == []
+    offline.run(rows, **{**settings, "rounds": 3})
+    assert calls == ["train_repayment", "train_ranking"]
+    assert offline.content_mark(rows) == offline.content_mark(rows.repartition(3)) != offline.content_mark(rows.limit(5))
+
+
+def test_short_lists_are_filled_with_the_best_in_scope(art, asked):
+    """What the scoped search adds is the head of what all products in scope, judged one by one, would give."""
+    wide = asked.withColumns({"use_rerank": F.lit(True), "top_k": F.lit(12), "rerank_pool": F.lit(12), "retrieval_pool": F.lit(10)})
+    requests_ = recommend.settle(recommend.split_requests(art, wide))
+    people, ranking = recommend.settle(recommend.requester_features(art, requests_)), art.ranking()
+    catalog = recommend.settle(art.table("catalog").select(*recommend.DETAILS))
+    listed = recommend.settle(recommend.recommend(art, wide).filter("rank <= 3"))
+    current, asking = listed, requests_.filter("use_rerank AND NOT cold_start")
+    short = asking.join(current.groupBy("request_id").agg(F.collect_list("item_id").alias("seen")), "request_id").withColumn("need", F.lit(9))
+    got = recommend.best_in_scope(art, short, people, catalog, ranking)
+    every = recommend.passing(art, rerank.injected_items(short, current, catalog), people)
+
+    def best(rows):
+        marked = recommend.scored(ranking, rows.join(asking.select("request_id", "user_id"), "request_id").withColumn("member_id", F.col("user_id")))
+        out = {}
+        for r in marked.collect():
+            out.setdefault(r.request_id, []).append((-round(r.score, 9), r.item_id))
+        return {k: sorted(v)[:9] for k, v in out.items()}
+
+    assert best(got) == best(every) and best(got)

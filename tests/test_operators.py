@@ -109,7 +109,7 @@ def test_top_matches_both_ways(spark, monkeypatch):
     got = retrieval.top_matches(queries, items, 7)
     assert {(r.query_id, r.match_id, r["rank"]) for r in got.collect()} == _brute(q, m, 7)
     cell = lambda df: df.withColumn("cell", F.lit(0))
-    blocked = retrieval._ranked(retrieval.blocked_matches(cell(queries.withColumn("keep", F.lit(7))), cell(items), 20, 8), None, 7)
+    blocked = retrieval.ranked(retrieval.blocked_matches(cell(queries.withColumn("keep", F.lit(7))), cell(items), 20, 8), None, 7)
     assert {(r.query_id, r.match_id, r["rank"]) for r in blocked.collect()} == _brute(q, m, 7)
     forced = retrieval.top_matches(queries, items, 7, broadcast_values=1)
     assert {(r.query_id, r.match_id, r["rank"]) for r in forced.collect()} == _brute(q, m, 7)
@@ -241,3 +241,34 @@ def test_loan_files_are_read_by_name(spark, tmp_path):
     assert sorted(r.member_id for r in files.scan_vintages(spark, found, ["member_id", "purpose"]).collect()) == ["7", "m1"]
     with pytest.raises(ValueError, match="grade"):
         files.scan_loan_csv(spark, found[0], "grade")
+
+
+def test_many_vintages_in_few_jobs(spark, tmp_path):
+    """Files with three headers, an id that stands in for the user's per file, quoted names, an empty file."""
+    from creditloom.sources import files
+    want = []
+    for i in range(60):
+        header = ["id", "member_id", "purpose", "extra"] if i % 3 == 0 else ["purpose", "id", "dti"] if i % 3 == 1 else ['"member_id"', "id", "purpose"]
+        values = {"id": f"{i}", "member_id": "" if i % 6 == 0 else f" m{i} ", "purpose": "car", "extra": "x", "dti": "1.5"}
+        (tmp_path / f"accepted_{i:03}.csv").write_text(",".join(header) + "\n" + ",".join(values[h.strip('"')] for h in header) + "\n")
+        want.append((f"{i}" if i % 3 == 1 or i % 6 == 0 else f"m{i}", "car", 1.5 if i % 3 == 1 else None))
+    (tmp_path / "accepted_empty.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("vintages", "")
+    got = files.scan_vintages(spark, files.find_vintages(spark, str(tmp_path)), ["member_id", "purpose", "dti"]).collect()
+    jobs = len(tracker.getJobIdsForGroup("vintages"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and jobs <= 20
+
+
+def test_scratch_goes_with_its_owner(spark):
+    import os
+
+    from creditloom.session import own_scratch, scratch_path, settle
+    with own_scratch(spark) as folder:
+        held = settle(spark.range(3))
+        assert held.count() == 3 and os.listdir(folder)
+        with pytest.raises(ZeroDivisionError), own_scratch(spark) as inner:
+            assert inner.startswith(folder) and scratch_path(spark, "x").startswith(inner)
+            raise ZeroDivisionError
+    assert not os.path.exists(folder) and not scratch_path(spark, "x").startswith(folder)
