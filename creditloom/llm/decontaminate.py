@@ -111,8 +111,8 @@ class SuffixAutomaton:
                     found |= names
                     spans.append((at - n, at))
 
-    def search(self, words: list[bytes]) -> tuple[set[str], list[tuple[int, int]]]:
-        """The items that have windows in the words, and where the words are hit, as merged spans."""
+    def search(self, words: list[bytes]) -> tuple[set[str | None], list[tuple[int, int]]]:
+        """The items that have windows in the words, None for those without id, and where the words are hit, as merged spans."""
         found: set[str] = set()
         spans: list[tuple[int, int]] = []
         if self.least and len(words) >= self.least:
@@ -120,7 +120,6 @@ class SuffixAutomaton:
             edges = np.flatnonzero(np.diff(codes >= 0, prepend=False, append=False)).reshape(-1, 2)
             for a, b in edges[edges[:, 1] - edges[:, 0] >= self.least].tolist():
                 self.stream(codes[a:b].tolist(), found, spans, a)
-        found.discard(None)
         return found, merged(spans)
 
 
@@ -148,19 +147,20 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
                   unnamed: bool = False) -> DataFrame:
-    """The rows of `docs`, all columns, with n_words, n_hit, hit_items, hit_spans, contaminated.
+    """The rows of `docs`, all columns, with n_words, n_hit, hit_items, hit_unnamed, hit_spans, contaminated.
 
     hit_spans are [start, end) in words. Null and empty texts have no words and
     are never contaminated. Items repeated, or sharing windows, are all named,
-    each id once; an item without id
-    is none, or with `unnamed` hits and is not named; an item shorter than the window has to occur whole. An empty
-    benchmark hits nothing. Columns of these names in `docs` are replaced; any
-    other column passes through.
+    each id once. Items without id are none, or with `unnamed` they are one item
+    that hits, has no name and sets hit_unnamed. An item shorter than the window
+    has to occur whole. An empty benchmark hits nothing. Columns of these names in
+    `docs` are replaced; any other column passes through. A very long text is
+    streamed word by word.
     """
     prepare(docs.sparkSession)
-    added = ["n_words", "n_hit", "hit_items", "hit_spans", "contaminated"]
+    added = ["n_words", "n_hit", "hit_items", "hit_unnamed", "hit_spans", "contaminated"]
     out = docs.drop(*added).withColumns({
-        "n_words": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"),
+        "n_words": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"), "hit_unnamed": F.lit(False),
         "hit_spans": F.array().cast("array<struct<start:long,end:long>>")})
     for automaton in automata(benchmark if unnamed else benchmark.where("item_id is not null"), window):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
@@ -173,14 +173,15 @@ def _search(shared):
     def run(batches):
         automaton = shared.value
         for table in pieces(batches, "text"):
-            n_words, items, spans = [], [], []
-            for text, old_items, old_spans in zip(*[table[c].to_pylist() for c in ("text", "hit_items", "hit_spans")]):
+            n_words, items, unnamed, spans = [], [], [], []
+            for text, old_items, old, old_spans in zip(*[table[c].to_pylist() for c in ("text", "hit_items", "hit_unnamed", "hit_spans")]):
                 words = alphanumeric_lower(text)
                 found, hit = automaton.search(words)
                 n_words.append(len(words))
-                items.append(sorted(found | set(old_items)))
+                items.append(sorted((found - {None}) | set(old_items)))
+                unnamed.append(old or None in found)
                 spans.append([{"start": a, "end": b} for a, b in merged(hit + [(s["start"], s["end"]) for s in old_spans])])
-            for name, values in (("n_words", n_words), ("hit_items", items), ("hit_spans", spans)):
+            for name, values in (("n_words", n_words), ("hit_items", items), ("hit_unnamed", unnamed), ("hit_spans", spans)):
                 at = table.schema.get_field_index(name)
                 table = table.set_column(at, table.schema.field(at), pa.array(values, table.schema.field(at).type))
             yield from table.combine_chunks().to_batches()
@@ -209,5 +210,5 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", (F.size("hit_items") + F.col("hit_unnamed").cast("int")).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"), "contaminated")

@@ -32,6 +32,7 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 SEGMENTS = 16
+SPREAD_ROWS, CELL_ROWS = 100_000, 50_000  # fingerprints for each task that spreads them, and that compares cells
 _CHUNK = 1 << 16
 
 
@@ -52,14 +53,15 @@ def fingerprint(words: list[bytes]) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row, and the long columns `keys` as they are."""
     def of(batches):
         for table in pieces(batches, "text"):
             values = np.array([fingerprint(spaced_lower(t)) for t in table["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[table[c].combine_chunks().cast(pa.int64()) for c in ("doc_id", *keys)],
+                                              pa.array(values.view(np.int64))], ["doc_id", *keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", *keys, "text").mapInArrow(of, ", ".join(f"`{c}` long" for c in ("doc_id", *keys, "fp")))
 
 
 def _cells(values: np.ndarray, segments: int):
@@ -134,9 +136,10 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
         if held is not None:
             yield _within(held, max_bits)
 
-    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread_out = values.select("fp").mapInArrow(spread, "cell long, fp long, looks boolean")
-    return (spread_out.repartition(n, "cell").sortWithinPartitions("cell")
+    # A fingerprint becomes 166 rows, so both steps get their tasks by the number of fingerprints.
+    n, shuffles = values.count(), int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = values.select("fp").repartition(max(shuffles, n // SPREAD_ROWS)).mapInArrow(spread, "cell long, fp long, looks boolean")
+    return (spread_out.repartition(max(shuffles, n // CELL_ROWS), "cell").sortWithinPartitions("cell")
             .mapInArrow(compare, "a long, b long").distinct())
 
 
@@ -185,31 +188,49 @@ def simhash_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     prepare(docs.sparkSession)
     found = settle(fingerprints(docs))
-    per_value = settle(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    joined = components(links(per_value, max_bits))
-    rooted = per_value.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
-    rooted = settle(rooted)
+    rooted = _rooted(settle(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), max_bits)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return found.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(per_value: DataFrame, max_bits: int) -> DataFrame:
+    """Adds `root`, the smallest fingerprint that can be reached, to rows with a distinct `fp` each."""
+    joined = components(links(per_value, max_bits)).withColumnRenamed("node", "fp")
+    return settle(per_value.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _row_hash(docs: DataFrame):
+    """A hash of all columns; nulls count by where they stand, maps as text."""
+    values = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*values, *[v.isNull() for v in values])
+
+
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component, all columns.
+    """One row of `docs` per component, all columns: that with the smallest doc_id, then the smallest hash of its text and of the row.
 
-    A row without doc_id stands behind all that have one, and rows that share a
-    doc_id are one document, of which one row stays.
+    Rows are told apart by all of their columns, so rows that share a doc_id stay
+    or go each by their own text. A row without doc_id stands behind all that have
+    one. Rows equal in every column are one row; null and empty texts are one
+    component. Reruns keep the same rows. An empty table gives no rows. Column
+    names do not matter but for doc_id and text.
     """
-    key = "_near_duplicate_key"
-    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn(key, F.coalesce("doc_id", unnamed))
-    found = settle(simhash_dedup(keyed.select(F.col(key).alias("doc_id"), "text"), max_bits))
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    out = keyed.join(stays.distinct(), key, "left_semi")
-    if stays.groupBy(key).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([key])
+    prepare(docs.sparkSession)
+    text_key, row_key = "_text_key", "_row_key"
+    while {text_key, row_key} & set(docs.columns):
+        text_key, row_key = f"_{text_key}", f"_{row_key}"
+    keyed = docs.withColumns({text_key: F.xxhash64("text"), row_key: _row_hash(docs)})
+    found = settle(fingerprints(keyed, text_key, row_key))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", text_key, row_key)
+    rooted = _rooted(settle(found.groupBy("fp").agg(F.min(place).alias("first"))), max_bits)
+    stays = settle(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[text_key] == b[text_key]) & (a[row_key] == b[row_key])
+    # Usually fewer rows go than stay, and the fewer are joined with the texts.
+    goes = settle(found.join(stays, same(found, stays), "left_anti").select("doc_id", text_key, row_key).distinct())
+    out = keyed.join(goes, same(keyed, goes), "left_anti")
+    if found.join(stays, same(found, stays), "left_semi").count() > stays.count():
+        out = out.dropDuplicates(["doc_id", text_key, row_key])  # equal in every column
     return out.select(*docs.columns)

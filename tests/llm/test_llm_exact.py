@@ -123,6 +123,50 @@ def test_one_of_each(odd):
     assert sum(i in (3, 4, 5) for i in ids) == 1  # no words: one group
 
 
+def brute_one_of_each(rows):
+    """The first row of each component; rows are (doc_id, text, source) and ties among texts of one id are left open."""
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    root = brute_components(set(prints))
+    least = {}
+    for (doc, _, _), f in zip(rows, prints):
+        key = (doc is None, doc or 0)
+        least[root[f]] = min(least.get(root[f], key), key)
+    return root, {f: v for f, v in least.items()}
+
+
+A, B = "the same words stand in this long text about loans and banks", "entirely other words are found over here in that one"
+
+
+@pytest.mark.parametrize("rows, want", [
+    ([(5, A), (5, B), (3, B)], [(3, B), (5, A)]), ([(5, A), (5, B)], [(5, A), (5, B)]), ([(5, A), (5, A)], [(5, A)]),
+    ([(None, A), (7, A), (None, B)], [(7, A), (None, B)]), ([(1, None), (2, ""), (None, " ")], [(1, None)])])
+def test_one_row_a_component(llm, rows, want):
+    docs = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_one_of_each_with_repeated_ids(llm):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(25):
+        base = rng.choice(words, 60).tolist()
+        texts.append(base)
+        for _ in range(3):
+            near = list(base)
+            near[int(rng.integers(60))] = "changed"
+            texts.append(near)
+    rows = [(int(rng.integers(30)) if rng.random() > 0.1 else None, " ".join(texts[int(rng.integers(len(texts)))]), str(rng.integers(2)))
+            for _ in range(200)]
+    docs = llm.createDataFrame([(*r, {"k": "v"}, "x") for r in rows], "doc_id long, text string, source string, extra map<string,string>, _text_key string")
+    first = sorted((tuple(r) for r in simhash.one_of_each(docs.repartition(5)).collect()), key=repr)
+    assert first == sorted((tuple(r) for r in simhash.one_of_each(docs.repartition(2, "source")).collect()), key=repr)
+    root, least = brute_one_of_each(rows)
+    kept = [(r[0], root[brute_fingerprint(r[1])]) for r in first]
+    assert len(kept) == len({f for _, f in kept}) == len(least)
+    assert all((doc is None, doc or 0) == least[f] for doc, f in kept)
+
+
 def test_decontaminate_brute_force(llm, documents, odd, folder):
     items = [(r["item_id"], r["text"]) for r in llm.read.parquet(f"{folder}/benchmark.parquet").collect()]
     items += [(901, "w3 w4"), (902, ""), (903, None), (None, "w5 w6"), (901, "w9"), (904, items[0][1])]
@@ -243,6 +287,22 @@ def test_benchmark_item_without_id_hits(llm):
     assert got == {1: (20, [], True), 2: (0, [], False)}
 
 
+def test_items_without_id_count_as_the_sql_counts_them(llm, tmp_path):
+    """One item without a name, however many rows it has, next to named ones and ids that repeat."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in [(1, 20), (None, 16), (2, 3), (None, 2), (2, 14), (3, 1), (None, 30)]] + [(None, ""), (4, None)]
+    docs = [(i, " ".join([*rng.choice(words, 30), *(items[int(rng.integers(7))][1].split()), *rng.choice(words, 5)])) for i in range(40)]
+    docs += [(100, None), (101, ""), (102, items[1][1]), (103, items[3][1] + " " + items[5][1])]
+    llm.createDataFrame(docs, "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    llm.createDataFrame(items, "item_id long, text string").toPandas().astype({"item_id": "Int64"}).to_parquet(tmp_path / "benchmark.parquet")
+    import duckdb
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert difference(spark_result(QUERIES["op3_decontamination"](llm, str(tmp_path))), oracle_result(con, ORACLES["op3_decontamination"])) is None
+
+
 def test_licenses(documents, odd, nothing):
     got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])
            for r in licenses.digest(licenses.scan_licenses(documents)).collect()}
