@@ -17,7 +17,8 @@ as often as their similarity says.
 4. What goes on is decided by likelihood: how many registers are greater, equal
    and less is a trinomial of the similarity, given both sizes. A pair is left
    out where 0.85 is e^16 times less likely than the best estimate, or where the
-   sizes exclude it.
+   sizes exclude it. Of the keys that two classes share, only the first one gives
+   their pair.
 5. Every link that counts is confirmed on the full sets.
 """
 
@@ -130,8 +131,9 @@ def _band_keys(batches):
         keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2]) * np.uint64(0x9E3779B97F4A7C15)
         for i in range(BAND_ROWS):
             keys = _mixed(keys + bands[:, :, i], 0x27D4EB2F)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)),
-                                          pa.array(np.repeat(batch.column("class").to_numpy(), BANDS))], ["key", "class"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(registers))),
+            pa.array(np.repeat(batch.column("class").to_numpy(), BANDS))], ["key", "band", "class"])
     release()
 
 
@@ -155,17 +157,43 @@ def likelihood(similarity, n_a, n_b, greater, less) -> np.ndarray:
             + (REGISTERS - greater - less) * np.log(np.maximum(1.0 - more - fewer, tiny)))
 
 
+def _slope(similarity, n_a, n_b, greater, less) -> np.ndarray:
+    """How the log-likelihood changes with the similarity; it falls, so its zero is the estimate."""
+    u = n_a / (n_a + n_b)
+    only_a, only_b = np.maximum(u - (1 - u) * similarity, 1e-12), np.maximum(1 - u - u * similarity, 1e-12)
+    more, fewer = _chance(only_a), _chance(only_b)
+    rise = (BASE - 1.0) / BASE / math.log(BASE)
+    more_by, fewer_by = (-v * rise / (1.0 - x * (BASE - 1.0) / BASE) for v, x in ((1 - u, only_a), (u, only_b)))
+    return (greater * more_by / more + less * fewer_by / fewer
+            - (REGISTERS - greater - less) * (more_by + fewer_by) / np.maximum(1.0 - more - fewer, 1e-12))
+
+
 def estimate(n_a, n_b, greater, less) -> np.ndarray:
-    """The likeliest similarity; the likelihood has one maximum, found by narrowing."""
+    """The likeliest similarity, where the slope changes its sign."""
     u = n_a / (n_a + n_b)
     low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
-    for _ in range(40):
-        third = (high - low) / 3
-        left = likelihood(low + third, n_a, n_b, greater, less) < likelihood(high - third, n_a, n_b, greater, less)
-        low, high = np.where(left, low + third, low), np.where(left, high, high - third)
+    for _ in range(24):
+        middle = (low + high) / 2
+        rising = _slope(middle, n_a, n_b, greater, less) > 0
+        low, high = np.where(rising, middle, low), np.where(rising, high, middle)
     return (low + high) / 2
 
 
+def least_equal(percent: int) -> int:
+    """Equal registers that a pair at the bar falls short of with a probability below e^-DOUBT.
+
+    Registers are equal with at least the probability of the similarity, so this
+    many are asked for before a likelihood is worked out.
+    """
+    bar = percent / 100
+    tail, chance = 0.0, [math.comb(REGISTERS, n) * bar ** n * (1 - bar) ** (REGISTERS - n) for n in range(REGISTERS + 1)]
+    for n, p in enumerate(chance):
+        tail += p
+        if tail > math.exp(-DOUBT):
+            return n
+    return REGISTERS
+
+
 def possible(n_a, n_b, greater, less, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Estimates, and whether the pair can be linked."""
     found = estimate(n_a, n_b, greater, less)
@@ -219,14 +247,17 @@ def _cells(batches, keys: list[str]) -> Iterator[pa.Table]:
 
 
 def _across(percent: int):
-    """Compares the classes of a cell with those of other components."""
+    """Compares the classes of a cell with those of other components, where the cell's key is the first that they share."""
+    enough = least_equal(percent)
+
     def run(batches):
         for table in _cells(batches, ["key", "low", "high"]):
-            key, low, high, slot, cls, root, n = (table[c].to_numpy() for c in ("key", "low", "high", "slot", "class", "root", "n"))
+            key, low, high, band, slot, cls, root, n = (table[c].to_numpy() for c in ("key", "low", "high", "band", "slot", "class", "root", "n"))
             registers = _matrix(table["registers"])
             fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-            out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            left, right, counts = [], [], []
             for start, stop in zip(fresh.tolist(), [*fresh[1:].tolist(), len(key)]):
+                before = int(band[start]) * BAND_ROWS
                 for i in range(start, stop - 1):
                     others = np.arange(i + 1, stop)
                     fits = (root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
@@ -235,14 +266,19 @@ def _across(percent: int):
                     others = others[fits]
                     if not len(others):
                         continue
-                    more, less = (registers[i] > registers[others]).sum(axis=1), (registers[i] < registers[others]).sum(axis=1)
-                    likely, fits = possible(np.full(len(others), float(n[i])), n[others].astype(float), more, less, percent)
-                    if fits.any():
-                        found = cls[others[fits]]
-                        out[0].append(np.minimum(cls[i], found))
-                        out[1].append(np.maximum(cls[i], found))
-                        out[2].append(likely[fits])
-            yield _pair_batch(*[np.concatenate(x) for x in out])
+                    same = registers[others] == registers[i]
+                    others = others[(np.count_nonzero(same, axis=1) >= enough)
+                                    & ~same[:, :before].reshape(len(others), -1, BAND_ROWS).all(axis=2).any(axis=1)]
+                    if len(others):
+                        left.append(np.full(len(others), i))
+                        right.append(others)
+                        counts.append(np.count_nonzero(registers[others] < registers[i], axis=1))
+            if left:
+                a, b, more = np.concatenate(left), np.concatenate(right), np.concatenate(counts)
+                less = np.concatenate([np.count_nonzero(registers[x] > registers[y[0]], axis=1) for x, y in zip(right, left)])
+                likely, fits = possible(n[a].astype(float), n[b].astype(float), more, less, percent)
+                a, b = cls[a[fits]], cls[b[fits]]
+                yield _pair_batch(np.minimum(a, b), np.maximum(a, b), likely[fits])
 
     return run
 
@@ -277,7 +313,7 @@ def _with_roots(rows: DataFrame, links: DataFrame, *columns: str) -> DataFrame:
 
 
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    keyed = classes.select("class", "registers").mapInArrow(_band_keys, "key long, class long")
+    keyed = classes.select("class", "registers").mapInArrow(_band_keys, "key long, band int, class long")
     shared = keyed.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("held")).where("held > 1")
     members = settle(keyed.join(shared, "key"))
     wanted = members.select("class").distinct()
@@ -287,15 +323,16 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     nearest = _judged(stars, classes, percent).where(F.col("likely") >= LIKELY).groupBy("b").agg(F.max_by("a", "likely").alias("a"))
     links = _confirmed(nearest.select("a", "b"), sets, percent)
 
-    rest = settle(_with_roots(members.select("key", "class"), links, "class").withColumnRenamed("root_class", "root"))
+    rest = settle(_with_roots(members.select("key", "band", "class"), links, "class").withColumnRenamed("root_class", "root"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("held")).where(
         "one <> other").select("key", F.expr(f"int((held - 1) div {CELL} + 1)").alias("slots"))
     slot = F.pmod(F.xxhash64("class"), F.col("slots")).cast("int")
     dealt = rest.join(mixed, "key").withColumn("slot", slot).withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    cells = dealt.select("key", F.least("slot", "facing").alias("low"), F.greatest("slot", "facing").alias("high"), "slot", "class", "root")
+    cells = dealt.select("key", F.least("slot", "facing").alias("low"), F.greatest("slot", "facing").alias("high"), "band", "slot", "class", "root")
     cells = cells.join(classes.select("class", "n", "registers"), "class").select(
-        "key", "low", "high", "slot", "class", "root", F.col("n"), "registers")
-    sorted_cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        "key", "low", "high", "band", "slot", "class", "root", "n", "registers")
+    # The work of a cell grows with the square of its rows, so small partitions are not merged.
+    sorted_cells = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     pairs = settle(sorted_cells.mapInArrow(_across(percent), PAIR).groupBy("a", "b").agg(F.first("likely").alias("likely")))
 
     # Per two components the likeliest pair first; what is still apart then is confirmed in full.

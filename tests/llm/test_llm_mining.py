@@ -252,6 +252,12 @@ def test_likelihood_estimates_similarity():
         assert setsketch.possible(*sizes, *counts, 85)[1][0] == (share == 0.9) or share == 0.7
 
 
+def test_few_pairs_at_the_bar_have_fewer_equal_registers():
+    rng = np.random.default_rng(1)
+    assert (rng.binomial(setsketch.REGISTERS, 0.85, 200_000) >= setsketch.least_equal(85)).all()
+    assert setsketch.least_equal(85) > 160
+
+
 def test_registers_merge_by_the_greater():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 1 << 63, 300, np.uint64), rng.integers(0, 1 << 63, 500, np.uint64)
