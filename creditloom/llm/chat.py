@@ -102,7 +102,10 @@ def format_conversations(rows: DataFrame, template: Template = instruct, read: C
     Takes rows (conv_id, turn, role, text). Null text and role are empty. Rows
     with equal turns go by role, then text; a null turn comes first; rows with a
     null conv_id are one conversation. Nothing is merged, so repeated rows give
-    repeated turns. A template that rewrites history raises `RewritesHistory`.
+    repeated turns. A template that rewrites history raises `RewritesHistory`. An
+    empty table gives no rows. Other columns are ignored, whatever their names. A
+    conversation is rendered in one task, prefix after prefix, however long its
+    texts are.
     """
     prepare(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -304,6 +304,8 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     A null or empty text is its end token alone. A null doc_id is learned from.
     Repeated rows are learned from and scored as often as they stand there. With
     nothing to learn from, every token is unknown. An empty table gives no rows.
+    Other columns are ignored, whatever their names. A very long text is a block of
+    its own; the recursions run over its chunks.
     """
     prepare(docs.sparkSession)
     blocks = to_blocks(docs, "doc_id", "text")

@@ -215,7 +215,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Each document ends with the end id, so a null or empty text is one piece of
     one token. Rows that repeat a doc_id or have none are packed like any other.
-    Whole texts are tokenised; an empty table gives no rows.
+    Whole texts are tokenised, very long ones into many pieces; an empty table gives
+    no rows. Other columns are ignored, whatever their names.
     """
     prepare(docs.sparkSession)
     return pack(cut(docs, vocabulary))

@@ -102,7 +102,9 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 marks AS (SELECT unnest(['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '[ROLE]', '[/ROLE]']) AS mark),
 n AS (SELECT role, text, sum((length(text) - length(replace(text, mark, ''))) // length(mark))
   + length(replace(text, '\', '\\')) AS escaped FROM (SELECT DISTINCT role, text FROM c), marks GROUP BY role, text),
-f AS (SELECT c.*, escaped + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17 END AS chars
+f AS (SELECT c.*, escaped + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17
+    ELSE 19 + length(replace(c.role, '\', '\\')) + list_sum(list_transform(['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '[ROLE]', '[/ROLE]'],
+      lambda m: (length(c.role) - length(replace(c.role, m, ''))) // length(m))) END AS chars
   FROM c JOIN n USING (role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -184,7 +184,8 @@ def simhash_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Null and empty texts have fingerprint zero and link to it like any other.
     Equal fingerprints are one component. Rows repeating a doc_id all appear; a
     null doc_id gets its component but never names one (a component of null ids
-    alone has a null component_id). An empty table gives no rows.
+    alone has a null component_id). An empty table gives no rows. Other columns are
+    ignored, whatever their names. A very long text is hashed whole, in parts.
     """
     prepare(docs.sparkSession)
     found = settle(fingerprints(docs))

@@ -460,3 +460,12 @@ def test_digests_are_of_the_kept_text(documents):
     r = substring_dedup.digest(substring_dedup.substring_dedup(documents)).orderBy("doc_id").first()
     text = documents.where(f"doc_id = {r['doc_id']}").first()["text"]
     assert r["n_removed"] or r["kept_sha256"] == hashlib.sha256(" ".join(SPACED.findall(text)).encode()).hexdigest()
+
+
+def test_any_role_is_as_long_as_the_sql_says(llm, tmp_path):
+    rows = [(1, 0, "tool", "a [/ROLE] b"), (1, 1, "to\\ol[ROLE]<s>", "x"), (1, 2, "", "y"), (1, 3, None, None), (2, 0, "user", "hi"), (2, 1, "assistant", "</s>")]
+    llm.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    assert difference(spark_result(QUERIES["op8_chat_format"](llm, str(tmp_path))), oracle_result(con, ORACLES["op8_chat_format"])) is None
