@@ -16,7 +16,7 @@ HEADLINE = [
     "popular_items", "item_catalog", "cleaned_loans", "interaction_counts", "latest_profile", "user_index",
     "user_features", "stratified_sample", "negative_samples", "training_pairs", "topk_cosine", "ndcg_at_k",
     "metrics_by_subset", "roc_auc", "repay_filter", "rerank_by_request", "apply_replies", "request_prompts",
-    "capped_distributions", "application_kpis", "daily_applications", "collaborative_top_items", "topk_by_cell",
+    "capped_distributions", "application_kpis", "daily_applications", "collaborative_top_items", "topk_by_cell", "topk_pruned",
 ]
 
 

@@ -109,6 +109,9 @@ RECENT_APPLICATIONS = 50
 HISTOGRAM_BINS = {"loan_amnt": 60, "annual_inc": 60, "fico_range_low": 40, "dti": 50}
 QUANTILE_CAP = 0.99
 MISSING_SHARE = 1e-9
+# Verdict on a sample by its divergence: below the bound, else the last word.
+DIVERGENCE_VERDICTS = ((0.001, "Excellent"), (0.01, "Good"))
+DIVERGENCE_REST = "Acceptable"
 
 # Split boundaries of the test tables, whose orders run from 1995 to 2001.
 VAL_START = "1997-01-01"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.constants import (
-    EMP_LENGTHS, MISSING_SHARE, QUANTILE_CAP, RECENT_APPLICATIONS, REPORT_APPROVAL_THRESHOLD,
+    DIVERGENCE_REST, DIVERGENCE_VERDICTS, EMP_LENGTHS, MISSING_SHARE, QUANTILE_CAP, RECENT_APPLICATIONS, REPORT_APPROVAL_THRESHOLD,
 )
 from creditloom.operators.quantiles import exact_quantiles
 from creditloom.session import settle
@@ -105,8 +105,8 @@ def divergence(shares: DataFrame) -> DataFrame:
     tp, tq = totals.select("tp").scalar(), totals.select("tq").scalar()
     kl = filled.select((F.col("p") / tp).alias("p"), (F.col("q") / tq).alias("q")).agg(
         F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl_divergence"))
-    return kl.withColumn("verdict", F.when(F.col("kl_divergence") < 0.001, "Excellent")
-                         .when(F.col("kl_divergence") < 0.01, "Good").otherwise("Acceptable"))
+    return kl.withColumn("verdict", F.coalesce(
+        *[F.when(F.col("kl_divergence") < bound, word) for bound, word in DIVERGENCE_VERDICTS], F.lit(DIVERGENCE_REST)))
 
 
 def application_kpis(log: DataFrame) -> DataFrame:

@@ -174,9 +174,9 @@ def repay_bands(spark, folder):
 
 @query("approval_decisions", sql=_sql("""
 SELECT request_id, max(repay_prob) AS score, coalesce(max(repay_prob), 0.0) >= 0.65 AS approved
-FROM requests r LEFT JOIN candidates c USING (request_id) WHERE c.purpose = r.purpose_request OR c.purpose IS NULL OR TRUE
-GROUP BY request_id"""))
+FROM requests r LEFT JOIN candidates c USING (request_id) GROUP BY request_id"""))
 def approval_decisions(spark, folder):
+    """A request is approved if the likeliest repaid product of its list reaches the bar."""
     best = own_products(spark, folder, rounded_catalog(spark, folder)).groupBy("request_id").agg(
         F.max("repay_prob").alias("score"))
     return requests(spark, folder).select("request_id").join(best, "request_id", "left").withColumn(

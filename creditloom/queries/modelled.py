@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditloom.operators import explain, metrics, models, rerank
@@ -15,16 +16,18 @@ from creditloom.queries.registry import query
 from creditloom.session import settle
 from creditloom.sources.loans import loans
 from creditloom.sources.requests import requests
+from creditloom.sources.tables import files_mark
 
-_TRAINED: dict[tuple[str, str], offline.Artefacts] = {}
+_TRAINED: dict[tuple, offline.Artefacts] = {}
+_READ = ("lineitem", "orders", "customer", "nation", "part")  # what the loans are made of
 
 
 def trained(spark, folder) -> offline.Artefacts:
-    """The offline job over the whole loan table, once per session and folder; train users are the known ones.
+    """The offline job over the whole loan table, once per session and state of its files; train users are the known ones.
 
     All of the data, and the library's default rounds.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, files_mark(spark, folder, *_READ))
     if key not in _TRAINED:
         _TRAINED[key] = offline.run(loans(spark, folder, *offline.LOAN_COLUMNS), profile_split="train", choose=True)
     return _TRAINED[key]
@@ -59,6 +62,26 @@ def repayment_model_quality(spark, folder):
                       metrics.brier(scored, "calibrated").alias("brier_calibrated")).withColumn("auc", auc)
 
 
+@query("model_quality_floors", sql=with_loans("""
+SELECT count(*) AS n_loans, TRUE AS auc_above_chance, TRUE AS brier_below_constant, TRUE AS calibration_helps FROM loans WHERE split = 'val'"""))
+def model_quality_floors(spark, folder):
+    """On validation loans the model orders better than chance, and calibrated it is better than the share of repaid loans and than raw."""
+    rows = repayment_model_quality(spark, folder)
+    share = trained(spark, folder).table("val_scores").agg((F.avg("label") * (1 - F.avg("label"))).alias("b")).select("b").scalar()
+    return rows.select("n_loans", (F.col("auc") > 0.5).alias("auc_above_chance"), (F.col("brier_calibrated") <= share + 1e-12).alias("brier_below_constant"),
+                       (F.col("brier_calibrated") <= F.col("brier_raw") + 1e-12).alias("calibration_helps"))
+
+
+@query("calibration_points", sql="SELECT raw, TRUE AS inside, TRUE AS rising FROM (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) t(raw)")
+def calibration_points(spark, folder):
+    """The calibration curve read at three raw scores lies in [0, 1] and does not fall from one to the next."""
+    points = spark.createDataFrame([(0.2,), (0.5,), (0.8,)], "raw double")
+    read = models.calibrated(trained(spark, folder).calibrator(), points, "raw")
+    before = F.lag("calibrated").over(Window.orderBy("raw"))  # of three rows
+    return read.select("raw", F.col("calibrated").between(0, 1).alias("inside"),
+                       F.coalesce(before <= F.col("calibrated") + 1e-12, F.lit(True)).alias("rising"))
+
+
 @query("calibration_curve")
 def calibration_curve(spark, folder):
     """Observed repayment and calibrated probability in ten equal bands of the raw score, over all validation loans."""
