@@ -32,7 +32,7 @@ from creditloom.session import settle
 
 STATES = 4
 ROUNDS = 6
-OWN_CLASSES = 1_000
+OWN_CLASSES = 60_000  # with the shared ones below 2^16, as classes are stored in two bytes
 SHARED_CLASSES = 256
 CHUNK = 32
 SMOOTHING = 0.1
