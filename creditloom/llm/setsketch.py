@@ -9,16 +9,18 @@ as often as their similarity says.
 1. Texts with the same shingles are one class; only classes go on.
 2. Bands of six registers give 40 keys a class. Two sets at 0.85 share none with a
    probability below 1e-8.
-3. The classes of a key are linked in two steps, never as all pairs of a group.
-   First each class is held against the least class of its keys, the likeliest
-   one only. Classes connected by that need no further comparison with each
-   other. Only keys that still hold several components are compared inside, in
-   cells of bounded size, and only across components.
+3. The classes of a key are linked in three steps, never as all pairs of a group,
+   and what one step connects the next ones do not compare. First each class is
+   held against the least class of its keys, the likeliest one only. Then, in the
+   keys that still hold several components, each class names its likeliest partner
+   in another one. Last, the keys that are mixed even then are swept: all that can
+   be linked across components is compared on the full sets, inside cells of
+   bounded size, out of which only links come.
 4. What goes on is decided by likelihood: how many registers are greater, equal
    and less is a trinomial of the similarity, given both sizes. A pair is left
    out where 0.85 is e^16 times less likely than the best estimate, or where the
-   sizes exclude it. Of the keys that two classes share, only the first one gives
-   their pair.
+   sizes exclude it. Of the keys that two classes share, the sweep uses only the
+   first one.
 5. Every link that counts is confirmed on the full sets.
 """
 
@@ -46,7 +48,8 @@ BASE, RATE = 1.001, 20.0
 GREATEST = (1 << 16) - 1
 DOUBT = 16.0           # a link is given up where it is e^DOUBT times less likely than the best estimate
 LIKELY = 0.7           # estimates from here on are tried in the first step
-CELL = 1_000           # classes of one key that are compared with each other in a cell
+CELL = 1_000           # classes of one key that are compared with each other in a cell,
+CELL_SHINGLES = 4_000_000  # or fewer, where their sets are large
 _STEP = 1 << 16        # shingles whose hashes are held at once
 
 
@@ -246,39 +249,93 @@ def _cells(batches, keys: list[str]) -> Iterator[pa.Table]:
     release()
 
 
-def _across(percent: int):
-    """Compares the classes of a cell with those of other components, where the cell's key is the first that they share."""
-    enough = least_equal(percent)
+def _across(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per row i of a cell: i, the rows behind it of other components with enough equal registers, and which ones are equal."""
+    key, low, high, slot, root, n = (table[c].to_numpy() for c in ("key", "low", "high", "slot", "root", "n"))
+    registers, enough = _matrix(table["registers"]), least_equal(percent)
+    fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+    for start, stop in zip(fresh.tolist(), [*fresh[1:].tolist(), len(key)]):
+        for i in range(start, stop - 1):
+            others = np.arange(i + 1, stop)
+            fits = (root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+            if low[i] != high[i]:
+                fits &= slot[others] != slot[i]
+            others = others[fits]
+            if len(others):
+                same = registers[others] == registers[i]
+                fits = np.count_nonzero(same, axis=1) >= enough
+                yield i, others[fits], same[fits]
 
+
+_CELL_KEYS = ["key", "low", "high"]
+
+
+def _nearest(percent: int):
+    """Each class of a cell with its likeliest partner in another component."""
     def run(batches):
-        for table in _cells(batches, ["key", "low", "high"]):
-            key, low, high, band, slot, cls, root, n = (table[c].to_numpy() for c in ("key", "low", "high", "band", "slot", "class", "root", "n"))
+        for table in _cells(batches, _CELL_KEYS):
+            cls, n = table["class"].to_numpy(), table["n"].to_numpy().astype(float)
             registers = _matrix(table["registers"])
-            fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-            left, right, counts = [], [], []
-            for start, stop in zip(fresh.tolist(), [*fresh[1:].tolist(), len(key)]):
-                before = int(band[start]) * BAND_ROWS
-                for i in range(start, stop - 1):
-                    others = np.arange(i + 1, stop)
-                    fits = (root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
-                    if low[i] != high[i]:
-                        fits &= slot[others] != slot[i]
-                    others = others[fits]
-                    if not len(others):
-                        continue
-                    same = registers[others] == registers[i]
-                    others = others[(np.count_nonzero(same, axis=1) >= enough)
-                                    & ~same[:, :before].reshape(len(others), -1, BAND_ROWS).all(axis=2).any(axis=1)]
-                    if len(others):
-                        left.append(np.full(len(others), i))
-                        right.append(others)
-                        counts.append(np.count_nonzero(registers[others] < registers[i], axis=1))
-            if left:
-                a, b, more = np.concatenate(left), np.concatenate(right), np.concatenate(counts)
-                less = np.concatenate([np.count_nonzero(registers[x] > registers[y[0]], axis=1) for x, y in zip(right, left)])
-                likely, fits = possible(n[a].astype(float), n[b].astype(float), more, less, percent)
-                a, b = cls[a[fits]], cls[b[fits]]
-                yield _pair_batch(np.minimum(a, b), np.maximum(a, b), likely[fits])
+            best, partner = np.zeros(len(cls), np.int64), np.full(len(cls), -1)
+            for i, others, same in _across(table, percent):
+                equal = np.count_nonzero(same, axis=1)
+                better = others[equal > best[others]]
+                best[better], partner[better] = equal[equal > best[others]], i
+                if len(others) and equal.max() > best[i]:
+                    best[i], partner[i] = equal.max(), others[equal.argmax()]
+            a = np.flatnonzero(partner >= 0)
+            b = partner[a]
+            more, less = (registers[a] > registers[b]).sum(axis=1), (registers[a] < registers[b]).sum(axis=1)
+            likely, fits = possible(n[a], n[b], more, less, percent)
+            a, b = cls[a[fits]], cls[b[fits]]
+            yield _pair_batch(np.minimum(a, b), np.maximum(a, b), likely[fits])
+
+    return run
+
+
+def _overlap(left: np.ndarray, right: np.ndarray) -> int:
+    """Elements in both of two ascending sets."""
+    if len(left) > len(right):
+        left, right = right, left
+    at = np.searchsorted(right, left)
+    return int((right[np.minimum(at, len(right) - 1)] == left).sum())
+
+
+def _similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    both = _overlap(left, right)
+    return 100 * both >= percent * (len(left) + len(right) - both)
+
+
+def _swept(percent: int):
+    """Links between components, confirmed on the full sets; what a cell has connected it does not compare again."""
+    def run(batches):
+        for table in _cells(batches, _CELL_KEYS):
+            cls, band, n = table["class"].to_numpy(), table["band"].to_numpy(), table["n"].to_numpy().astype(float)
+            registers = _matrix(table["registers"])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+            root = {int(r): int(r) for r in table["root"].to_numpy()}
+            of = table["root"].to_numpy().tolist()
+            left, right = [], []
+
+            def top(r: int) -> int:
+                while root[r] != r:
+                    root[r] = r = root[root[r]]
+                return r
+
+            for i, others, same in _across(table, percent):
+                before = int(band[i]) * BAND_ROWS
+                others = others[~same[:, :before].reshape(len(others), int(band[i]), BAND_ROWS).all(axis=2).any(axis=1)]
+                if not len(others):
+                    continue
+                more, less = (registers[i] > registers[others]).sum(axis=1), (registers[i] < registers[others]).sum(axis=1)
+                _, fits = possible(np.full(len(others), n[i]), n[others], more, less, percent)
+                for j in others[fits].tolist():
+                    one, other = top(of[i]), top(of[j])
+                    if one != other and _similar(sets[i], sets[j], percent):
+                        root[one] = other
+                        left.append(int(cls[i]))
+                        right.append(int(cls[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -287,14 +344,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar enough."""
     def run(batches):
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sa", "sb"))
-                if len(left) > len(right):
-                    left, right = right, left
-                at = np.searchsorted(right, left)
-                both = int((right[np.minimum(at, len(right) - 1)] == left).sum())
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
+            keep = [_similar(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sa", "sb")), percent)
+                    for i in range(batch.num_rows)]
             keep = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[keep]) for c in ("a", "b")], ["a", "b"])
         release()
@@ -323,26 +374,30 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     nearest = _judged(stars, classes, percent).where(F.col("likely") >= LIKELY).groupBy("b").agg(F.max_by("a", "likely").alias("a"))
     links = _confirmed(nearest.select("a", "b"), sets, percent)
 
-    rest = settle(_with_roots(members.select("key", "band", "class"), links, "class").withColumnRenamed("root_class", "root"))
-    mixed = rest.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("held")).where(
-        "one <> other").select("key", F.expr(f"int((held - 1) div {CELL} + 1)").alias("slots"))
+    facts = classes.select("class", "n", "registers")
+    pairs = _dealt_cells(members, links, facts).mapInArrow(_nearest(percent), PAIR).select("a", "b").distinct()
+    links = settle(links.union(_confirmed(pairs, sets, percent)))
+    swept = _dealt_cells(members, links, facts.join(sets, "class"), "shingles").mapInArrow(_swept(percent), "a long, b long")
+    return settle(links.union(swept))
+
+
+def _dealt_cells(members: DataFrame, links: DataFrame, facts: DataFrame, *more: str) -> DataFrame:
+    """The classes of keys that hold several components, in cells of bounded size, cell by cell.
+
+    A key with more classes is cut into slots, and any two of them meet in a cell.
+    """
+    rest = settle(_with_roots(members.select("key", "band", "class"), links, "class").withColumnRenamed("root_class", "root")
+                  .join(facts.select("class", "n"), "class"))
+    slots = F.expr(f"int(greatest((count(1) - 1) div {CELL}, sum(n) div {CELL_SHINGLES}) + 1)")
+    mixed = rest.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), slots.alias("slots")).where("one <> other")
     slot = F.pmod(F.xxhash64("class"), F.col("slots")).cast("int")
-    dealt = rest.join(mixed, "key").withColumn("slot", slot).withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    dealt = rest.join(mixed.select("key", "slots"), "key").withColumn("slot", slot).withColumn(
+        "facing", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     cells = dealt.select("key", F.least("slot", "facing").alias("low"), F.greatest("slot", "facing").alias("high"), "band", "slot", "class", "root")
-    cells = cells.join(classes.select("class", "n", "registers"), "class").select(
-        "key", "low", "high", "band", "slot", "class", "root", "n", "registers")
+    cells = cells.join(facts, "class").select(*_CELL_KEYS, "band", "slot", "class", "root", "n", "registers", *more)
     # The work of a cell grows with the square of its rows, so small partitions are not merged.
-    sorted_cells = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = settle(sorted_cells.mapInArrow(_across(percent), PAIR).groupBy("a", "b").agg(F.first("likely").alias("likely")))
-
-    # Per two components the likeliest pair first; what is still apart then is confirmed in full.
-    for first in (True, False):
-        apart = _with_roots(pairs, links, "a", "b").where("root_a <> root_b")
-        if first:
-            apart = apart.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(
-                F.max_by(F.struct("a", "b"), "likely").alias("p")).select("p.a", "p.b")
-        links = settle(links.union(_confirmed(apart.select("a", "b"), sets, percent)))
-    return links
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, *_CELL_KEYS).sortWithinPartitions(*_CELL_KEYS)
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
