@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +93,7 @@ class CellIndex:
 
         `queries` are those of `retrieval.top_matches`.
         """
-        probes = probes or retrieval.default_probes(self.centres().count())
+        probes = probes or self.default_probes()
         nearest = retrieval.top_matches(queries.select("query_id", "vector"),
                                         self.centres().withColumnRenamed("cell", "match_id"), probes)
         probing = settle(retrieval.with_keep(queries, k).join(
@@ -159,15 +160,35 @@ class CellIndex:
 
     # --- quality ----------------------------------------------------------
 
-    def measure(self, queries: DataFrame, k: int, probes: int | None = None, n_queries: int = RECALL_QUERIES) -> None:
-        """Keeps the share of the exact k best that the search finds, over `n_queries` queries chosen by hash."""
+    def measure(self, queries: DataFrame, k: int, probes: int | None = None, n_queries: int = RECALL_QUERIES,
+                least: float = 0.0) -> None:
+        """Keeps the share of the exact k best that the search finds, over `n_queries` queries chosen by hash.
+
+        Cells are doubled until that share is `least`; the search then probes so many.
+        """
+        cells = self.centres().count()
+        probes = min(cells, probes or retrieval.default_probes(cells))
         some = settle(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(n_queries))
-        exact = self.search_exact(some, k).select("query_id", "match_id")
-        found = self.search(some, k, probes).select("query_id", "match_id", F.lit(1).alias("found"))
-        exact.join(found, ["query_id", "match_id"], "left").agg(
-            F.lit(k).alias("k"), F.lit(probes or retrieval.default_probes(self.centres().count())).alias("probes"),
-            F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), F.count("found").alias("n_found"),
-            (F.count("found") / F.count("*").cast("double")).alias("recall")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/quality")
+        exact = settle(self.search_exact(some, k).select("query_id", "match_id"))
+        while True:
+            found = self.search(some, k, probes).select("query_id", "match_id", F.lit(1).alias("found"))
+            row = settle(exact.join(found, ["query_id", "match_id"], "left").agg(
+                F.lit(k).alias("k"), F.lit(probes).alias("probes"), F.countDistinct("query_id").alias("n_queries"),
+                F.count("*").alias("n_exact"), F.count("found").alias("n_found"),
+                F.coalesce(F.count("found") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("recall")))
+            if probes >= cells or row.first().recall >= least:
+                break
+            probes = min(cells, 2 * probes)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/quality")
+
+    def default_probes(self) -> int:
+        """The cells that were measured to be enough, or a fixed part of all."""
+        try:
+            return self.quality().first().probes
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return retrieval.default_probes(self.centres().count())
 
     def quality(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/quality")

@@ -285,7 +285,9 @@ def test_kept_index(spark, vectors, tmp_path):
     assert rows(index.search_exact(keep, 0, first=2)) == [r for r in want if r[1] <= r[0] % 3 + 1]
     assert index.search_exact(queries.limit(0), 5).count() == 0
     index.measure(queries.drop("own"), 5, probes=4)
-    assert 0.5 < index.quality().first().recall <= 1
+    assert 0.5 < index.quality().first().recall <= 1 and index.default_probes() == 4
+    index.measure(queries.drop("own"), 5, probes=1, least=0.99)
+    assert index.quality().first().recall >= 0.99 and index.default_probes() > 1
 
 
 def test_search_reads_probed_cells_only(spark, vectors, tmp_path):
