@@ -31,6 +31,7 @@ from creditloom.session import settle
 
 FILE_ROWS = 1_000_000   # items of a cell in one file
 SLACK = 1e-9            # by which bounds are widened, for rounding
+BOUNDS_HELD = 500_000   # bounds of queries and cells held at once in a task
 RECALL_QUERIES = 10_000  # queries, chosen by hash, whose recall is measured when an index is built
 
 
@@ -96,9 +97,8 @@ class CellIndex:
         probes = probes or self.default_probes()
         nearest = retrieval.top_matches(queries.select("query_id", "vector"),
                                         self.centres().withColumnRenamed("cell", "match_id"), probes)
-        probing = settle(retrieval.with_keep(queries, k).join(
-            nearest.select("query_id", F.col("match_id").cast("int").alias("cell")), "query_id"))
-        found = retrieval.blocked_matches(probing, self._probed(probing))
+        probing = settle(retrieval.with_keep(queries, k).join(retrieval.cells_of(nearest), "query_id"))
+        found = retrieval.blocked_matches(probing, self._probed(probing.select(F.explode("cells").alias("cell"))))
         own_keep = queries.select("query_id", "keep") if "keep" in queries.columns else None
         return retrieval.ranked(found, own_keep, k)
 
@@ -123,9 +123,9 @@ class CellIndex:
             probing = settle(self._next_cells(waiting, done, step))
             if probing.isEmpty():
                 break
-            seen = probing.groupBy("query_id").agg(F.count("*").alias("n"))
+            seen = probing.select("query_id", F.size("cells").alias("n"))
             visits = seen if visits is None else visits.unionByName(seen)
-            found = retrieval.blocked_matches(probing.drop("bar"), self._probed(probing))
+            found = retrieval.blocked_matches(probing.drop("bar"), self._probed(probing.select(F.explode("cells").alias("cell"))))
             best = settle(retrieval.ranked(found if best is None else best.drop("rank").unionByName(found), own_keep, k))
             held = best.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
             bar = F.when(F.coalesce("_n", F.lit(0)) >= F.col("keep"), F.col("_least"))
@@ -138,23 +138,26 @@ class CellIndex:
         return best.join(total, "query_id").withColumn("cells", F.lit(cells))
 
     def _next_cells(self, waiting: DataFrame, done: int, step: int) -> DataFrame:
-        """The rows of `waiting` with each `cell` at places done to done + step by bound whose bound reaches the bar."""
+        """The rows of `waiting` with their `cells` at places done to done + step by bound whose bound reaches the bar, if any."""
         rows = self.centres().join(self.stats(), "cell").select("cell", "vector", "radius", "shortest", "longest").toPandas().sort_values("cell")
         # At most IVF_MAX_CELLS rows.
         shared = self.spark.sparkContext.broadcast((rows["cell"].to_numpy(np.int32), np.stack(rows["vector"].to_numpy()), *[
             rows[c].to_numpy() for c in ("radius", "shortest", "longest")]))
-        schema = T.StructType([*waiting.schema.fields, T.StructField("cell", T.IntegerType())])
+        schema = T.StructType([*waiting.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cell, centres, *sizes = shared.value
+            many = max(1, BOUNDS_HELD // len(cell))
             for batch in batches:
-                if batch.empty:
-                    continue
-                top = bounds(np.stack(batch["vector"].to_numpy()).astype(float), centres, *sizes)
-                order = np.lexsort((np.broadcast_to(cell, top.shape), -top), axis=1)[:, done:done + step]
-                bar = batch["bar"].to_numpy(float, na_value=-np.inf)
-                row, place = np.nonzero(np.take_along_axis(top, order, axis=1) >= bar[:, None] - 10.0 ** -retrieval.SCORE_DIGITS)
-                yield batch.iloc[row].assign(cell=cell[order[row, place]])
+                for start in range(0, len(batch), many):
+                    part = batch.iloc[start:start + many]
+                    top = bounds(np.stack(part["vector"].to_numpy()).astype(float), centres, *sizes)
+                    order = np.lexsort((np.broadcast_to(cell, top.shape), -top), axis=1)[:, done:done + step]
+                    bar = part["bar"].to_numpy(float, na_value=-np.inf)
+                    near = np.take_along_axis(top, order, axis=1) >= bar[:, None] - 10.0 ** -retrieval.SCORE_DIGITS
+                    rows = np.flatnonzero(near.any(axis=1))
+                    if len(rows):
+                        yield part.iloc[rows].assign(cells=[cell[order[i, near[i]]] for i in rows])
 
         return waiting.mapInPandas(run, schema)
 

@@ -30,9 +30,11 @@ from creditloom.constants import (
 from creditloom.functions.vectors import l2_normalise
 from creditloom.session import settle
 
-BROADCAST_VALUES = 16_000_000     # item matrix entries, 128 MB as doubles
-SCORE_CELLS = 4_000_000           # scores held at once in a task
-QUERY_BLOCK, ITEM_BLOCK = 8192, 8192
+BROADCAST_VALUES = 4_000_000      # item matrix entries, 32 MB as doubles
+SCORE_CELLS = 2_000_000           # scores held at once in a task
+ITEM_CHUNK = 4096                 # items scored at once in a task
+LEAST_BLOCK, MOST_BLOCK = 8192, 65_536  # rows of a block; a sixteenth of all rows in between
+SENT_ROWS = 4096                  # queries that leave a task at once
 ALS_LEAST_ROWS, ALS_MOST_ROWS = 10_000, 2_000_000  # interactions of a block
 SCORE_DIGITS = 9                  # ties are decided after rounding, then by id
 
@@ -41,31 +43,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _best_per_row(scores: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the keep[i] largest entries of row i, best first, ties by column."""
-    width = scores.shape[1]
-    most = int(min(width, keep.max()))
-    if most == 0:
-        return np.empty(0, int), np.empty(0, int)
-    bar = np.partition(scores, width - most, axis=1)[:, width - most]
-    rows, cols = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
-    order = np.lexsort((cols, -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    chosen = place < keep[rows]
-    return rows[chosen], cols[chosen]
-
-
-def _mask(scores: np.ndarray, seen: pd.Series, item_ids: np.ndarray) -> None:
-    """Takes each row's `seen` items (an array of ids, or none) out of its scores."""
-    lists = [x if x is not None else () for x in seen]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    ids = np.concatenate([np.asarray(x, dtype=item_ids.dtype) for x in lists]) if len(rows) else item_ids[:0]
-    at = np.minimum(np.searchsorted(item_ids, ids), len(item_ids) - 1)
-    here = item_ids[at] == ids
-    scores[rows[here], at[here]] = -np.inf
-
-
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]  # (queries, d), (items, d) -> (queries, items)
 
 
@@ -73,19 +50,86 @@ def dot_products(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
     return queries @ items.T
 
 
-def _score_block(queries: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray, scorer: Scorer = dot_products) -> Iterator[pd.DataFrame]:
-    """Best matches of a batch of queries (query_id, vector, keep[, own][, seen]) among the items, sorted by id."""
-    step = max(1, SCORE_CELLS // max(1, len(item_ids)))
+class _Best:
+    """The best items so far of a batch of queries, `keep` of them each; ties by the place of an item's id."""
+
+    def __init__(self, keep: np.ndarray, place: np.ndarray):
+        self.keep, self.place = keep, place
+        self.bar = np.where(keep > 0, -np.inf, np.inf)  # the rounded score of the last one, once all are held
+        self.rows, self.cols, self.scores = np.empty(0, int), np.empty(0, int), np.empty(0)
+
+    def add(self, rows: np.ndarray, start: int, scores: np.ndarray) -> None:
+        """Scores of the queries `rows` with the items from `start`; only those that reach a query's bar are sorted."""
+        least, width = self.bar[rows], scores.shape[1]
+        most = min(width, max(1, int(self.keep[rows].max(initial=0))))
+        open_rows = np.flatnonzero(least == -np.inf)
+        if len(open_rows) and width > most:
+            least[open_rows] = np.partition(scores[open_rows], width - most, axis=1)[:, width - most]
+        at, col = np.nonzero((scores >= (least - 10.0 ** -SCORE_DIGITS)[:, None]) & (scores > -np.inf))
+        if not len(at):
+            return
+        rows, cols, scores = (np.concatenate(x) for x in ((self.rows, rows[at]), (self.cols, start + col), (self.scores, scores[at, col])))
+        rounded = np.round(scores, SCORE_DIGITS)
+        order = np.lexsort((self.place[cols], -rounded, rows))
+        rows, cols, scores, rounded = rows[order], cols[order], scores[order], rounded[order]
+        turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        chosen, last = turn < self.keep[rows], turn == self.keep[rows] - 1
+        self.bar[rows[last]] = rounded[last]
+        self.rows, self.cols, self.scores = rows[chosen], cols[chosen], scores[chosen]
+
+
+def _score_block(queries: pd.DataFrame, item_ids: np.ndarray, items: np.ndarray, scorer: Scorer = dot_products,
+                 item_cells: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Best matches of a batch of queries (query_id, vector, keep[, own][, seen][, cells]) among the items, sorted by id.
+
+    With `item_cells` the items are sorted by cell and then by id, and a query
+    meets those of its `cells` only.
+    """
+    ids = np.arange(len(item_ids))
+    if item_cells is None:
+        edges = [0, len(item_ids)]
+    else:
+        edges = [*np.flatnonzero(np.diff(item_cells, prepend=item_cells[0] - 1)), len(item_ids)] if len(item_ids) else [0, 0]
+        ids[np.argsort(item_ids, kind="stable")] = np.arange(len(item_ids))
+    chunks = [(i, min(i + ITEM_CHUNK, b)) for a, b in zip(edges, edges[1:]) for i in range(a, b, ITEM_CHUNK)]
+    step = max(1, SCORE_CELLS // max([1, *(b - a for a, b in chunks)]))
     for start in range(0, len(queries), step):
         part = queries.iloc[start:start + step]
-        scores = scorer(_matrix(part["vector"]), items)
-        if "own" in part:
-            scores[part["own"].to_numpy()[:, None] == item_ids[None, :]] = -np.inf
-        if "seen" in part and len(item_ids):
-            _mask(scores, part["seen"], item_ids)
-        rows, cols = _best_per_row(np.round(scores, SCORE_DIGITS), part["keep"].to_numpy())
-        yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], "match_id": item_ids[cols],
-                            "score": scores[rows, cols]})
+        vectors, everyone = _matrix(part["vector"]), np.arange(len(part))
+        best = _Best(part["keep"].to_numpy(), ids)
+        own = part["own"].to_numpy() if "own" in part else None
+        seen = _pairs(part["seen"]) if "seen" in part else None
+        asked = _pairs(part["cells"]) if item_cells is not None else None
+        for a, b in chunks:
+            rows, times = (everyone, None) if asked is None else np.unique(asked[0][asked[1] == item_cells[a]], return_counts=True)
+            if not len(rows):
+                continue
+            scores = scorer(vectors[rows], items[a:b])
+            if own is not None:
+                scores[own[rows][:, None] == item_ids[None, a:b]] = -np.inf
+            if seen is not None:
+                _mask(scores, rows, *seen, item_ids[a:b])
+            if times is not None and times.max() > 1:  # a cell that was named twice counts twice
+                rows, scores = np.repeat(rows, times), np.repeat(scores, times, axis=0)
+            best.add(rows, a, scores)
+        yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[best.rows], "match_id": item_ids[best.cols], "score": best.scores})
+
+
+def _pairs(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a column of arrays, or nulls."""
+    lists = [x if x is not None else () for x in lists]
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return rows, np.concatenate([x for x in lists if len(x)]) if len(rows) else np.empty(0, int)
+
+
+def _mask(scores: np.ndarray, rows: np.ndarray, owners: np.ndarray, ids: np.ndarray, item_ids: np.ndarray) -> None:
+    """Takes the `ids` that their owners have seen out of the scores of `rows`; `rows` and `item_ids` are sorted."""
+    if not len(owners):
+        return
+    ids = ids.astype(item_ids.dtype)
+    at, row = np.minimum(np.searchsorted(item_ids, ids), len(item_ids) - 1), np.minimum(np.searchsorted(rows, owners), len(rows) - 1)
+    here = (item_ids[at] == ids) & (rows[row] == owners)
+    scores[row[here], at[here]] = -np.inf
 
 
 def result_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
@@ -147,36 +191,73 @@ def _broadcast_matches(queries: DataFrame, items: DataFrame, scorer: Scorer) ->
     return queries.mapInPandas(run, result_schema(queries, items))
 
 
-def blocked_matches(queries: DataFrame, items: DataFrame, query_block: int = QUERY_BLOCK,
-                    item_block: int = ITEM_BLOCK, scorer: Scorer = dot_products) -> DataFrame:
-    """Best matches per query within each (cell, item block); both sides carry a `cell`.
+def block_rows(n: int) -> int:
+    return max(LEAST_BLOCK, min(MOST_BLOCK, n // 16))
+
+
+def blocked_matches(queries: DataFrame, items: DataFrame, query_block: int | None = None,
+                    item_block: int | None = None, scorer: Scorer = dot_products) -> DataFrame:
+    """Best matches per query among the items of its cells: `queries` carry a `cell` or an array of `cells`, `items` a `cell`.
 
-    Blocks are sized from the row counts per cell, so no group outgrows a task.
+    Small cells share a block and large ones are cut, so a query is sent once to
+    each block of items that it meets, however many of its cells lie there.
     """
-    sizes = settle(
-        items.groupBy("cell").agg(F.ceil(F.count("*") / item_block).cast("int").alias("item_parts")).join(
-            queries.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("query_parts")), "cell"))
-    # One row per cell; there are at most IVF_MAX_CELLS of them.
-    sizes = F.broadcast(sizes)
-    q = (queries.select(*[F.col(c).alias(c) for c in queries.columns]).join(sizes, "cell")
-         .withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
-         .withColumn("item_part", F.explode(F.sequence(F.lit(0), F.col("item_parts") - 1)))
-         .drop("query_parts", "item_parts"))
-    i = (items.select(*[F.col(c).alias(c) for c in items.columns]).join(sizes, "cell")
-         .withColumn("item_part", F.pmod(F.xxhash64("match_id"), F.col("item_parts")).cast("int"))
-         .withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
-         .drop("query_parts", "item_parts"))
-    schema = result_schema(queries, items)
+    spark, schema = queries.sparkSession, result_schema(queries, items)
+    if "cells" not in queries.columns:
+        queries = queries.withColumn("cells", F.array("cell")).drop("cell")
+    # One row a cell, of which there are at most IVF_MAX_CELLS.
+    sizes = items.where("cell IS NOT NULL").groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    n_items, n_queries = sum(r.n for r in sizes), queries.count()
+    item_block, query_block = item_block or block_rows(n_items), query_block or block_rows(n_queries)
+    query_parts = max(1, -(-n_queries // query_block))
+    placed, block, used = [], -1, item_block
+    for number, r in enumerate(sizes):
+        parts = -(-r.n // item_block)
+        if used + r.n > item_block:
+            block, used = block + 1, 0
+        placed.append((r.cell, number, block, parts))
+        block, used = block + parts - 1, used + r.n if parts == 1 else item_block
+    shared = spark.sparkContext.broadcast({c: (number, range(b, b + parts)) for c, number, b, parts in placed})
+    placed = spark.createDataFrame(placed, T.StructType([
+        items.schema["cell"], *[T.StructField(c, T.IntegerType()) for c in ("_number", "_block", "_parts")]]))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = shared.value
+        for batch in batches:
+            rows, blocks, cells = [], [], []
+            for i, asked in enumerate(batch["cells"]):
+                meets = {}
+                for number, where in (places[c] for c in asked if c in places):
+                    for b in where:
+                        meets.setdefault(b, []).append(number)
+                rows += [i] * len(meets)
+                blocks += meets
+                cells += meets.values()
+                if len(rows) >= SENT_ROWS:
+                    yield batch.iloc[rows].assign(block=blocks, cells=cells)
+                    rows, blocks, cells = [], [], []
+            if rows:
+                yield batch.iloc[rows].assign(block=blocks, cells=cells)
+
+    kept = [f for f in queries.schema if f.name in ("query_id", "vector", "keep", "own", "seen")]
+    sent = queries.select(*[f.name for f in kept], "cells").mapInPandas(send, T.StructType([
+        *kept, T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("block", T.IntegerType())]))
+    q = sent.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
+    i = (items.select("match_id", "vector", "cell").join(F.broadcast(placed), "cell")
+         .select("match_id", "vector", F.col("_number").alias("cell"),
+                 (F.col("_block") + F.pmod(F.xxhash64("match_id"), F.col("_parts"))).cast("int").alias("block"),
+                 F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("query_part")))
     names = schema.names
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        right = right.sort_values("match_id")
-        return pd.concat(_score_block(left, right["match_id"].to_numpy(), _matrix(right["vector"]), scorer))
+        right = right.sort_values(["cell", "match_id"])
+        return pd.concat(_score_block(left, right["match_id"].to_numpy(), _matrix(right["vector"]), scorer, right["cell"].to_numpy()))
 
-    keys = ["cell", "query_part", "item_part"]
-    return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(run, schema)
+    return q.groupBy("query_part", "block").cogroup(i.groupBy("query_part", "block")).applyInPandas(run, schema)
 
 
 def top_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> DataFrame:
@@ -208,12 +289,17 @@ def fit_cells(items: DataFrame, cells: int, seed: int = SEED) -> tuple[DataFrame
 
 def top_matches_by_cell(queries: DataFrame, items: DataFrame, centres: DataFrame, k: int, probes: int) -> DataFrame:
     """Approximate k best items: only the `probes` cells nearest to a query are searched."""
-    nearest = top_matches(queries, normalised(centres), probes).select("query_id", F.col("match_id").alias("cell"))
-    probing = with_keep(queries, k).join(nearest, "query_id")
+    nearest = top_matches(queries, normalised(centres), probes)
+    probing = with_keep(queries, k).join(cells_of(nearest), "query_id")
     own_keep = queries.select("query_id", "keep") if "keep" in queries.columns else None
     return ranked(blocked_matches(settle(probing), items), own_keep, k)
 
 
+def cells_of(nearest: DataFrame) -> DataFrame:
+    """query_id, `cells`: the cells found for each query as one array."""
+    return nearest.groupBy("query_id").agg(F.collect_list(F.col("match_id").cast("int")).alias("cells"))
+
+
 def default_probes(cells: int) -> int:
     return max(1, cells // IVF_PROBE_DIVISOR)
 

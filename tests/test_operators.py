@@ -1,6 +1,7 @@
 """Properties of single operators, most of them against brute force on small rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -272,3 +273,36 @@ def test_scratch_goes_with_its_owner(spark):
             assert inner.startswith(folder) and scratch_path(spark, "x").startswith(inner)
             raise ZeroDivisionError
     assert not os.path.exists(folder) and not scratch_path(spark, "x").startswith(folder)
+
+
+def test_a_query_is_sent_once_to_a_block_of_cells(spark):
+    """Many small cells share a block, a large one is cut; every cell that is asked for is searched, and no other."""
+    m, items = _vectors(spark, 90, 8, "match_id", 8)
+    q, queries = _vectors(spark, 12, 8, "query_id", 9)
+    cell = lambda j: 5 if j >= 40 else j % 5
+    placed = items.withColumn("cell", F.when(F.col("match_id") >= 40, 5).otherwise(F.col("match_id") % 5))
+    asked = {i: [c for c in range(7) if (i + c) % 3] for i in range(12)}
+    probing = queries.withColumns({"cells": F.filter(F.sequence(F.lit(0), F.lit(6)), lambda c: (F.col("query_id") + c) % 3 != 0),
+                                   "keep": F.lit(4), "own": F.col("query_id"), "seen": F.array(F.col("query_id") + 41)})
+    want = set()
+    for i, row in enumerate(np.round(q @ m.T, 9)):
+        left = [j for j in range(90) if cell(j) in asked[i] and j not in (i, i + 41)]
+        want |= {(i, j, r) for r, j in enumerate(sorted(left, key=lambda j: (-row[j], j))[:4], 1)}
+    found = retrieval.ranked(retrieval.blocked_matches(probing, placed, 5, 20), None, 4)
+    assert {(r.query_id, r.match_id, r["rank"]) for r in found.collect()} == want
+
+
+def test_batches_that_meet_many_cells_stay_small():
+    """The best of chunks and cells, merged, are the best of all; a query that is named twice with a cell counts twice."""
+    rng = np.random.default_rng(3)
+    x, ids = rng.integers(-2, 3, size=(60, 3)).astype(float), rng.permutation(60)
+    cells = np.sort(rng.integers(0, 4, 60))
+    ids = np.concatenate([np.sort(ids[cells == c]) for c in range(4)])
+    queries = pd.DataFrame({"query_id": range(5), "vector": list(rng.integers(-2, 3, size=(5, 3)).astype(float)), "keep": [0, 1, 3, 50, 7],
+                            "cells": [[0, 1], [3], [0, 1, 2, 3], [2, 0], [1, 1]]})
+    got = pd.concat(retrieval._score_block(queries, ids, x, item_cells=cells))
+    for q in queries.itertuples():
+        scores = [(-float(x[j] @ q.vector), ids[j]) for c in q.cells for j in range(60) if cells[j] == c]
+        want = [(i, -s) for s, i in sorted(scores)[:q.keep]]
+        mine = got[got.query_id == q.query_id]
+        assert list(zip(mine.match_id, mine.score)) == want
