@@ -1,4 +1,4 @@
-"""Counts, shares, histograms and the application dashboard. Each is one pass of partial aggregates."""
+"""Counts, shares, histograms and the application dashboard. Each is partial aggregates, in one pass unless it says more."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from creditloom.constants import (
 from creditloom.operators.quantiles import exact_quantiles
 from creditloom.session import settle
 
+PAIRS_AT_ONCE = 7  # correlations in one aggregate
+
 
 def _unpivot(row: DataFrame, parts: dict[str, list[Column]], names: list[str], key: str = "column_name") -> DataFrame:
     """One row per entry of `parts`, out of a one-row table."""
@@ -80,7 +82,14 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     spread = lambda a, b: F.stddev_pop(F.when(both(a, b), F.col(a)))
-    one = rows.agg(*[F.when((spread(a, b) > 0) & (spread(b, a) > 0), F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
+    # Compiled, corr() divides by zero over a constant column before the condition is looked at.
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
+    found = [F.when((spread(a, b) > 0) & (spread(b, a) > 0), r(a, b)).alias(f"{a}|{b}") for a, b in pairs]
+    # Spark compiles an aggregate of up to 100 fields, and a pair has 10 at most; one over all pairs would be interpreted.
+    rows = settle(rows.select(*columns))
+    one, *more = [rows.agg(*found[i:i + PAIRS_AT_ONCE]) for i in range(0, len(found), PAIRS_AT_ONCE)]
+    for part in more:
+        one = one.crossJoin(part)  # of one row each
     value = lambda a, b: F.col(f"`{a}|{b}`") if (a, b) in pairs else F.col(f"`{b}|{a}`")
     cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), value(a, b).alias("r")) for a in columns for b in columns]
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

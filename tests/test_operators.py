@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from creditloom.functions.text import merge_order, reply_items
-from creditloom.operators import decisions, ordering, preparation as prep, quantiles, rerank, retrieval, sampling, sizing
+from creditloom.operators import decisions, ordering, preparation as prep, quantiles, reports, rerank, retrieval, sampling, sizing
 
 
 def test_dense_index_is_sorted_and_gapless(spark):
@@ -306,3 +306,20 @@ def test_batches_that_meet_many_cells_stay_small():
         want = [(i, -s) for s, i in sorted(scores)[:q.keep]]
         mine = got[got.query_id == q.query_id]
         assert list(zip(mine.match_id, mine.score)) == want
+
+
+def test_correlations_are_compiled(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6))
+    x[:, 5] = 2.0
+    gone = rng.random((80, 6)) < 0.2
+    names = list("abcdef")
+    rows = spark.createDataFrame([[None if g else float(v) for v, g in zip(*r)] for r in zip(x, gone)], ", ".join(f"{c} double" for c in names))
+    found = reports.correlations(rows, names)
+    got = {(r.x, r.y): r.r for r in found.collect()}
+    assert len(got) == 36
+    for (a, b), r in got.items():
+        i, j = names.index(a), names.index(b)
+        both = ~gone[:, i] & ~gone[:, j]
+        assert r is None if 5 in (i, j) else r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
+    assert ") HashAggregate" in found._jdf.queryExecution().executedPlan().toString()
