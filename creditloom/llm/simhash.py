@@ -33,6 +33,7 @@ SEED = 42
 MAX_BITS = 3
 SEGMENTS = 16
 SPREAD_ROWS, CELL_ROWS = 100_000, 50_000  # fingerprints for each task that spreads them, and that compares cells
+GOES_ROWS = 1_000_000  # keys of rows that go, 24 MB, up to which the texts are filtered where they lie
 _CHUNK = 1 << 16
 
 
@@ -231,7 +232,9 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[text_key] == b[text_key]) & (a[row_key] == b[row_key])
     # Usually fewer rows go than stay, and the fewer are joined with the texts.
     goes = settle(found.join(stays, same(found, stays), "left_anti").select("doc_id", text_key, row_key).distinct())
-    out = keyed.join(goes, same(keyed, goes), "left_anti")
+    # Without the hint Spark shuffles the texts to find the few that go.
+    small = F.broadcast(goes) if goes.count() <= GOES_ROWS else goes
+    out = keyed.join(small, same(keyed, goes), "left_anti")
     if found.join(stays, same(found, stays), "left_semi").count() > stays.count():
         out = out.dropDuplicates(["doc_id", text_key, row_key])  # equal in every column
     return out.select(*docs.columns)

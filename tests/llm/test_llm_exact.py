@@ -469,3 +469,17 @@ def test_any_role_is_as_long_as_the_sql_says(llm, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
     assert difference(spark_result(QUERIES["op8_chat_format"](llm, str(tmp_path))), oracle_result(con, ORACLES["op8_chat_format"])) is None
+
+
+def test_one_of_each_leaves_the_texts_where_they_lie(llm):
+    """However low Spark's own bound, the few rows that go are sent to the texts and not the other way round."""
+    docs = llm.createDataFrame([(i, f"one two three four five {i // 2 % 3}") for i in range(20)], "doc_id long, text string")
+    before = llm.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.one_of_each(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(out.collect()) < 20
+    finally:
+        llm.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
