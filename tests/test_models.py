@@ -418,3 +418,34 @@ def test_short_lists_are_filled_with_the_best_in_scope(art, asked):
         return {k: sorted(v)[:9] for k, v in out.items()}
 
     assert best(got) == best(every) and best(got)
+
+
+def test_small_cells_are_not_a_sort_each(spark, vectors, tmp_path, monkeypatch):
+    """A query that meets 120 items in chunks of three is sorted a few times, and gets the same items."""
+    rng = np.random.default_rng(1)
+    queries, items = rng.normal(size=(40, 8)), np.round(rng.normal(size=(120, 8)), 1)
+    merges, merge = [], retrieval._Best.merge
+    monkeypatch.setattr(retrieval._Best, "merge", lambda self: (merges.append(1), merge(self))[1])
+    for k in (1, 7, 200):
+        merges.clear()
+        best = retrieval._Best(np.full(40, k), np.arange(120))
+        for a in range(0, 120, 3):
+            best.add(np.arange(40), a, queries @ items[a:a + 3].T)
+        best.merge()
+        assert len(merges) <= 1 + 40 * 3 // min(k, 120) and (k == 1 or len(merges) < 20)
+        scores = np.round(queries @ items.T, retrieval.SCORE_DIGITS)
+        want = [c for r in range(40) for c in sorted(range(120), key=lambda c: (-scores[r, c], c))[:k]]
+        assert best.cols.tolist() == want
+
+
+def test_index_is_searched_once_for_its_recall(spark, vectors, tmp_path, monkeypatch):
+    """The probes that reach the wanted recall are known from the cells of the exact best, as doubling would find them."""
+    index = CellIndex.build(vectors, str(tmp_path / "index"), cells=12)
+    queries = vectors.withColumnRenamed("match_id", "query_id")
+    exact = index.search_exact(queries, 40).select("query_id", "match_id")
+    want = next(p for p in (1, 2, 4, 8, 12) if p == 12 or exact.join(
+        index.search(queries, 40, p), ["query_id", "match_id"]).count() >= 0.95 * exact.count())
+    searched, search = [], CellIndex.search
+    monkeypatch.setattr(CellIndex, "search", lambda self, q, k, p=None: (searched.append(p), search(self, q, k, p))[1])
+    index.measure(queries, 40, probes=1, least=0.95)
+    assert searched == [want] and index.default_probes() == want > 1 and index.quality().first().recall >= 0.95
