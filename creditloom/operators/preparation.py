@@ -17,6 +17,8 @@ from creditloom.session import settle
 from creditloom.sources.files import with_user_id  # noqa: F401
 from creditloom.sources.loans import split_of
 
+DRAWS_PER_TASK = 1_000_000  # of negatives
+
 
 def parse_month(text: Column) -> Column:
     """Jan-1997 -> date; anything else -> null."""
@@ -122,17 +124,29 @@ def _draw(positives: DataFrame, stretches: DataFrame, cells: int, tries: tuple[i
         (F.col("digest") * DRAWS_PER_DIGEST + F.col("word")).cast("int").alias("attempt"))
 
 
-def _accept(draws: DataFrame, positives: DataFrame, k: int, before: DataFrame | None = None) -> DataFrame:
-    """First k different products per positive that the user never took, those accepted `before` among them."""
+def _parts(positives: DataFrame, n_draws: int) -> tuple[int, ...]:
+    """Into how many parts to cut so many draws, so that what a task sorts does not grow with the input; few are left to Spark."""
+    parts = -(-n_draws // DRAWS_PER_TASK)
+    return (parts,) if parts > positives.sparkSession.sparkContext.defaultParallelism else ()
+
+
+def _accept(draws: DataFrame, positives: DataFrame, k: int, cut: tuple[int, ...], before: DataFrame | None = None) -> DataFrame:
+    """First k different products per positive that the user never took, those accepted `before` among them.
+
+    `full` says whether there are k of them.
+    """
     seen = positives.select("member_id", F.col("item_id").alias("neg_item_id"))
     names = ["member_id", "item_id", "neg_item_id", "attempt"]
+    if cut:
+        draws, seen = draws.repartition(*cut, "member_id", "neg_item_id"), seen.repartition(*cut, "member_id", "neg_item_id")
     fresh = draws.join(seen, ["member_id", "neg_item_id"], "left_anti").select(*names)
     if before is not None:
         fresh = fresh.unionByName(before.select(*names))
     # Grouping and ranking share one partitioning.
-    fresh = fresh.repartition("member_id", "item_id").groupBy("member_id", "item_id", "neg_item_id").agg(F.min("attempt").alias("attempt"))
-    order = Window.partitionBy("member_id", "item_id").orderBy("attempt")
-    return fresh.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= k)
+    fresh = fresh.repartition(*cut, "member_id", "item_id").groupBy("member_id", "item_id", "neg_item_id").agg(F.min("attempt").alias("attempt"))
+    own = Window.partitionBy("member_id", "item_id")
+    turn, full = F.row_number().over(own.orderBy("attempt")), F.count("*").over(own) >= k
+    return fresh.withColumns({"turn": turn, "full": full}).filter(F.col("turn") <= k)
 
 
 def sample_negatives(positives: DataFrame, k: int = NEGATIVES_PER_POSITIVE, seed: int = SEED,
@@ -146,14 +160,18 @@ def sample_negatives(positives: DataFrame, k: int = NEGATIVES_PER_POSITIVE, seed
     pairs = settle(positives.groupBy("member_id", "item_id").agg(F.sum("r").alias("r")))
     stretches = settle(_cumulative_cells(item_popularity(pairs, power), cells))
     all_tries, first_tries = k * TRIES_PER_NEGATIVE, -(-2 * k // DRAWS_PER_DIGEST) * DRAWS_PER_DIGEST
-    names = ["member_id", "item_id", "neg_item_id", "attempt", "turn"]
-    first = settle(_accept(_draw(pairs, stretches, cells, (0, first_tries), seed), pairs, k).select(*names))
-    done = first.filter(F.col("turn") == k).select("member_id", "item_id")
-    short = pairs.join(done, ["member_id", "item_id"], "left_anti")
-    kept = first.join(done, ["member_id", "item_id"], "left_semi")
-    begun = first.join(done, ["member_id", "item_id"], "left_anti")
-    again = _accept(_draw(short, stretches, cells, (first_tries, all_tries), seed), pairs, k, begun).select(*names)
-    return kept.unionByName(again).select("member_id", "item_id", "neg_item_id", "turn")
+    names = ["member_id", "item_id", "neg_item_id", "turn"]
+    cut = _parts(pairs, pairs.count() * first_tries)
+    first = settle(_accept(_draw(pairs, stretches, cells, (0, first_tries), seed), pairs, k, cut).select(*names, "attempt", "full"))
+    # A positive without an id is not found again by the join below, so it goes on with what was begun.
+    full = F.col("full") & F.col("member_id").isNotNull() & F.col("item_id").isNotNull()
+    done, every = first.filter(full & (F.col("turn") == 1)).select("member_id", "item_id"), pairs
+    if cut:
+        done, every = done.repartition(*cut, "member_id", "item_id"), pairs.repartition(*cut, "member_id", "item_id")
+    short = settle(every.join(done, ["member_id", "item_id"], "left_anti"))
+    cut = _parts(pairs, short.count() * (all_tries - first_tries))
+    again = _accept(_draw(short, stretches, cells, (first_tries, all_tries), seed), pairs, k, cut, first.filter(~full))
+    return first.filter(full).select(*names).unionByName(again.select(*names))
 
 
 def uniform_negatives(positives: DataFrame, users: DataFrame, items: DataFrame, n_users: int, n_items: int,

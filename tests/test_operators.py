@@ -89,6 +89,21 @@ def test_negatives_are_unseen_distinct_and_enough(spark):
     assert max(len(v) for p, v in per.items() if p[0] == "hog") <= 60 - 58
 
 
+def test_negatives_are_cut_into_parts_of_bounded_size(spark, monkeypatch):
+    """However many draws there are, no more than so many go to a task, and the rows stay the same, also without ids."""
+    rng = np.random.default_rng(4)
+    pairs = {("hog", f"i{j}") for j in range(38)} | {(f"u{u}", f"i{int(rng.zipf(1.6)) % 40}") for u in range(200) for _ in range(4)}
+    rows = spark.createDataFrame([(u, i, 1) for u, i in pairs | {(None, "i1"), (None, None)}], "member_id string, item_id string, r int")
+    whole = sorted(prep.sample_negatives(rows).collect(), key=repr)
+    parts, cut = [], prep._parts
+    monkeypatch.setattr(prep, "_parts", lambda positives, n: (parts.append(cut(positives, n)), cut(positives, n))[1])
+    monkeypatch.setattr(prep, "DRAWS_PER_TASK", 200)
+    assert sorted(prep.sample_negatives(rows).collect(), key=repr) == whole
+    n = len(pairs) + 2
+    assert parts[0] == (-(-n * 8 // 200),) and parts[1] and cut(rows, 200) == ()
+    assert max(sum(1 for r in whole if r[:2] == key) for key in {r[:2] for r in whole}) == 4
+
+
 def _vectors(spark, n, d, name, seed):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, d))
