@@ -449,3 +449,43 @@ def test_index_is_searched_once_for_its_recall(spark, vectors, tmp_path, monkeyp
     monkeypatch.setattr(CellIndex, "search", lambda self, q, k, p=None: (searched.append(p), search(self, q, k, p))[1])
     index.measure(queries, 40, probes=1, least=0.95)
     assert searched == [want] and index.default_probes() == want > 1 and index.quality().first().recall >= 0.95
+
+
+def test_factors_by_passes_are_those_of_dense_least_squares(spark, monkeypatch):
+    """Users with few, many and repeated products; against normal equations written out, and Spark's ALS by its loss."""
+    rng = np.random.default_rng(5)
+    rows = [(u, int(i), int(rng.integers(1, 4))) for u in range(60) for i in rng.choice(9, size=1 + u % 9, replace=False)]
+    rows += [rows[3], rows[40]]
+    pairs = spark.createDataFrame(rows, "user_idx int, item_idx int, r long").repartition(3)
+    monkeypatch.setattr(retrieval, "ALS_MOST_ROWS", 100)
+    model = retrieval.fit_factors(pairs, factors=6, iterations=4)
+    assert type(model).__name__ == "Factors"
+    items = np.random.default_rng(42).normal(size=(9, 6))
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+
+    def solve(other, keyed):
+        out = []
+        for own in keyed:
+            a = other.T @ other + 0.1 * len(own) * np.eye(6) + sum(40.0 * r * np.outer(other[j], other[j]) for j, r in own)
+            out.append(np.linalg.solve(a, sum((1 + 40.0 * r) * other[j] for j, r in own)))
+        return np.array(out)
+
+    by_user, by_item = [[(i, r) for u, i, r in rows if u == n] for n in range(60)], [[(u, r) for u, i, r in rows if i == n] for n in range(9)]
+    for _ in range(4):
+        users = solve(items, by_user)
+        items = solve(users, by_item)
+    users = solve(items, by_user)
+    for got, want in ((model.userFactors, users), (model.itemFactors, items)):
+        found = dict(map(tuple, got.collect()))
+        assert np.allclose(np.array([found[n] for n in range(len(want))]), want, atol=1e-5)
+
+    def loss(m):
+        u, v = (np.array([f for _, f in sorted(map(tuple, x.collect()))]) for x in (m.userFactors, m.itemFactors))
+        c, p = np.zeros((60, 9)), np.zeros((60, 9))
+        for a, b, r in rows:
+            c[a, b] += 40.0 * r
+            p[a, b] = 1
+        return ((1 + c) * (p - u @ v.T) ** 2).sum()
+
+    monkeypatch.setattr(retrieval, "ALS_MOST_ROWS", 2_000_000)
+    assert loss(model) < 1.1 * loss(retrieval.fit_factors(pairs, factors=6, iterations=4))
