@@ -489,3 +489,34 @@ def test_factors_by_passes_are_those_of_dense_least_squares(spark, monkeypatch):
 
     monkeypatch.setattr(retrieval, "ALS_MOST_ROWS", 2_000_000)
     assert loss(model) < 1.1 * loss(retrieval.fit_factors(pairs, factors=6, iterations=4))
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_leaves_are_found_by_their_bits(bits, monkeypatch):
+    """Against trying every leaf, on ends, between them and without a number, for trees of up to 64 leaves and past it."""
+    rng, inf, paths = np.random.default_rng(5), np.inf, []
+
+    def grow(tree, box, depth):
+        if depth == 6 or (depth > 2 and rng.random() < 0.1):
+            paths.append((tree, box))
+            return
+        f, t = int(rng.integers(4)), float(rng.integers(9))
+        low, high = box.get(f, (-inf, inf))
+        if low < t < high:
+            grow(tree, {**box, f: (low, t)}, depth + 1)
+            grow(tree, {**box, f: (t, high)}, depth + 1)
+        else:
+            paths.append((tree, box))
+
+    for tree in range(12):
+        grow(tree, {}, 0)
+    rng.shuffle(paths)
+    padded = [([*b.items()] + [(-1, (-inf, inf))] * 4)[:4] for _, b in paths]
+    table = trees.LeafTable(rng.normal(size=len(paths)), np.array([t for t, _ in paths]), np.array([[f for f, _ in p] for p in padded]),
+                            np.array([[b[0] for _, b in p] for p in padded]), np.array([[b[1] for _, b in p] for p in padded]), np.ones((len(paths), 4)))
+    x = rng.integers(-1, 20, size=(500, 4)) / 2.0
+    x[::50, 1] = np.nan
+    want = table.inside(x).all(axis=2) @ (table.value[:, None] * (table.tree[:, None] == np.arange(12)))
+    monkeypatch.setattr(trees, "_BITS", bits)
+    monkeypatch.setattr(trees.LeafTable, "inside", table.inside.__func__ if bits == 2 else None)
+    assert np.array_equal(table.tree_values()(x), want)
