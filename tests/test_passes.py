@@ -71,3 +71,11 @@ def test_sums_are_the_same_in_a_tree_and_in_small_blocks(sides, monkeypatch):
     assert np.allclose(once.factors, models.fit_factor_ranker(pairs, users, items, 3, 4).factors, atol=1e-9)
     with pytest.raises(Exception, match="labels must be 0 or 1"):
         models.fit_factor_ranker(pairs.withColumn("label", F.lit(2)), users, items, 3, 1)
+
+
+def test_few_pairs_are_dealt_to_all_cores(spark, sides):
+    pairs, users, _ = sides
+    blocks = passes.pair_blocks(pairs, users, ["user_features"], [f"p{i}" for i in range(N_ITEMS)])
+    held = blocks.blocks.glom().map(len).collect()
+    blocks.release()
+    assert len(held) == spark.sparkContext.defaultParallelism and sum(n > 0 for n in held) > len(held) / 2
